@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: What separates words: the space and the controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]"
@@ -65,3 +69,22 @@ def discard(df: DataFrame) -> None:
 def has_columns(df: DataFrame, *names: str) -> DataFrame:
     """``df`` cut down to ``names``, so that further columns can't clash with made ones."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
+    """Each Arrow batch turned into another one. ``make()`` is called once a task and gives the
+    function from a batch to the columns (Arrow arrays, or values for them) in the order of ``ddl``."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = make()
+        for batch in batches:
+            made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns(batch), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``text`` alone, typed."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
