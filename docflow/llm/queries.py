@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, mixing, quality_rules, secret_scan
+from . import byte_bpe, language_id, mixing, pii, quality_rules, secret_scan, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op4_rows(table(spark, sf_dir, "documents"))
 
@@ -24,14 +28,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op7_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op10_secret_scan": op10_secret_scan,
 }
