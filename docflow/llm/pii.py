@@ -59,6 +59,7 @@ PHONE = re.compile(r"(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({WORD}(?: {WORD})?)")
 FULL = re.compile(rf"(?<!\w)({WORD}) ({WORD})")
+DATE = re.compile(r"[0-9]{4}([-. ])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-. ])[0-9]{2}\2[0-9]{4}")
 DIGIT = re.compile(r"[0-9]")
 Entity = tuple[str, int, int]
 
@@ -99,7 +100,7 @@ def detect(text: str) -> list[Entity]:
             ("ip", IPV4, is_ip),
             ("card", CARD, lambda x: luhn_sum(digits(x)) % 10 == 0),
             ("ssn", SSN, bool),
-            ("phone", PHONE, lambda x: 7 <= len(digits(x)) <= 15),
+            ("phone", PHONE, lambda x: 7 <= len(digits(x)) <= 15 and not DATE.fullmatch(x)),
         ):
             found += ((kind, *m.span()) for m in pattern.finditer(text) if valid(m[0]))
     found += (("name", m.start(2), m.end(2)) for m in TITLED.finditer(text))
