@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What Unicode takes for white space, with the ASCII separators that Java's class leaves out.
-UNICODE_SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+UNICODE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}\z"
 
 
