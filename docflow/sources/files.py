@@ -9,7 +9,15 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 
-MANIFEST = T.StructType.fromDDL("document_id string, lang string, images array<struct<image_id:string,path:string>>, ordered_image_ids array<string>")
+IMAGE = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("path", T.StringType())])
+MANIFEST = T.StructType(
+    [
+        T.StructField("document_id", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("images", T.ArrayType(IMAGE)),
+        T.StructField("ordered_image_ids", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def strict_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
