@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import documents, relational
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+QUERIES = {**relational.QUERIES, **documents.QUERIES}
+ORACLES = {**relational.ORACLES, **documents.ORACLES}
