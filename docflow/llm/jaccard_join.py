@@ -10,13 +10,16 @@ many segments of either type a band has is chosen by cost: subsets to index agai
 chance matches, from the number of sets in the band.
 
 Empty subsets (of the second type: subsets of one or none) would be shared by most sets and are
-not indexed. That can lose units, so a band has some more, and a set with more such subsets than
-that allows for indexes them all the same. No link is lost.
+not indexed; subsets that many sets have (passages that many documents share) are indexed but not
+looked into. That can lose units, so a band has some more, and a set with more such subsets than
+that allows for uses them all the same: two linked sets miss each other only if both could do
+without, and then they have another subset in common. No link is lost.
 
 Groups of sets with a subset in common give candidates in two rounds, each verified exactly: first
-each member against the smallest one, which makes one component of a group of near copies in a
+each member against the most central one, which makes one component of a group of near copies in a
 linear number of pairs; then, in groups whose members still lie in different components, members
-of different components against each other. Large such groups are split by further subsets under
+of different components against each other, unless their distances to the central one or sketches of their
+shingles rule it out. Groups with very many members in other components are split by further subsets under
 another hash of the universe before that, in at most ``levels`` rounds.
 
 Equal sets are one set from the start, whatever their number.
@@ -36,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import id_text, map_arrow, stored
 from .components import components
@@ -43,9 +47,11 @@ from .components import components
 SHINGLE = 5
 #: The threshold 80 %: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: Entries of a bucket, and members of a group up to which all its components are compared.
+#: Entries of a bucket, and members from which on a subset counts as frequent.
 BUCKET = 500_000
-SMALL_GROUP = 64
+SMALL_GROUP = 12
+#: Share of the units that may lie in subsets that more than SMALL_GROUP sets have.
+FREQUENT = 0.12
 #: Chance that a shingle of one set is in another unrelated one; only costs depend on it.
 SHARED = 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +117,7 @@ def layout(band: int, n_sets: int) -> tuple[int, int, int, int]:
         for _ in range(3):  # more segments hold fewer shingles, which makes more of them weak
             k = low / (first + second + weak1 + 2 * weak2)
             z1, z2 = first * math.exp(-k), second * (1 + k) * math.exp(-k)
-            weak1 = math.ceil(z1 + 3 * math.sqrt(z1)) if first else 0
+            weak1 = math.ceil(z1 + 3 * math.sqrt(z1) + FREQUENT * units) if first else 0
             weak2 = math.ceil(z2 + 3 * math.sqrt(z2)) if second else 0
         # each weak one of the first type costs a unit, of the second two units for either set
         made1, made2 = (first + weak1 + 4 * weak2, second) if first or not second else (0, second + 2 * weak2)
@@ -123,8 +129,9 @@ def layout(band: int, n_sets: int) -> tuple[int, int, int, int]:
     return best[1:]
 
 
-def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of indexed subsets, and for each its owner.
+def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of indexed subsets, for each its owner, and for each set how many units of frequent
+    subsets it can do without (-1: it needs them all).
 
     ``tokens`` of several sets one after another, ``owner`` the set of each token (ascending),
     ``band`` for each set that in which it is indexed here.
@@ -161,24 +168,32 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: d
         drop = second[place] & use[place]
         keys.append(mixed(sums[place[drop]] - g[drop] + tag[place[drop]]))
         owners.append(holder[place[drop]])
-    return np.concatenate(keys), np.concatenate(owners)
+    spare = np.where(poor | (made2 > 0), -1, allowed1 - n_weak1).astype(np.int64)
+    return np.concatenate(keys), np.concatenate(owners), spare
 
 
-def both_bands(sets: list[np.ndarray], bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of sets in their own band and, where a link is possible, in the next lower one."""
+def both_bands(sets: list[np.ndarray], bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of sets in their own band and, where a link is possible, in the next lower one.
+
+    Each set has two roles, 2 i in its own band and 2 i + 1 in the lower one; given are the keys,
+    their roles and what each role can spare.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     own = band_of(n)
     lower = (own > 0) & (-(-n * PERCENT // 100) <= band_ends()[np.maximum(own - 1, 0)])
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
-    keys, who = signatures(tokens, owner, own, bands, salt)
+    keys, who, spare = signatures(tokens, owner, own, bands, salt)
+    role, spares = who * 2, np.full(2 * len(sets), -1, np.int64)
+    spares[::2] = spare
     if lower.any():
         chosen = np.flatnonzero(lower)
         keep = lower[owner]
         new = np.cumsum(lower) - 1
-        k2, w2 = signatures(tokens[keep], new[owner[keep]], own[chosen] - 1, bands, salt)
-        keys, who = np.concatenate([keys, k2]), np.concatenate([who, chosen[w2]])
-    return keys, who
+        k2, w2, spare = signatures(tokens[keep], new[owner[keep]], own[chosen] - 1, bands, salt)
+        keys, role = np.concatenate([keys, k2]), np.concatenate([role, chosen[w2] * 2 + 1])
+        spares[chosen * 2 + 1] = spare
+    return keys, role, spares
 
 
 # Spark stages
@@ -210,11 +225,11 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
         sids: list[int] = []
 
         def flush():
-            keys, who = both_bands(sets, bands, salt)
+            keys, role, spares = both_bands(sets, bands, salt)
             bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, who, bucket = keys[order], who[order], bucket[order]
-            owned = np.array(sids, np.int64)[who]
+            keys, role, bucket = keys[order], role[order], bucket[order]
+            owned = np.array(sids, np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
             ends = [*cuts[1:].tolist(), len(bucket)]
             starts = cuts.tolist()
@@ -222,7 +237,7 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
                 [
                     pa.array(bucket[cuts].astype(np.int32)),
                     pa.array([keys[s:e].tobytes() for s, e in zip(starts, ends, strict=False)], pa.binary()),
-                    pa.array([packed(owned[s:e]) for s, e in zip(starts, ends, strict=False)], pa.binary()),
+                    pa.array([packed(role[s:e], owned, spares) for s, e in zip(starts, ends, strict=False)], pa.binary()),
                 ],
                 names=["bucket", "keys", "sids"],
             )
@@ -239,7 +254,7 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
                 sets.append(found)
                 sids.append(sid)
                 held += len(found)
-                if held > 1_000_000 or len(sets) >= 60_000:
+                if held > 400_000 or len(sets) >= 30_000:
                     yield flush()
                     sets, sids, held = [], [], 0
         if sets:
@@ -248,111 +263,189 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary")
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Ids as a table of the distinct ones and 16-bit places in it: each occurs several times."""
-    table, place = np.unique(values, return_inverse=True)
-    return np.int64(len(table)).tobytes() + table.tobytes() + place.astype(np.uint16).tobytes()
+def packed(role: np.ndarray, sids: np.ndarray, spares: np.ndarray) -> bytes:
+    """Roles as a table of the distinct ones (set id, which role, what it can spare) and 16-bit
+    places in it: each occurs several times."""
+    table, place = np.unique(role, return_inverse=True)
+    which = np.clip(spares[table], -1, 2**20) * 2 + (table & 1)
+    return np.int64(len(table)).tobytes() + sids[table >> 1].tobytes() + which.astype(np.int32).tobytes() + place.astype(np.uint16).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, n, 8)[np.frombuffer(raw, np.uint16, -1, 8 + 8 * n)]
+    place = np.frombuffer(raw, np.uint16, -1, 8 + 12 * n)
+    return np.frombuffer(raw, np.int64, n, 8)[place], np.frombuffer(raw, np.int32, n, 8 + 8 * n)[place]
+
+
+GROUPS_DDL = "gid long, sid long, role int, spare long, size long, frequent long"
 
 
 def groups_of(table: pa.Table) -> pa.Table:
-    """``gid, hub, sid`` for the sets of each key that two sets or more have in a bucket.
+    """Members of keys that two sets or more have in a bucket, one row each with the group's size.
 
-    ``hub`` is the smallest of them. Of keys with the same sets one stays.
+    Of keys with the same members one stays. Rows without a gid tell how many keys of large groups
+    a role has here.
     """
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-    sids = np.concatenate([unpacked(x) for x in table.column("sids").to_pylist()])
+    parts = [unpacked(x) for x in table.column("sids").to_pylist()]
+    sids, which = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
-    keys, sids = keys[order], sids[order]
-    again = np.zeros(len(keys), bool)
-    same = keys[1:] == keys[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    keys, sids = keys[again], sids[again]
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
+    same = keys[order][1:] == keys[order][:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(keys) else order
+    order = order[np.lexsort((which[order] & 1, sids[order], keys[order]))]
+    keys, sids, which = keys[order], sids[order], which[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-    keys, sids = keys[fresh], sids[fresh]
+    keys, sids, which = keys[fresh], sids[fresh], which[fresh]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    sizes = np.diff(np.r_[starts, len(keys)])
+    sizes = np.diff(np.r_[starts, len(keys)]).astype(np.int64)
+    chosen = np.zeros(len(starts), bool)
     if len(starts):
         marks = np.add.reduceat(mixed(sids.astype(np.uint64), 3), starts)
-        _, first = np.unique(marks, return_index=True)
-        chosen = np.zeros(len(starts), bool)
-        chosen[first] = True
-        chosen &= sizes > 1
-    else:
-        chosen = np.zeros(0, bool)
-    keep = np.repeat(chosen, sizes)
-    hub = np.repeat(sids[starts], sizes)
-    return pa.table({"gid": keys[keep].astype(np.int64), "hub": hub[keep], "sid": sids[keep]})
+        chosen[np.unique(marks, return_index=True)[1]] = True
+    keep = np.repeat(chosen & (sizes > 1), sizes)
+    size = np.repeat(sizes, sizes)
+    role, spare = which & 1, which >> 1
+    often = np.flatnonzero(size > SMALL_GROUP)
+    names, first, times = np.unique(np.stack([sids[often], role[often]], 1), axis=0, return_index=True, return_counts=True) if len(often) else (np.zeros((0, 2), np.int64), often, often)
+    n = int(keep.sum())
+    gid = pa.array(np.concatenate([keys[keep].astype(np.int64), np.zeros(len(names), np.int64)]), mask=np.r_[np.zeros(n, bool), np.ones(len(names), bool)])
+    both = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
+    return pa.table({
+        "gid": gid, "sid": both(sids[keep], names[:, 0], np.int64), "role": both(role[keep], names[:, 1], np.int32),
+        "spare": both(spare[keep], spare[often[first]], np.int64), "size": both(size[keep], np.zeros(len(names)), np.int64), "frequent": both(np.zeros(n), times, np.int64),
+    })
+
+
+def needed(rows: DataFrame) -> DataFrame:
+    """``gid, hub, sid`` of the groups to look into.
+
+    A set that has few enough keys of large groups, by what it can spare, meets each of its links
+    in another group as well: large groups keep only the sets that have more.
+    """
+    counts = rows.filter("gid IS NULL").groupBy("sid", "role").agg(F.sum("frequent").alias("k"), F.min("spare").alias("most"))
+    heavy = counts.filter("k > most").select(F.col("sid").alias("s"), F.col("role").alias("r"))
+    members = rows.filter("gid IS NOT NULL")
+    small = members.filter(F.col("size") <= SMALL_GROUP).select("gid", "sid", "size")
+    large = members.filter(F.col("size") > SMALL_GROUP).join(heavy, (F.col("sid") == F.col("s")) & (F.col("role") == F.col("r")), "left_semi").select("gid", "sid", "size")
+    return with_hubs(small.union(large))
+
+
+def with_hubs(members: DataFrame) -> DataFrame:
+    """``gid, hub, sid`` of groups of two or more. The hub is the member that meets most others over
+    all its groups: among near copies the one from which the others are made, or the nearest to it."""
+    members = stored(members, "jaccard-grouped")
+    weight = members.groupBy("sid").agg(F.sum("size").alias("w"))
+    weighed = members.select("gid", "sid").join(weight, "sid")
+    one = W.partitionBy("gid")
+    hub = F.max(F.struct("w", "sid")).over(one)
+    return weighed.select("gid", hub["sid"].alias("hub"), "sid", F.count("*").over(one).alias("k")).filter("k > 1").drop("k")
 
 
 def find_groups(docs: DataFrame, bands: dict[int, int], total: int, salt: int = 0) -> DataFrame:
     buckets = max(16, math.ceil(total / 2 / BUCKET))
     found = entries(docs, bands, buckets, salt)
-    return found.groupBy("bucket").applyInArrow(groups_of, "gid long, hub long, sid long")
+    return needed(stored(found.groupBy("bucket").applyInArrow(groups_of, GROUPS_DDL), "jaccard-keys"))
 
 
-def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``sid, hashes`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of a set's shingles in as many bits as a power of two, four for each shingle or more.
 
-    def make():
-        def columns(batch: pa.RecordBatch) -> list:
-            return [batch.column("sid"), [shingles(t).tobytes() for t in batch.column("text").to_pylist()]]
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    size = max(64, 1 << int(4 * max(len(found), 1) - 1).bit_length())
+    at = (mixed(found, 97) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-        return columns
 
-    rows = docs.join(chosen, F.col("doc_id") == F.col("doc")).select("sid", "text")
-    return map_arrow(rows, make, "sid long, hashes binary")
+def folded(raw: bytes, words: int) -> np.ndarray:
+    """A sketch cut down to so many 64-bit words, parities put together."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of sets that link."""
+def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``sid, hashes, sketch`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                if 100 * len(small) < PERCENT * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= PERCENT * (len(small) + len(large) - both))
-            return [batch.column("a"), batch.column("b"), keep]
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+            return [batch.column("sid"), pa.ListArray.from_arrays(offsets, values), [sketch(x) for x in sets]]
 
         return columns
 
+    rows = docs.join(chosen, F.col("doc_id") == F.col("doc")).select("sid", "text")
+    return map_arrow(rows, make, "sid long, hashes array<long>, sketch binary")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, d`` and whether they link: the exact Jaccard distance of each pair of sets. Row by row
+    in the engine, so that memory holds two sets at a time however long they are."""
     left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return map_arrow(joined, make, "a long, b long, linked boolean").filter("linked").select("a", "b")
+    joined = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+    union = F.size("x") + F.size("y") - F.col("both")
+    return joined.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= PERCENT * union).alias("linked"))
+
 
+def stars_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of groups compared with their hubs."""
+    pairs = groups.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    return stored(compared(pairs, sets), "jaccard-stars")
 
-def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``gid, sid, root`` of those groups whose members lie in different components."""
-    members = groups.select("gid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    members = stored(members.select("gid", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
-    mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    return stored(members.join(mixed_ones.select("gid", "size"), "gid"), "jaccard-mixed")
 
+def labelled(groups: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """``gid, sid, root, d, far`` of those groups whose members lie in different components: the
+    distance to the hub, and how many members lie in other components than the hub."""
+    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "d")
+    members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(known, ["hub", "sid"], "left")
+    members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("d", F.lit(0.0)).alias("d")), "jaccard-members")
+    own = F.max(F.when(F.col("sid") == F.col("hub"), F.col("root")))
+    mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own")).filter("lo < hi")
+    open_ones = members.join(mixed_ones.select("gid", "own"), "gid")
+    far = F.count_if(F.col("root") != F.col("own")).over(W.partitionBy("gid"))
+    return stored(open_ones.select("gid", "sid", "root", "d", far.alias("far")), "jaccard-mixed")
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a group's members that lie in different components."""
-    left = members.select("gid", F.col("sid").alias("a"), F.col("root").alias("ra"))
-    right = members.select("gid", F.col("sid").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "gid").filter("a < b AND ra <> rb").select("a", "b").distinct()
 
+def possible(table: pa.Table) -> pa.Table:
+    """Pairs of members of a group that lie in different components and may link, by exact bounds.
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, small_group: int = SMALL_GROUP) -> DataFrame:
+    Jaccard distance is a metric: two sets whose distances to the hub differ by more than the
+    threshold allows are no link; nor are two whose sketches differ in more bits than linked sets
+    differ in shingles.
+    """
+    order = np.argsort(table.column("gid").to_numpy(), kind="stable")
+    gid, sid, root, n = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("gid", "sid", "root", "n"))
+    d = table.column("d").to_numpy()[order]
+    sketches = table.column("sketch").take(pa.array(order)).to_pylist()
+    starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+    a, b = [], []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)], strict=True):
+        words = min(map(len, sketches[s:e])) // 8
+        bits = np.stack([folded(x, words) for x in sketches[s:e]])
+        for i in range(s, e - 1):
+            rest = slice(i + 1, e)
+            near = (root[rest] != root[i]) & (np.abs(d[rest] - d[i]) <= (100 - PERCENT) / 100 + 1e-9)
+            at = np.flatnonzero(near)
+            differ = np.bitwise_count(bits[at + i + 1 - s] ^ bits[i - s]).sum(axis=1)
+            at = at[differ <= (n[at + i + 1] + n[i]) * (100 - PERCENT) // (100 + PERCENT)] + i + 1
+            a.append(np.minimum(sid[at], sid[i]))
+            b.append(np.maximum(sid[at], sid[i]))
+    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    found = np.unique(np.stack(joined, 1), axis=0) if len(joined[0]) else np.zeros((0, 2), np.int64)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of a group in different components that may link. Groups are met in buckets."""
+    buckets = max(16, math.ceil(members.count() / 4000))
+    rows = members.join(sets.select("sid", F.size("hashes").alias("n"), "sketch"), "sid")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).select("bucket", "gid", "sid", "root", "d", "n", "sketch")
+    return rows.groupBy("bucket").applyInArrow(possible, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, small_group: int = 4096) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id reachable by links."""
     texts = id_text(docs, id_col, text_col)
     members = stored(set_sizes(texts), "jaccard-sets")
@@ -366,26 +459,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bands[b] = bands.get(b, 0) + r["k"]
     total = sum(r["total"] for r in exact)
     groups = stored(find_groups(texts, bands, total), "jaccard-groups")
-    stars = groups.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    stars = stored(stars, "jaccard-stars")
-    wanted = stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct()
+    wanted = groups.select("sid").distinct()
     sets = stored(set_table(texts, distinct.join(wanted, "sid").select("sid", "doc")), "jaccard-hashes")
-    links = stored(verified(stars, sets), "jaccard-links")
-    roots = stored(components(links), "jaccard-roots")
-    open_groups = labelled(groups, roots)
+    stars = stars_of(groups, sets)
+    links = stars.filter("linked").select("a", "b")
     for level in range(1, levels + 1):
+        roots = stored(components(links), "jaccard-roots")
+        open_groups = labelled(groups, stars, roots)
         last = level == levels
-        small = open_groups if last else open_groups.filter(F.col("size") <= small_group)
-        more = stored(verified(cross_pairs(small), sets), "jaccard-links")
-        links = links.union(more)
-        large = open_groups.filter(F.col("size") > small_group)
+        small = open_groups if last else open_groups.filter(F.col("far") <= small_group)
+        links = links.union(stored(compared(cross_pairs(small, sets), sets).filter("linked").select("a", "b"), "jaccard-links"))
+        large = open_groups.filter(F.col("far") > small_group)
         if last or large.isEmpty():
             break
-        finer = stored(refined(large, sets, bands, level), "jaccard-finer")
-        hubs = finer.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-        links = links.union(stored(verified(hubs, sets), "jaccard-links"))
-        roots = stored(components(links), "jaccard-roots")
-        open_groups = labelled(finer, roots)
+        groups = stored(refined(large, sets, bands, level), "jaccard-finer")
+        stars = stars_of(groups, sets)
+        links = links.union(stars.filter("linked").select("a", "b"))
     roots = stored(components(links), "jaccard-roots").select(F.col("node").alias("sid"), "root")
     # The component's smallest document, over the distinct sets; then back to every document.
     rooted = distinct.join(roots, "sid", "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
@@ -400,18 +489,19 @@ def refined(large: DataFrame, sets: DataFrame, bands: dict[int, int], level: int
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            found = [np.array(x, np.int64).astype(np.uint64) for x in batch.column("hashes").to_pylist()]
             if not found:
                 return [[], [], []]
-            keys, who = both_bands(found, bands, level)
-            return [batch.column("gid").take(pa.array(who)), keys.astype(np.int64), batch.column("sid").take(pa.array(who))]
+            keys, role, _ = both_bands(found, bands, level)
+            who = pa.array(role >> 1)
+            return [batch.column("gid").take(who), keys.astype(np.int64), batch.column("sid").take(who)]
 
         return columns
 
     parts = map_arrow(large.select("gid", "sid").join(sets, "sid").select("gid", "sid", "hashes"), make, "gid long, key long, sid long")
     parts = parts.select(F.xxhash64("gid", "key").alias("gid"), "sid").distinct()
-    hubs = parts.groupBy("gid").agg(F.min("sid").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("gid", "hub")
-    return parts.join(hubs, "gid").select("gid", "hub", "sid")
+    sizes = parts.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
+    return with_hubs(parts.join(sizes, "gid"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,4 +141,5 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:
-    return quality_rules(has_columns(docs, "doc_id", "text", "source")).drop("host", "host_docs", "host_failed")
+    judged = quality_rules(has_columns(docs, "doc_id", "text", "source")).drop("host", "host_docs", "host_failed")
+    return judged.withColumn("host_rate", F.round("host_rate", 6))
