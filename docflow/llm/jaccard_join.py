@@ -18,8 +18,8 @@ without, and then they have another subset in common. No link is lost.
 Groups of sets with a subset in common give candidates in two rounds, each verified exactly: first
 each member against the most central one, which makes one component of a group of near copies in a
 linear number of pairs; then, in groups whose members still lie in different components, members
-of different components against each other, unless their distances to the central one or sketches of their
-shingles rule it out. Groups with very many members in other components are split by further subsets under
+of different components against each other. Sketches of their shingles rule most pairs out for
+certain before whole sets are compared. Groups with very many members in other components are split by further subsets under
 another hash of the universe before that, in at most ``levels`` rounds.
 
 Equal sets are one set from the start, whatever their number.
@@ -364,60 +364,77 @@ def folded(raw: bytes, words: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``sid, hashes, sketch`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
+    """``sid, n, hashes, sketch`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            return [batch.column("sid"), pa.ListArray.from_arrays(offsets, values), [sketch(x) for x in sets]]
+            return [batch.column("sid"), [len(x) for x in sets], pa.ListArray.from_arrays(offsets, values), [sketch(x) for x in sets]]
 
         return columns
 
     rows = docs.join(chosen, F.col("doc_id") == F.col("doc")).select("sid", "text")
-    return map_arrow(rows, make, "sid long, hashes array<long>, sketch binary")
+    return map_arrow(rows, make, "sid long, n long, hashes array<long>, sketch binary")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, d`` and whether they link: the exact Jaccard distance of each pair of sets. Row by row
-    in the engine, so that memory holds two sets at a time however long they are."""
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that may link by exact bounds: sizes, and sketches that differ in no more bits than
+    linked sets differ in shingles. Only these get their whole sets compared."""
+
+    def make():
+        def columns(batch: pa.RecordBatch) -> list:
+            x, y, nx, ny = (batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))
+            keep = [
+                100 * min(n, m) >= PERCENT * max(n, m) and differing(p, q) <= (n + m) * (100 - PERCENT) // (100 + PERCENT) for p, q, n, m in zip(x, y, nx, ny, strict=True)
+            ]
+            return [batch.column("a"), batch.column("b"), keep]
+
+        return columns
+
+    left = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+    right = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "nx", "ny")
+    return map_arrow(joined, make, "a long, b long, keep boolean").filter("keep").select("a", "b")
+
+
+def differing(x: bytes, y: bytes) -> int:
+    words = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link, by exact intersection. Row by row in the engine, so that memory
+    holds two sets at a time however long they are."""
     left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("both")
-    return joined.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= PERCENT * union).alias("linked"))
+    return joined.filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-def stars_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of groups compared with their hubs."""
+def star_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the members of groups and their hubs."""
     pairs = groups.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    return stored(compared(pairs, sets), "jaccard-stars")
+    return stored(linked(stored(plausible(pairs, sets), "jaccard-pairs"), sets), "jaccard-links")
 
 
-def labelled(groups: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """``gid, sid, root, d, far`` of those groups whose members lie in different components: the
-    distance to the hub, and how many members lie in other components than the hub."""
-    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "d")
-    members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(known, ["hub", "sid"], "left")
-    members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root"), F.coalesce("d", F.lit(0.0)).alias("d")), "jaccard-members")
+def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """``gid, sid, root, far`` of those groups whose members lie in different components; ``far`` is how
+    many lie in other components than the hub."""
+    members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
     own = F.max(F.when(F.col("sid") == F.col("hub"), F.col("root")))
     mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own")).filter("lo < hi")
     open_ones = members.join(mixed_ones.select("gid", "own"), "gid")
     far = F.count_if(F.col("root") != F.col("own")).over(W.partitionBy("gid"))
-    return stored(open_ones.select("gid", "sid", "root", "d", far.alias("far")), "jaccard-mixed")
+    return stored(open_ones.select("gid", "sid", "root", far.alias("far")), "jaccard-mixed")
 
 
 def possible(table: pa.Table) -> pa.Table:
-    """Pairs of members of a group that lie in different components and may link, by exact bounds.
-
-    Jaccard distance is a metric: two sets whose distances to the hub differ by more than the
-    threshold allows are no link; nor are two whose sketches differ in more bits than linked sets
-    differ in shingles.
-    """
+    """Pairs of members of a group that lie in different components and may link, by their sketches."""
     order = np.argsort(table.column("gid").to_numpy(), kind="stable")
     gid, sid, root, n = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("gid", "sid", "root", "n"))
-    d = table.column("d").to_numpy()[order]
     sketches = table.column("sketch").take(pa.array(order)).to_pylist()
     starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
     a, b = [], []
@@ -426,8 +443,7 @@ def possible(table: pa.Table) -> pa.Table:
         bits = np.stack([folded(x, words) for x in sketches[s:e]])
         for i in range(s, e - 1):
             rest = slice(i + 1, e)
-            near = (root[rest] != root[i]) & (np.abs(d[rest] - d[i]) <= (100 - PERCENT) / 100 + 1e-9)
-            at = np.flatnonzero(near)
+            at = np.flatnonzero(root[rest] != root[i])
             differ = np.bitwise_count(bits[at + i + 1 - s] ^ bits[i - s]).sum(axis=1)
             at = at[differ <= (n[at + i + 1] + n[i]) * (100 - PERCENT) // (100 + PERCENT)] + i + 1
             a.append(np.minimum(sid[at], sid[i]))
@@ -440,8 +456,8 @@ def possible(table: pa.Table) -> pa.Table:
 def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of members of a group in different components that may link. Groups are met in buckets."""
     buckets = max(16, math.ceil(members.count() / 4000))
-    rows = members.join(sets.select("sid", F.size("hashes").alias("n"), "sketch"), "sid")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).select("bucket", "gid", "sid", "root", "d", "n", "sketch")
+    rows = members.join(sets.select("sid", "n", "sketch"), "sid")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).select("bucket", "gid", "sid", "root", "n", "sketch")
     return rows.groupBy("bucket").applyInArrow(possible, "a long, b long").distinct()
 
 
@@ -461,20 +477,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = stored(find_groups(texts, bands, total), "jaccard-groups")
     wanted = groups.select("sid").distinct()
     sets = stored(set_table(texts, distinct.join(wanted, "sid").select("sid", "doc")), "jaccard-hashes")
-    stars = stars_of(groups, sets)
-    links = stars.filter("linked").select("a", "b")
+    links = star_links(groups, sets)
     for level in range(1, levels + 1):
         roots = stored(components(links), "jaccard-roots")
-        open_groups = labelled(groups, stars, roots)
+        open_groups = labelled(groups, roots)
         last = level == levels
         small = open_groups if last else open_groups.filter(F.col("far") <= small_group)
-        links = links.union(stored(compared(cross_pairs(small, sets), sets).filter("linked").select("a", "b"), "jaccard-links"))
+        links = links.union(stored(linked(stored(cross_pairs(small, sets), "jaccard-pairs"), sets), "jaccard-links"))
         large = open_groups.filter(F.col("far") > small_group)
         if last or large.isEmpty():
             break
         groups = stored(refined(large, sets, bands, level), "jaccard-finer")
-        stars = stars_of(groups, sets)
-        links = links.union(stars.filter("linked").select("a", "b"))
+        links = links.union(star_links(groups, sets))
     roots = stored(components(links), "jaccard-roots").select(F.col("node").alias("sid"), "root")
     # The component's smallest document, over the distinct sets; then back to every document.
     rooted = distinct.join(roots, "sid", "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
