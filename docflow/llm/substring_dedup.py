@@ -6,8 +6,9 @@ also starts in a document with a smaller id; windows are judged on the input.
 Documents are cut into runs of windows that share a minimizer (the smallest hash of three words
 inside the window); a run goes to the shard that its minimizer's hash names. Equal windows have
 equal minimizers and so meet in one shard, each window is in one shard only, and shards are of
-like sizes however many there are. A shard's index is built over its runs (those whose minimizer
-no other run there has can't match and are left out), and all its runs are streamed through it:
+like sizes however many there are. A shard's index is built over its runs, and its runs are streamed
+through it (those that share neither the words before nor after their minimizer with another can't
+match and are left out):
 backward search over the wavelet matrix lengthens the match of every window at once, a word a
 step, until it is unique or ``WINDOW`` words long. The smallest document among the suffixes found
 decides.
@@ -45,8 +46,9 @@ HELD = 400_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (in windows) of runs of windows with one minimizer, and the minimizers."""
+def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (in windows) of runs of windows with one minimizer, the minimizers' places in
+    the runs, and the minimizers."""
     h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
     grams = h[: len(h) - GRAM + 1]
     for k in range(1, GRAM):
@@ -54,7 +56,7 @@ def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
     place = inside.argmin(axis=1) + np.arange(len(inside))
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return starts, np.r_[starts[1:], len(place)], grams[place[starts]]
+    return starts, np.r_[starts[1:], len(place)], place[starts] - starts, grams[place[starts]]
 
 
 def pack(parts: list[np.ndarray], texts: list[bytes], squeeze) -> bytes:
@@ -66,7 +68,7 @@ def pack(parts: list[np.ndarray], texts: list[bytes], squeeze) -> bytes:
 def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
     """``shard, sent, decided`` of ``doc_id, h, text``.
 
-    ``sent`` holds runs: document, digest of its text, minimizer, first window, words. ``decided``
+    ``sent`` holds runs: document, digest of its text, minimizer's place, first window, words. ``decided``
     holds windows that a smaller document of the batch has too: document, digest, first, end.
     """
 
@@ -78,9 +80,9 @@ def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
             found: list[tuple[int, bytes, int, int, int, int, int]] = []
             least: dict[bytes, int] = {}
             for doc, digest, words in held:
-                starts, ends, minimizers = runs(words)
+                starts, ends, places, minimizers = runs(words)
                 to = (mixed(minimizers, 11) % np.uint64(shards)).tolist()
-                for s, e, m, shard in zip(starts.tolist(), ends.tolist(), (minimizers >> np.uint64(32)).tolist(), to, strict=True):
+                for s, e, m, shard in zip(starts.tolist(), ends.tolist(), places.tolist(), to, strict=True):
                     body = b" ".join(words[s : e + WINDOW - 1])
                     if least.setdefault(body, doc) > doc:
                         least[body] = doc
@@ -96,8 +98,8 @@ def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
                     (sent if least[x[1]] >= x[2] else decided).append(x)
                     end += 1
                 out[0].append(found[at][0])
-                out[1].append(pack([np.array([x[k] for x in sent], kind) for k, kind in ((2, "i8"), (3, "i8"), (4, "u4"), (5, "i4"))], [x[1] for x in sent], squeeze))
-                out[2].append(pack([np.array([x[k] for x in decided], kind) for k, kind in ((2, "i8"), (3, "i8"), (5, "i4"), (6, "i4"))], [b""] * len(decided), squeeze) if decided else b"")
+                out[1].append(pack([np.array([x[k] for x in sent], kind) for k, kind in ((2, "i8"), (3, "u4"), (4, "u1"), (5, "i4"))], [x[1] for x in sent], squeeze))
+                out[2].append(pack([np.array([x[k] for x in decided], kind) for k, kind in ((2, "i8"), (3, "u4"), (5, "i4"), (6, "i4"))], [b""] * len(decided), squeeze) if decided else b"")
                 at = end
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "sent", "decided"])
 
@@ -130,6 +132,29 @@ def open_pack(raw: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], byt
     return out, body[at:]
 
 
+def may_share(bodies: list[bytes], places: list[int]) -> list[int]:
+    """The runs that may have a window in common with another run.
+
+    A window holds its minimizer and ten words more: five or more before it, or five or more after
+    it. So two runs with a common window have the minimizer with the five words before it in
+    common, or with the five after it.
+    """
+    half = (WINDOW - GRAM) // 2
+    seen: dict[tuple[bool, bytes], int] = {}
+    again: set[int] = set()
+    for i, (body, p) in enumerate(zip(bodies, places, strict=True)):
+        words = body.split(b" ")
+        if p >= half:
+            first = seen.setdefault((True, b" ".join(words[p - half : p + GRAM])), i)
+            if first != i:
+                again.update((first, i))
+        if len(words) - p - GRAM >= half:
+            first = seen.setdefault((False, b" ".join(words[p : p + GRAM + half])), i)
+            if first != i:
+                again.update((first, i))
+    return sorted(again)
+
+
 def shared_windows(bodies: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of all windows of some runs, those which a smaller document has too: run and first word."""
     index: dict[bytes, int] = {}
@@ -172,19 +197,18 @@ def search_shard(table: pa.Table) -> pa.Table:
     bodies: list[bytes] = []
     done: list[list[np.ndarray]] = []
     for raw, decided in zip(table.column("sent").to_pylist(), table.column("decided").to_pylist(), strict=True):
-        numbers, body = open_pack(raw, ("i8", "i8", "u4", "i4"))
+        numbers, body = open_pack(raw, ("i8", "u4", "u1", "i4"))
         if len(numbers[0]):
             for k, x in enumerate(numbers):
                 columns[k].append(x)
             bodies += body.split(b"\n")
         if decided:
-            done.append(open_pack(decided, ("i8", "i8", "i4", "i4"))[0])
+            done.append(open_pack(decided, ("i8", "u4", "i4", "i4"))[0])
     doc, digest, start, end = ([x[k] for x in done] for k in range(4))
     end = [e + WINDOW - 1 for e in end]
     if bodies:
-        docs, digests, minimizers, starts = (np.concatenate(c) for c in columns)
-        _, back, counts = np.unique(minimizers, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(counts[back] > 1)
+        docs, digests, places, starts = (np.concatenate(c) for c in columns)
+        several = np.array(may_share(bodies, places.tolist()), np.int64)
         if len(several):
             run, first = shared_windows([bodies[i] for i in several.tolist()], docs[several])
             # neighbours are put together: windows of a run come one after another
@@ -224,7 +248,7 @@ def remaining(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    texts = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     spans = covered(texts)
     return texts.join(spans, ["doc_id", "h"], "left")
 
