@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import id_text, map_arrow, stored
+from .common import discard, id_text, map_arrow, stored
 from .components import components
 
 SHINGLE = 5
@@ -318,7 +318,7 @@ def groups_of(table: pa.Table) -> pa.Table:
 
 
 def needed(rows: DataFrame) -> DataFrame:
-    """``gid, hub, sid`` of the groups to look into.
+    """``gid, sid, size`` of the groups to look into.
 
     A set that has few enough keys of large groups, by what it can spare, meets each of its links
     in another group as well: large groups keep only the sets that have more.
@@ -328,13 +328,12 @@ def needed(rows: DataFrame) -> DataFrame:
     members = rows.filter("gid IS NOT NULL")
     small = members.filter(F.col("size") <= SMALL_GROUP).select("gid", "sid", "size")
     large = members.filter(F.col("size") > SMALL_GROUP).join(heavy, (F.col("sid") == F.col("s")) & (F.col("role") == F.col("r")), "left_semi").select("gid", "sid", "size")
-    return with_hubs(small.union(large))
+    return small.union(large)
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
-    """``gid, hub, sid`` of groups of two or more. The hub is the member that meets most others over
+    """``gid, hub, sid`` of groups of two or more, from ``gid, sid, size``. The hub is the member that meets most others over
     all its groups: among near copies the one from which the others are made, or the nearest to it."""
-    members = stored(members, "jaccard-grouped")
     weight = members.groupBy("sid").agg(F.sum("size").alias("w"))
     weighed = members.select("gid", "sid").join(weight, "sid")
     one = W.partitionBy("gid")
@@ -345,7 +344,12 @@ def with_hubs(members: DataFrame) -> DataFrame:
 def find_groups(docs: DataFrame, bands: dict[int, int], total: int, salt: int = 0) -> DataFrame:
     buckets = max(16, math.ceil(total / 2 / BUCKET))
     found = entries(docs, bands, buckets, salt)
-    return needed(stored(found.groupBy("bucket").applyInArrow(groups_of, GROUPS_DDL), "jaccard-keys"))
+    keys = stored(found.groupBy("bucket").applyInArrow(groups_of, GROUPS_DDL), "jaccard-keys")
+    grouped = stored(needed(keys), "jaccard-grouped")
+    discard(keys)
+    groups = stored(with_hubs(grouped), "jaccard-groups")
+    discard(grouped)
+    return groups
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -428,7 +432,9 @@ def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own")).filter("lo < hi")
     open_ones = members.join(mixed_ones.select("gid", "own"), "gid")
     far = F.count_if(F.col("root") != F.col("own")).over(W.partitionBy("gid"))
-    return stored(open_ones.select("gid", "sid", "root", far.alias("far")), "jaccard-mixed")
+    mixed_members = stored(open_ones.select("gid", "sid", "root", far.alias("far")), "jaccard-mixed")
+    discard(members)
+    return mixed_members
 
 
 def possible(table: pa.Table) -> pa.Table:
@@ -474,7 +480,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b = int(np.searchsorted(ends, r["n"]))
         bands[b] = bands.get(b, 0) + r["k"]
     total = sum(r["total"] for r in exact)
-    groups = stored(find_groups(texts, bands, total), "jaccard-groups")
+    groups = find_groups(texts, bands, total)
     wanted = groups.select("sid").distinct()
     sets = stored(set_table(texts, distinct.join(wanted, "sid").select("sid", "doc")), "jaccard-hashes")
     links = star_links(groups, sets)
@@ -515,7 +521,7 @@ def refined(large: DataFrame, sets: DataFrame, bands: dict[int, int], level: int
     parts = map_arrow(large.select("gid", "sid").join(sets, "sid").select("gid", "sid", "hashes"), make, "gid long, key long, sid long")
     parts = parts.select(F.xxhash64("gid", "key").alias("gid"), "sid").distinct()
     sizes = parts.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
-    return with_hubs(parts.join(sizes, "gid"))
+    return with_hubs(stored(parts.join(sizes, "gid"), "jaccard-grouped"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
