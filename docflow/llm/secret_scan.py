@@ -4,7 +4,8 @@ Three kinds of spans are found in a text, leftmost and non-overlapping for each
 ``assign`` (password = ...), ``access`` (AKIA...) and ``hex``. The text is the first layer. A
 layer that holds URL escapes, Unicode escapes, character references or base64 gives further
 layers; base64 or escapes may unwrap to compressed bytes, which are unpacked. Layers are scanned
-until none is new: a layer whose text was seen before is not taken again, so cycles end. Spans of
+until none is new: a layer whose text was seen before, from the same characters of the first one,
+is not taken again, so cycles end and each place of a repeated secret is found. Spans of
 a decoded layer are mapped back to the characters of the text that they come from (for compressed
 bytes: to the whole encoded run). Offsets count code points, ends are exclusive.
 
@@ -23,6 +24,7 @@ import html
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -73,6 +75,13 @@ class Layer:
         self.starts = range(len(text)) if starts is None else starts
         self.ends = range(1, len(text) + 1) if ends is None else ends
 
+    def key(self) -> bytes:
+        """A digest of the text and its mapping."""
+        seen = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"))
+        for places in (self.starts, self.ends):
+            seen.update(array("q", places).tobytes())
+        return seen.digest()
+
     def back(self, start: int, end: int) -> tuple[int, int]:
         return min(self.starts[start:end]), max(self.ends[start:end])
 
@@ -189,14 +198,14 @@ def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], lis
     base = ordered(find(text))
     if not ("%" in text or "\\" in text or "&#" in text) and max(map(len, text.split()), default=0) < 24:
         return base, base
-    found, first, seen, work = set(base), Layer(text), {text}, []
-    work.append(first)
+    first = Layer(text)
+    found, seen, work = set(base), {first.key()}, [first]
     while work:
         layer = work.pop()
         for new in deeper(layer, max_unpacked):
-            if new.text in seen:
+            if (key := new.key()) in seen:
                 continue
-            seen.add(new.text)
+            seen.add(key)
             work.append(new)
             inside = set()
             for kind, s, e in find(new.text):

@@ -131,6 +131,17 @@ def test_secrets_in_layers(wrapped):
     assert "hunter2" not in secret_scan.redact(f"before {wrapped} after", every)
 
 
+def test_every_place_of_a_repeated_encoded_secret():
+    once, packed = b64(SECRET.encode()), b64(gzip.compress(SECRET.encode()))
+    text = f"first {once} then {once} and {packed} end"
+    every = secret_scan.scan(text)[1]
+    assert [k for k, *_ in every] == ["assign"] * 3
+    assert all(text.index(once, at) <= s < e <= text.index(once, at) + len(once) for (_, s, e), at in zip(every, (0, 40), strict=False))
+    clean = secret_scan.redact(text, every)
+    assert not any(s for s in clean.split() if len(s) > 24 and secret_scan.scan(s)[1])
+    assert clean.count("[SECRET]") == 3 and once not in clean and packed not in clean
+
+
 @given(st.text("pastoken=:'\" %41&#;AKI0123456789abcdef\\u", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_base_secrets_by_brute_force(text):
