@@ -51,14 +51,17 @@ ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 
 EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])")
+# Any run of groups with two colons, compressed or with a dotted end; ``is_ip`` judges it.
+IPV6 = re.compile(r"(?<!\w)(?<![0-9A-Fa-f:]:)(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{0,38}(?:[0-9A-Fa-f]|::|:(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\w|:[\w:]|\.[0-9])")
 IPV4 = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
 CARD = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])|\([0-9]{2,5}\)[ .-]?|[0-9]{2,5}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w-])|(?<![\w.])\+[0-9]{8,15}(?!\w)")
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
-TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({WORD}(?: {WORD})?)")
-FULL = re.compile(rf"(?<!\w)({WORD}) ({WORD})")
+GIVEN = f"(?:{'|'.join(GENDERED)})"
+KNOWN = f"{GIVEN}(?: {GIVEN})* {WORD}"
+TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({KNOWN}|{WORD}(?: {WORD})?)")
+FULL = re.compile(rf"(?<!\w){KNOWN}")
 DATE = re.compile(r"[0-9]{4}([-. ])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-. ])[0-9]{2}\2[0-9]{4}")
 DIGIT = re.compile(r"[0-9]")
 Entity = tuple[str, int, int]
@@ -93,10 +96,10 @@ def detect(text: str) -> list[Entity]:
     found: list[Entity] = []
     if "@" in text:
         found += (("email", *m.span()) for m in EMAIL.finditer(text))
-    if DIGIT.search(text):
+    if DIGIT.search(text) or "::" in text:
         for kind, pattern, valid in (
             ("iban", IBAN, is_iban),
-            ("ip", IPV6, is_ip),
+            ("ip", IPV6, lambda x: x != "::" and is_ip(x)),
             ("ip", IPV4, is_ip),
             ("card", CARD, lambda x: luhn_sum(digits(x)) % 10 == 0),
             ("ssn", SSN, bool),
@@ -104,7 +107,7 @@ def detect(text: str) -> list[Entity]:
         ):
             found += ((kind, *m.span()) for m in pattern.finditer(text) if valid(m[0]))
     found += (("name", m.start(2), m.end(2)) for m in TITLED.finditer(text))
-    found += (("name", *m.span()) for m in FULL.finditer(text) if m[1] in GENDERED)
+    found += (("name", *m.span()) for m in FULL.finditer(text))
     taken: list[Entity] = []
     for e in found:
         if all(e[2] <= s or t <= e[1] for _, s, t in taken):
@@ -137,9 +140,18 @@ def same_format(text: str, key: bytes, tweak: str, fixed: set[int] = frozenset()
     return "".join(out)
 
 
+def same_hex(text: str, key: bytes, tweak: str) -> str:
+    """``text`` with its hexadecimal digits permuted, letters to letters."""
+    letters = {i: "abcdef" if c in "abcdef" else "ABCDEF" for i, c in enumerate(text) if c in "abcdefABCDEF"}
+    return same_format(text, key, tweak, ranges=letters)
+
+
 def ip_surrogate(text: str, key: bytes, tweak: str) -> str:
     if ":" in text:
-        return same_format(text, key, tweak, {i for i, c in enumerate(text) if c not in "0123456789"})
+        head, colon, tail = text.rpartition(":")
+        if "." in tail:
+            return f"{same_hex(head, key, tweak)}{colon}{ip_surrogate(tail, key, tweak)}"
+        return same_hex(text, key, tweak)
     parts = [int(x) for x in text.split(".")]
     base, sizes = [1 if 1 <= parts[0] <= 223 else 0, 0, 0, 0], [223 if 1 <= parts[0] <= 223 else 256, 256, 256, 256]
     return ".".join(str(b + v) for b, v in zip(base, permuted([p - b for p, b in zip(parts, base, strict=True)], sizes, key, tweak), strict=True))

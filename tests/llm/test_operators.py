@@ -182,6 +182,26 @@ def test_surrogates():
     assert pii.replace(text, b"key") == (new, found) != pii.replace(text, b"other")
 
 
+def test_names_after_capitalised_words_and_compressed_addresses():
+    for text, want in {
+        "Contact John Smith today": "John Smith",
+        "Dear Mary Jones, hello": "Mary Jones",
+        "Пишет Анна Петрова": "Анна Петрова",
+        "The Engineer John Paul Jones": "John Paul Jones",
+        "Mr. John Paul Jones": "John Paul Jones",
+        "from fe80::1: down": "fe80::1",
+        "at ::1 only": "::1",
+        "IP:2001:db8::ff00:42:8329.": "2001:db8::ff00:42:8329",
+        "at 1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8",
+        "net fd::": "fd::",
+        "as ::ffff:10.1.2.3": "::ffff:10.1.2.3",
+    }.items():
+        new, found = pii.replace(text, b"key")
+        assert [text[s:e] for _, s, e in found] == [want]
+        assert want not in new and [k for k, *_ in pii.detect(new)] == [found[0][0]]
+    assert not pii.detect("at 12:30:45, std::vector, a:b, ::x, aa:bb:cc:dd:ee:ff and New York City ::")
+
+
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=3))
 def test_permutation_is_one_to_one(values):
     size = len(values)
