@@ -2,12 +2,12 @@
 
 Three kinds of spans are found in a text, leftmost and non-overlapping for each kind:
 ``assign`` (password = ...), ``access`` (AKIA...) and ``hex``. The text is the first layer. A
-layer that holds URL escapes, Unicode escapes, character references or base64 gives further
-layers; base64 or escapes may unwrap to compressed bytes, which are unpacked. Layers are scanned
+layer that holds URL escapes, Unicode escapes, character references, base64 (at any alignment) or
+UTF-16 read as bytes gives further layers; so do the compressed bytes of a layer. Layers are scanned
 until none is new: a layer whose text was seen before, from the same characters of the first one,
 is not taken again, so cycles end and each place of a repeated secret is found. Spans of
 a decoded layer are mapped back to the characters of the text that they come from (for compressed
-bytes: to the whole encoded run). Offsets count code points, ends are exclusive.
+bytes: to all from their head on). Offsets count code points, ends are exclusive.
 
 Edge cases: a null text counts as empty; one row out for each row in, repeated ids included; an
 empty table gives an empty one; further columns are ignored. Unpacking one compressed run stops
@@ -46,7 +46,15 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 REFERENCE = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+#: The shortest secret, 16 hex digits, takes LONG characters of base64; packed, SHORTEST at least.
+LONG, SHORTEST = 22, 12
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}")
+#: Heads of gzip, zlib, bz2, xz and zstd, as bytes and in base64.
+PACKED = re.compile(r"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+PACKED_BASE64 = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|[/_]Td6|KLUv")
+LATIN1 = re.compile(r"[\x00-\xff]+")
+#: UTF-16 and UTF-32 read byte by byte, little-endian and big-endian.
+WIDE = [re.compile(f"(?:{unit}){{8,}}") for unit in (r"[^\0]\0", r"\0[^\0]", r"[^\0]\0{3}", r"\0{3}[^\0]")]
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 Span = tuple[str, int, int]
@@ -83,7 +91,7 @@ class Layer:
         return seen.digest()
 
     def back(self, start: int, end: int) -> tuple[int, int]:
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        return self.starts[start], self.ends[end - 1]  # neither ever falls
 
     def replaced(self, pieces: list[tuple[int, int, str, list[int] | None]]) -> Layer:
         """With [start, end) replaced by other text. The list has, for each new character, the
@@ -122,37 +130,28 @@ def unpack(data: bytes, max_unpacked: int) -> bytes | None:
     return None
 
 
-def as_text(data: bytes, max_unpacked: int) -> tuple[str, bool] | None:
-    """The text in some bytes and whether they had to be unpacked; None if they hold none."""
-    unpacked = False
-    while (inner := unpack(data, max_unpacked)) is not None:
-        data, unpacked = inner, True
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return (text, unpacked) if text and 10 * odd <= len(text) else None
-
-
-def byte_cuts(text: str, width: list[int]) -> list[int]:
-    """For each character of a decoded run its place in the run; width: place of each byte, and the end."""
-    cuts, at = [], 0
-    for c in text:
-        cuts.append(width[at])
-        at += len(c.encode("utf-8"))
-    return [*cuts, width[-1]]
+def base64_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
+    """The bytes of a run at each alignment: the encoded part may begin after a path or an escape."""
+    sextets = run.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        n = len(run) - skip
+        n -= n % 4 == 1
+        if n < 2:
+            break
+        data = base64.b64decode(sextets[skip : skip + n] + "=" * (-n % 4))
+        # byte k takes its bits from characters k*8//6 on, and ends where bit 8k+8 does
+        at, k = start + skip, range(len(data))
+        starts = [layer.starts[at + i * 8 // 6] for i in k]
+        ends = [layer.ends[at + -(-(i + 1) * 8 // 6) - 1] for i in k]
+        yield Layer(data.decode("latin-1"), starts, ends)
 
 
 def deeper(layer: Layer, max_unpacked: int) -> Iterator[Layer]:
-    """The layers that one unwrapping of ``layer`` gives."""
+    """The layers that one unwrapping of ``layer`` gives. A byte becomes the character of its
+    number, so that no bytes are lost; what is searched for is ASCII."""
     text = layer.text
     if "%" in text:
-        pieces = []
-        for m in PERCENT.finditer(text):
-            data = binascii.unhexlify(m[0].replace("%", ""))
-            if got := as_text(data, max_unpacked):
-                pieces.append((*m.span(), got[0], None if got[1] else byte_cuts(got[0], list(range(0, len(m[0]) + 1, 3)))))
+        pieces = [(*m.span(), binascii.unhexlify(m[0].replace("%", "")).decode("latin-1"), list(range(0, len(m[0]) + 1, 3))) for m in PERCENT.finditer(text)]
         if pieces:
             yield layer.replaced(pieces)
     if "\\" in text:
@@ -169,34 +168,27 @@ def deeper(layer: Layer, max_unpacked: int) -> Iterator[Layer]:
         pieces = [(*m.span(), html.unescape(m[0]), None) for m in REFERENCE.finditer(text)]
         if pieces:
             yield layer.replaced(pieces)
-    if max(map(len, text.split()), default=0) >= 24:
+    if "\0" in text:
+        for wide in WIDE:
+            pieces = [(*m.span(), m[0].replace("\0", ""), list(range(0, len(m[0]) + 1, step))) for m in wide.finditer(text) if (step := len(m[0]) // (len(m[0]) - m[0].count("\0")))]
+            if pieces:
+                yield layer.replaced(pieces)
+    for m in PACKED.finditer(text):
+        rest = LATIN1.match(text, m.start())[0]
+        if content := unpack(rest.encode("latin-1"), max_unpacked):
+            place = layer.back(m.start(), m.start() + len(rest))
+            yield Layer(content.decode("latin-1"), [place[0]] * len(content), [place[1]] * len(content))
+    if max(map(len, text.split()), default=0) >= SHORTEST:
         for m in BASE64.finditer(text):
-            run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(run) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(run + "=" * (-len(run) % 4))
-            except binascii.Error:
-                continue
-            if got := as_text(data, max_unpacked):
-                # byte k takes its bits from characters k*8//6 on, and ends where bit 8k+8 does
-                starts, ends = [], []
-                place = 0
-                for c in got[0]:
-                    step = len(c.encode("utf-8"))
-                    a, b = (m.start(), m.end()) if got[1] else (m.start() + place * 8 // 6, m.start() + -(-(place + step) * 8 // 6))
-                    a, b = layer.back(a, b)
-                    starts.append(a)
-                    ends.append(b)
-                    place += step
-                yield Layer(got[0], starts, ends)
+            if len(m[0]) >= LONG or PACKED_BASE64.search(m[0]):
+                yield from base64_layers(layer, m.start(), m[0])
 
 
 def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], list[Span]]:
     """The spans of the text itself, and all spans with those of decoded layers."""
     text = text or ""
     base = ordered(find(text))
-    if not ("%" in text or "\\" in text or "&#" in text) and max(map(len, text.split()), default=0) < 24:
+    if not any(x in text for x in ("%", "\\", "&#", "\0")) and max(map(len, text.split()), default=0) < SHORTEST:
         return base, base
     first = Layer(text)
     found, seen, work = set(base), {first.key()}, [first]

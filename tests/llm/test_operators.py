@@ -7,6 +7,7 @@ import gzip
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -142,6 +143,33 @@ def test_every_place_of_a_repeated_encoded_secret():
     assert clean.count("[SECRET]") == 3 and once not in clean and packed not in clean
 
 
+@pytest.mark.parametrize(
+    ("wrapped", "kind"),
+    [
+        (b64(b"0123456789abcdef"), "hex"),
+        (b64(b"0123456789abcdef0"), "hex"),
+        (b64(zlib.compress(b"0" * 16)), "hex"),
+        ("https://h.example/cb/" + b64(SECRET.encode()), "assign"),
+        ("https://h.example/ab/" + b64(gzip.compress(SECRET.encode())), "assign"),
+        ("\\n" + b64(SECRET.encode()), "assign"),
+        (b64(SECRET.encode()).rstrip("=") + "/x-y/z", "assign"),
+        ("key_" + base64.urlsafe_b64encode(SECRET.encode() + b"\xff\xfe").decode(), "assign"),
+        (b64(SECRET.encode("utf-16")), "assign"),
+        (b64(SECRET.encode("utf-16-be")), "assign"),
+        (b64("Пароль: ".encode("utf-16-le") + SECRET.encode("utf-16-le")), "assign"),
+        (b64(b"\x00\x01\x02\x03" * 9 + SECRET.encode()), "assign"),
+        ("%E9" + "".join(f"%{c:02X}" for c in SECRET.encode()), "assign"),
+        (b64(b"caf\xe9 " + SECRET.encode()), "assign"),
+    ],
+)
+def test_secrets_in_short_shifted_and_undecodable_runs(wrapped, kind):
+    text = f"before {wrapped} after"
+    base, every = secret_scan.scan(text)
+    assert not base and {k for k, *_ in every} == {kind}
+    assert all(7 <= s < e <= 7 + len(wrapped) for _, s, e in every)
+    assert not secret_scan.scan(secret_scan.redact(text, every))[1]
+
+
 @given(st.text("pastoken=:'\" %41&#;AKI0123456789abcdef\\u", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_base_secrets_by_brute_force(text):
