@@ -9,7 +9,9 @@ from lookup tables (one for each subspace); since the part left out can add no m
 length, a table distance rules a vector out for certain or lets it through to the exact cosine in
 double precision. Every vector is indexed and is a query.
 
-Equal vectors are one entry with their number. Links are counted where they are found; what goes
+Equal vectors are one entry with their number. A link counts for both of its ends, once: entries
+and queries carry the lists that they visit, so that the task that finds a pair knows whether the
+entry meets the query in the query's list too, and counts for the entry where it doesn't. What goes
 on from a task are a count for each vector and a spanning forest of its links, not pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those
@@ -118,15 +120,15 @@ def fit(entries: DataFrame, sample: int) -> dict[tuple[str, int], Quantiser]:
 
 
 def dealt(entries: DataFrame, quantisers: dict, probes: int) -> DataFrame:
-    """``list, query, vec_id, n, v``: each vector once as an entry of its list, and as a query in
-    each list that it visits. Lists are named by label, dimension and centroid."""
+    """``list, query, vec_id, n, v, visits``: each vector once as an entry of its list, and as a query
+    in each list that it visits, its own first. Lists are named by label, dimension and centroid."""
 
     def make():
         names = {key: f"{key[0]}|{key[1]}" for key in quantisers}
 
         def columns(batch: pa.RecordBatch) -> list:
             labels, ids, ns, vs = (batch.column(c).to_pylist() for c in ("label", "vec_id", "n", "v"))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             groups: dict[tuple[str, int], list[int]] = {}
             for i, (label, v) in enumerate(zip(labels, vs, strict=True)):
                 groups.setdefault((label, len(v)), []).append(i)
@@ -134,15 +136,15 @@ def dealt(entries: DataFrame, quantisers: dict, probes: int) -> DataFrame:
                 x = unit(np.array([vs[i] for i in members]))
                 near = quantisers[key].nearest(x, probes)
                 for i, row, lists in zip(members, x, near.tolist(), strict=True):
-                    raw = row.tobytes()
+                    raw, visits = row.tobytes(), np.array(lists, np.int32).tobytes()
                     for k, c in enumerate([lists[0], *lists]):
-                        for column, value in zip(out, (f"{names[key]}|{c}", k > 0, ids[i], ns[i], raw), strict=True):
+                        for column, value in zip(out, (f"{names[key]}|{c}", k > 0, ids[i], ns[i], raw, visits), strict=True):
                             column.append(value)
             return out
 
         return columns
 
-    return map_arrow(entries.select("label", "vec_id", "n", "v"), make, "list string, query boolean, vec_id long, n long, v binary")
+    return map_arrow(entries.select("label", "vec_id", "n", "v"), make, "list string, query boolean, vec_id long, n long, v binary, visits binary")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     every = lambda n: F.sequence(F.lit(0), n - 1)
     e = F.when(F.col("query"), every(blocks_e)).otherwise(F.array(F.pmod(own, blocks_e).cast("int")))
     q = F.when(F.col("query"), F.array(F.pmod(own, blocks_q).cast("int"))).otherwise(every(blocks_q))
-    return joined.withColumn("e", F.explode(e)).withColumn("q", F.explode(q)).select("list", "e", "q", "query", "vec_id", "n", "v")
+    return joined.withColumn("e", F.explode(e)).withColumn("q", F.explode(q)).select("list", "e", "q", "query", "vec_id", "n", "v", "visits")
 
 
 def match_lists(quantisers: dict, threshold: float):
@@ -170,8 +172,9 @@ def match_lists(quantisers: dict, threshold: float):
         ids = np.array(table.column("vec_id").to_pylist(), np.int64)
         ns = np.array(table.column("n").to_pylist(), np.int64)
         x = np.frombuffer(b"".join(table.column("v").to_pylist()), float).reshape(len(ids), -1)
+        visits = np.frombuffer(b"".join(table.column("visits").to_pylist()), np.int32).reshape(len(ids), -1)
         own, queries = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        a, b, counts = [], [], np.zeros(len(queries), np.int64)
+        a, b, counts = [], [], np.zeros(len(ids), np.int64)
         if len(own):
             order = own[np.argsort(ids[own])]
             codes, left = quantiser.encode(x[order], int(which))
@@ -188,17 +191,20 @@ def match_lists(quantisers: dict, threshold: float):
                     cosine = np.einsum("ij,ij->i", x[block[i]], x[order[part][j]])
                     linked = (cosine >= threshold) & (ids[block[i]] != ids[order[part][j]])
                     i, j = i[linked], j[linked]
-                    counts[q0 : q0 + len(block)] += np.bincount(i, ns[order[part][j]], len(block)).astype(np.int64)
-                    forest = spanning(ids[block[i]], ids[order[part][j]])
+                    asks, has = block[i], order[part][j]
+                    np.add.at(counts, asks, ns[has])
+                    unmet = (visits[has] != visits[asks, :1]).all(1)  # the entry doesn't visit the query's list
+                    np.add.at(counts, has[unmet], ns[asks[unmet]])
+                    forest = spanning(ids[asks], ids[has])
                     a.append(forest[0])
                     b.append(forest[1])
         links = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
         links = spanning(*links)
-        n = len(links[0])
+        n, some = len(links[0]), np.flatnonzero(counts)
         return pa.table({
-            "a": np.concatenate([links[0], ids[queries]]),
-            "b": pa.array(np.concatenate([links[1], ids[queries]]), mask=np.r_[np.zeros(n, bool), np.ones(len(queries), bool)]),
-            "links": pa.array(np.concatenate([np.zeros(n, np.int64), counts])),
+            "a": np.concatenate([links[0], ids[some]]),
+            "b": pa.array(np.concatenate([links[1], ids[some]]), mask=np.r_[np.zeros(n, bool), np.ones(len(some), bool)]),
+            "links": pa.array(np.concatenate([np.zeros(n, np.int64), counts[some]])),
         })
 
     return run

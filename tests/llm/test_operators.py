@@ -259,6 +259,22 @@ def test_embedding_recall(spark):
     assert found >= 0.9 * linked.sum() and all(got[i] <= n for i, n in enumerate(linked.sum(1)))
 
 
+def test_links_of_a_label_with_many_lists(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + rng.normal(size=x.shape) * 0.34 / 8  # cosines of about 0.93 to 0.96
+    both = np.concatenate([x, y]).astype(np.float32)  # 12,000 of a label: 47 lists
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(both)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table).collect()}
+    u = both.astype(float) / np.linalg.norm(both.astype(float), axis=1, keepdims=True)
+    linked = [i for i in range(6000) if u[i] @ u[6000 + i] >= 0.93]
+    found = [i for i in linked if got[6000 + i][1] == i]
+    assert len(linked) > 1000 and len(found) >= 0.9 * len(linked)
+    assert all(got[i][0] == got[6000 + i][0] == 1 for i in found)
+
+
 def test_pipeline(spark, docs):
     out = corpus_pipeline.run(spark, SF)
     now = docs
