@@ -7,11 +7,13 @@ UTF-16 read as bytes gives further layers; so do the compressed bytes of a layer
 until none is new: a layer whose text was seen before, from the same characters of the first one,
 is not taken again, so cycles end and each place of a repeated secret is found. Spans of
 a decoded layer are mapped back to the characters of the text that they come from (for compressed
-bytes: to all from their head on). Offsets count code points, ends are exclusive.
+bytes: to all of these). Offsets count code points, ends are exclusive.
 
 Edge cases: a null text counts as empty; one row out for each row in, repeated ids included; an
-empty table gives an empty one; further columns are ignored. Unpacking one compressed run stops
-at ``max_unpacked`` bytes (16 MiB), the guard against compression bombs; nothing else is cut.
+empty table gives an empty one; further columns are ignored. Compressed runs are unpacked through
+all members or frames, in windows of about ``max_unpacked`` bytes (16 MiB), each scanned. The guard
+against compression bombs is 64 windows a document: a run beyond it, or one whose content can't be
+cut into windows safely, has a span of the kind ``unread`` as a whole, and is redacted with it.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import id_text, map_arrow
 
 KINDS = ("assign", "access", "hex")
+#: The kind of a compressed run that wasn't read to its end; it counts as a secret as a whole.
+UNREAD = "unread"
+ORDER = (*KINDS, UNREAD)
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # the greedy run of 18 characters or more
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -52,6 +57,10 @@ BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}")
 #: Heads of gzip, zlib, bz2, xz and zstd, as bytes and in base64.
 PACKED = re.compile(r"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 PACKED_BASE64 = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|[/_]Td6|KLUv")
+#: Encoded bytes unpacked in a step, unpacked bytes of a piece, windows unpacked for a document, and
+#: what windows share where one can't be cut outside of the characters of secrets and encodings.
+STEP, PIECE, TOTAL, OVERLAP = 256, 1 << 20, 64, 1 << 16
+INSIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\&#;{}\0"
 LATIN1 = re.compile(r"[\x00-\xff]+")
 #: UTF-16 and UTF-32 read byte by byte, little-endian and big-endian.
 WIDE = [re.compile(f"(?:{unit}){{8,}}") for unit in (r"[^\0]\0", r"\0[^\0]", r"[^\0]\0{3}", r"\0{3}[^\0]")]
@@ -76,26 +85,33 @@ def find(text: str) -> list[Span]:
 class Layer:
     """A text whose character i comes from characters starts[i] to ends[i] of the first one."""
 
-    __slots__ = ("ends", "starts", "text")
+    __slots__ = ("cut", "ends", "starts", "text", "unread", "whole")
 
-    def __init__(self, text: str, starts=None, ends=None):
-        self.text = text
+    def __init__(self, text: str, starts=None, ends=None, whole: tuple[int, int] | None = None, cut: bool = False, unread: bool = False):
+        """``whole``: where all characters come from, if it is the same for all; ``cut``: more
+        follows in another layer; ``unread``: stands for what can't be read."""
+        self.text, self.whole, self.cut, self.unread = text, whole, cut, unread
         self.starts = range(len(text)) if starts is None else starts
         self.ends = range(1, len(text) + 1) if ends is None else ends
 
     def key(self) -> bytes:
         """A digest of the text and its mapping."""
         seen = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"))
-        for places in (self.starts, self.ends):
+        for places in (self.whole,) if self.whole else (self.starts, self.ends):
             seen.update(array("q", places).tobytes())
+        seen.update(bytes([self.whole is not None, self.cut, self.unread]))
         return seen.digest()
 
     def back(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]  # neither ever falls
+        return self.whole or (self.starts[start], self.ends[end - 1])  # neither ever falls
 
     def replaced(self, pieces: list[tuple[int, int, str, list[int] | None]]) -> Layer:
         """With [start, end) replaced by other text. The list has, for each new character, the
         place in the run from which it comes, with the run's length at its end; None: the whole."""
+        if self.whole:
+            cuts = [0, *(x for s, e, *_ in pieces for x in (s, e)), len(self.text)]
+            kept = [self.text[a:b] for a, b in list(pairwise(cuts))[::2]]
+            return Layer("".join(x for pair in zip(kept, [*(p[2] for p in pieces), ""], strict=True) for x in pair), whole=self.whole, cut=self.cut)
         text, starts, ends, at = [], [], [], 0
         for s, e, new, cuts in pieces:
             text += (self.text[at:s], new)
@@ -111,23 +127,81 @@ class Layer:
         return Layer("".join(text), [*starts, *self.starts[at:]], [*ends, *self.ends[at:]])
 
 
-def unpack(data: bytes, max_unpacked: int) -> bytes | None:
-    """The content of compressed bytes; None if they aren't."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, max_unpacked)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, max_unpacked)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, max_unpacked)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, max_unpacked)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                return reader.read(max_unpacked)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return None
+def opened(head: bytes):
+    """A decompressor for bytes that begin so; None if they aren't compressed."""
+    if head.startswith(b"\x1f\x8b\x08"):
+        return zlib.decompressobj(31)
+    if head[:2] in (b"x\x01", b"x^", b"x\x9c", b"x\xda"):
+        return zlib.decompressobj()
+    if head.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if head.startswith(b"\xfd7zXZ\0"):
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    return zstandard.ZstdDecompressor().decompressobj() if head.startswith(b"\x28\xb5\x2f\xfd") else None
+
+
+def unpacked(text: str, start: int, left: list[int]) -> Iterator[tuple[bytes, int, bool]]:
+    """The content of the compressed bytes from ``start`` on, of all members or frames, piece by
+    piece: bytes, where reading has come to, and whether the last member is whole. ``left`` holds
+    how many bytes may still be unpacked."""
+    at, d = start, None
+    while at < len(text):
+        raw = LATIN1.match(text, at, min(at + STEP, len(text)))
+        if not raw:
+            break
+        raw = raw[0].encode("latin-1")
+        try:
+            if d is None:
+                while at > start and raw[:1] == b"\0":  # padding between members
+                    raw, at = raw[1:], at + 1
+                if not raw:
+                    continue
+                if (d := opened(raw)) is None:
+                    return
+            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                out, more = d.decompress(raw, PIECE), lambda: not d.eof and not d.needs_input
+            else:
+                out, more = d.decompress(raw), lambda: False
+            at += len(raw) - len(d.unused_data)
+            while True:
+                left[0] -= len(out)
+                yield out, at, d.eof
+                if left[0] < 0 or not more():
+                    break
+                out = d.decompress(b"", PIECE)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            return
+        if left[0] < 0:
+            return
+        if d.eof:
+            d = None
+
+
+def windows(layer: Layer, start: int, window: int, left: list[int]) -> Iterator[Layer]:
+    """Layers of at most about ``window`` characters each of unpacked content, cut where neither a
+    secret nor an encoded run can go on. A part that can't be read, or can't be cut so, is marked."""
+    parts: list[str] = []
+    n, end, whole, cut, broken = 0, start, True, False, False
+
+    def out(text: str, cut: bool) -> Layer:
+        return Layer(text, whole=layer.back(start, max(end, start + 1)), cut=cut)
+
+    for piece, end, whole in unpacked(layer.text, start, left):
+        for k in range(0, len(piece), window):
+            parts.append(piece[k : k + window].decode("latin-1"))
+            n += len(parts[-1])
+            if n >= window:
+                text = "".join(parts)
+                safe = len(text.rstrip(INSIDE))
+                broken, cut = broken or not safe, True
+                yield out(text[:safe] if safe else text, True)
+                rest = text[safe:] if safe else text[-OVERLAP:]
+                parts, n = [rest], len(rest)
+    if n:
+        yield out("".join(parts), False)
+    # more than may be unpacked, one run longer than a window, or compressed bytes that the window before cuts
+    if end > start and (broken or left[0] < 0 or (not whole and layer.cut and end == len(layer.text))):
+        yield Layer("", whole=layer.back(start, max(end, start + 1)) if left[0] >= 0 else layer.back(start, LATIN1.match(layer.text, start).end()), unread=True)
 
 
 def base64_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
@@ -139,6 +213,9 @@ def base64_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
         if n < 2:
             break
         data = base64.b64decode(sextets[skip : skip + n] + "=" * (-n % 4))
+        if layer.whole:
+            yield Layer(data.decode("latin-1"), whole=layer.whole, cut=layer.cut)
+            continue
         # byte k takes its bits from characters k*8//6 on, and ends where bit 8k+8 does
         at, k = start + skip, range(len(data))
         starts = [layer.starts[at + i * 8 // 6] for i in k]
@@ -146,7 +223,7 @@ def base64_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
         yield Layer(data.decode("latin-1"), starts, ends)
 
 
-def deeper(layer: Layer, max_unpacked: int) -> Iterator[Layer]:
+def deeper(layer: Layer, window: int, left: list[int]) -> Iterator[Layer]:
     """The layers that one unwrapping of ``layer`` gives. A byte becomes the character of its
     number, so that no bytes are lost; what is searched for is ASCII."""
     text = layer.text
@@ -174,10 +251,7 @@ def deeper(layer: Layer, max_unpacked: int) -> Iterator[Layer]:
             if pieces:
                 yield layer.replaced(pieces)
     for m in PACKED.finditer(text):
-        rest = LATIN1.match(text, m.start())[0]
-        if content := unpack(rest.encode("latin-1"), max_unpacked):
-            place = layer.back(m.start(), m.start() + len(rest))
-            yield Layer(content.decode("latin-1"), [place[0]] * len(content), [place[1]] * len(content))
+        yield from windows(layer, m.start(), window, left)
     if max(map(len, text.split()), default=0) >= SHORTEST:
         for m in BASE64.finditer(text):
             if len(m[0]) >= LONG or PACKED_BASE64.search(m[0]):
@@ -191,26 +265,31 @@ def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], lis
     if not any(x in text for x in ("%", "\\", "&#", "\0")) and max(map(len, text.split()), default=0) < SHORTEST:
         return base, base
     first = Layer(text)
-    found, seen, work = set(base), {first.key()}, [first]
-    while work:
-        layer = work.pop()
-        for new in deeper(layer, max_unpacked):
-            if (key := new.key()) in seen:
-                continue
-            seen.add(key)
-            work.append(new)
-            inside = set()
-            for kind, s, e in find(new.text):
-                span = (kind, *new.back(s, e))
-                # What a replaced layer leaves as it was, or cuts short, is the base's own.
-                if not any(k == kind and a <= span[1] and span[2] <= b for k, a, b in found):
-                    inside.add(span)
-            found |= inside
+    found, seen, left = set(base), {first.key()}, [TOTAL * max_unpacked]
+    work = [deeper(first, max_unpacked, left)]
+    while work:  # depth first, so that few layers are held at once
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (key := new.key()) in seen:
+            continue
+        seen.add(key)
+        if new.unread:
+            found.add((UNREAD, *new.whole))
+            continue
+        inside = set()
+        for kind, s, e in find(new.text):
+            span = (kind, *new.back(s, e))
+            # What a replaced layer leaves as it was, or cuts short, is the base's own.
+            if span not in inside and not any(k == kind and a <= span[1] and span[2] <= b for k, a, b in found):
+                inside.add(span)
+        found |= inside
+        work.append(deeper(new, max_unpacked, left))
     return base, ordered(found)
 
 
 def ordered(spans) -> list[Span]:
-    return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return sorted(spans, key=lambda x: (x[1], ORDER.index(x[0]), x[2]))
 
 
 def joined(spans: list[Span]) -> str:

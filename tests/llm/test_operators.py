@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
@@ -12,6 +14,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -170,6 +173,24 @@ def test_secrets_in_short_shifted_and_undecodable_runs(wrapped, kind):
     assert not secret_scan.scan(secret_scan.redact(text, every))[1]
 
 
+@pytest.mark.parametrize("squeeze", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_in_later_members_and_beyond_a_window(squeeze):
+    line, secret = b"plain words, again and again\n", SECRET.encode()
+    for data in (squeeze(line) + squeeze(secret), squeeze(line * 4000 + secret + line), squeeze(line * 3) + squeeze(line * 2000) + squeeze(squeeze(secret))):
+        text = f"before {b64(data)} after"
+        every = secret_scan.scan(text, 1 << 14)[1]
+        assert {k for k, *_ in every} == {"assign"}
+        assert secret_scan.redact(text, every).rstrip("=") in ("before [SECRET] after", "before [SECRET]= after", "before [SECRET]== after")
+
+
+def test_unreadable_compressed_runs_are_redacted():
+    bomb = b64(gzip.compress(gzip.compress(b"\n" * (1 << 22))))
+    for text in (f"before {bomb} after", f"before {b64(gzip.compress(b'a' * (1 << 16)))} after"):
+        every = secret_scan.scan(text, 1 << 12)[1]
+        assert "unread" in {k for k, *_ in every}
+        assert secret_scan.redact(text, every).split("=")[0].split()[:2] == ["before", "[SECRET]"]
+
+
 @given(st.text("pastoken=:'\" %41&#;AKI0123456789abcdef\\u", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_base_secrets_by_brute_force(text):
