@@ -10,7 +10,8 @@ Surrogates come from keyed permutations of each format's own values (a Feistel n
 changeable characters), so that different entities get different surrogates and the same entity
 gets the same one in every document, without a table of them. The collision check is by document:
 a surrogate that equals an original of the document, or one given to another entity there, is
-drawn again with the next tweak.
+drawn again with the next tweak. After DRAWS of these a wider format is drawn from: any letters for
+a first name, any country code, a whole IPv6 address, and then names and mailboxes grown by a letter.
 
 Edge cases: a null text stays null and has none; an empty text stays; one row out for each row in;
 repeated ids are handled alike; an empty table gives an empty one; further columns are ignored.
@@ -22,6 +23,7 @@ import hashlib
 import ipaddress
 import re
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +66,8 @@ TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))}
 FULL = re.compile(rf"(?<!\w){KNOWN}")
 DATE = re.compile(r"[0-9]{4}([-. ])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-. ])[0-9]{2}\2[0-9]{4}")
 DIGIT = re.compile(r"[0-9]")
+#: Surrogates drawn from a format before a wider one is taken.
+DRAWS = 1000
 Entity = tuple[str, int, int]
 
 
@@ -201,8 +205,26 @@ def name_surrogate(text: str, gender: str, key: bytes, tweak: str) -> str:
 MAKERS = {"ip": ip_surrogate, "card": card_surrogate, "iban": iban_surrogate, "phone": phone_surrogate, "email": email_surrogate, "ssn": same_format}
 
 
+def wider(kind: str, text: str, gender: str, key: bytes, tweak: int, level: int) -> str:
+    """A surrogate from a larger space than the text's own format, growing with ``level``."""
+    drawn = f"{kind}{tweak}|wide"
+    if kind == "name":
+        more = ("а" if text[-1] in ALPHABETS[5] + ALPHABETS[6] + "ёЁ" else "a") * (level - 1)
+        return " ".join(same_format(w, key, f"{drawn}|{k}|{gender}") for k, w in enumerate((text + more).split(" ")))
+    if kind == "email":
+        return email_surrogate("a" * level + text, key, drawn)
+    if kind == "phone":
+        return same_format(text, key, drawn)
+    if kind == "ip" and ":" in text:
+        full = ipaddress.ip_address(text).exploded
+        return same_format(full, key, drawn, ranges={i: "0123456789abcdef" for i, c in enumerate(full) if c != ":"})
+    return MAKERS[kind](text, key, drawn)
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, gender: str, key: bytes, tweak: int) -> str:
+    if tweak >= DRAWS:
+        return wider(kind, text, gender, key, tweak, tweak // DRAWS)
     if kind == "name":
         return name_surrogate(text, gender, key, f"{kind}{tweak}")
     return MAKERS[kind](text, key, f"{kind}{tweak}")
@@ -225,7 +247,7 @@ def replace(text: str, key: bytes) -> tuple[str, list[Entity]]:
     for kind, s, e in entities:
         entity = text[s:e]
         if (kind, entity) not in given:
-            for tweak in range(1000):
+            for tweak in count():
                 new = surrogate(kind, entity, gender_before(text, s) if kind == "name" else "", key, tweak)
                 if new not in originals and new not in used:
                     break

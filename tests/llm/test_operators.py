@@ -251,6 +251,26 @@ def test_names_after_capitalised_words_and_compressed_addresses():
     assert not pii.detect("at 12:30:45, std::vector, a:b, ::x, aa:bb:cc:dd:ee:ff and New York City ::")
 
 
+@pytest.mark.parametrize(
+    "originals",
+    [
+        [f"Госпожа {n}" for n in pii.FIRST_NAMES["cyrillic", "f"]],
+        [f"Mr. {n}" for n in pii.FIRST_NAMES["latin", "m"]],
+        ["Herr Ёё", "Herr Ёж"],
+        [f"::{i}" for i in range(1, 10)],
+        [f"{c}@{d}.de" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abc"],
+    ],
+)
+def test_surrogates_stay_distinct_when_a_list_is_used_up(originals):
+    text = ", ".join(originals)
+    new, found = pii.replace(text, b"key")
+    before = [text[s:e] for _, s, e in found]
+    assert len(before) == len(originals)
+    parts = [p.split(" ", 1)[-1] for p in new.split(", ")]
+    assert len(set(parts)) == len(originals) and not set(parts) & set(before)
+    assert [k for k, *_ in pii.detect(new)] == [k for k, *_ in found]
+
+
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=3))
 def test_permutation_is_one_to_one(values):
     size = len(values)
