@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACES = r"[\x20\x09-\x0D]"
 #: The same characters, for ``translate``.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +73,55 @@ def has_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def perhaps_in(column: Column, ids: DataFrame, bits: int = 23) -> Column:
+    """Whether ``column`` may be among ``ids`` (one column of numbers): surely not where it is false.
+
+    A Bloom filter of fixed size (2**bits bits, 1 MiB), whatever the number of ids; the more of them, the more
+    others pass. It only saves shuffles: an exact join has to follow.
+    """
+    name = ids.columns[0]
+    places = F.array(*(hashed_place(F.col(f"`{name}`"), k, bits) for k in range(2)))
+    marks = ids.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("w"))
+    words = np.zeros(1 << (bits - 5), np.uint32)
+    made = marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(31)).cast("int"))).alias("b")).toArrow()
+    words[made.column("w").to_numpy()] = made.column("b").to_numpy().astype(np.uint32)
+    table = ids.sparkSession.createDataFrame(pa.table({"b": pa.array([words.tobytes()], pa.binary())})).scalar()
+
+    def marked(k: int) -> Column:
+        place = hashed_place(column, k, bits)
+        byte = F.conv(F.hex(F.substring(table, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return F.coalesce(marked(0) & marked(1), F.lit(False))
+
+
+def hashed_place(column: Column, k: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column.cast("long"), F.lit(k)), 64 - bits)
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone`` (one column of ids); those without an id stay.
+
+    Rows that a filter of fixed size clears go straight on, so that only the others are shuffled.
+    """
+    name = "gone " + uuid.uuid4().hex
+    suspect = perhaps_in(F.col(f"`{id_col}`"), gone)
+    rest = docs.filter(suspect).join(gone.select(F.col(f"`{gone.columns[0]}`").alias(name)), F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
+    return docs.filter(~suspect).union(rest)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, which long texts make large for a worker; a session's own
+    setting stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
     """Each Arrow batch turned into another one. ``make()`` is called once a task and gives the
     function from a batch to the columns (Arrow arrays, or values for them) in the order of ``ddl``."""
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = make()

@@ -6,15 +6,15 @@ also starts in a document with a smaller id; windows are judged on the input.
 Documents are cut into runs of windows that share a minimizer (the smallest hash of three words
 inside the window); a run goes to the shard that its minimizer's hash names. Equal windows have
 equal minimizers and so meet in one shard, each window is in one shard only, and shards are of
-like sizes however many there are. A shard's index is built over its runs, and its runs are streamed
-through it (those that share neither the words before nor after their minimizer with another can't
-match and are left out):
-backward search over the wavelet matrix lengthens the match of every window at once, a word a
-step, until it is unique or ``WINDOW`` words long. The smallest document among the suffixes found
-decides.
+like sizes however many there are. A shard's index is built over its distinct runs, and its runs are
+streamed through it: backward search over the wavelet matrix gives the matching statistics (cut at ``WINDOW``
+words) with a step for each word, and the smallest document of the suffixes matched tells whether
+a window is reported. Runs that share neither the words before nor those after their minimizer with another
+run can match nothing and are left out of the index.
 
-A run that several documents of a batch share is sent once, for the smallest; for the others it
-is decided at once. So a passage that many documents share costs a run for each batch.
+Words are compared by 64-bit hashes. A run that several documents of a chunk share is sent once, for the
+smallest; for the others it is decided at once. So a passage that many documents share costs its shard
+a run for each chunk of documents, not for each document.
 
 Edge cases: null or empty texts have no words; documents shorter than a window lose nothing;
 rows with a null id are neither compared nor counted as a source; rows that repeat an id are one
@@ -29,198 +29,226 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, stored
+from .common import id_text, map_arrow, small_batches, stored
 from .fm_index import FmIndex
-from .jaccard_join import mixed
+from .wording import CHUNK, Runs, chunks, mixed, word_hashes, word_places
 
 WINDOW = 13
 GRAM = 3
-#: Characters of documents for each shard, and words that a task holds before it sends.
-SHARD = 8_000_000
-HELD = 400_000
+#: Characters of documents for each shard, and bytes of text that are cut at once.
+SHARD = 5_000_000
+HELD = 1_500_000
+#: The low bits of a gram's hash, which give way to its place.
+PLACES = (1 << 32) - 1
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (in windows) of runs of windows with one minimizer, the minimizers' places in
-    the runs, and the minimizers."""
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    grams = h[: len(h) - GRAM + 1]
-    for k in range(1, GRAM):
-        grams = mixed(grams + h[k : len(h) - GRAM + 1 + k], k)
-    inside = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
-    place = inside.argmin(axis=1) + np.arange(len(inside))
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return starts, np.r_[starts[1:], len(place)], place[starts] - starts, grams[place[starts]]
-
-
-def pack(parts: list[np.ndarray], texts: list[bytes], squeeze) -> bytes:
-    """Columns of numbers and a list of texts, compressed."""
-    body = b"".join(p.tobytes() for p in parts) + b"\n".join(texts)
-    return np.int32(len(texts)).tobytes() + squeeze(body)
+class Cut:
+    """Runs of windows with one minimizer, of several documents' words: ``first`` and ``end`` in words, the minimizer's place
+    in the run, and its hash."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray):
+        n = len(words)
+        grams = words[: n - GRAM + 1]
+        for k in range(1, GRAM):
+            grams = mixed(grams + words[k : n - GRAM + 1 + k], k)
+        # hash and place in one number, so that a sliding minimum gives both; the leftmost of equal ones counts
+        low = (grams & ~np.uint64(PLACES)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACES))
+        width = 1
+        while width < WINDOW - GRAM + 1:
+            step = min(width, WINDOW - GRAM + 1 - width)
+            low = np.minimum(low[:-step], low[step:])
+            width += step
+        window = np.flatnonzero(doc[: n - WINDOW + 1] == doc[WINDOW - 1 :])
+        low = low[window]
+        new = np.ones(len(window), bool)
+        new[1:] = (low[1:] != low[:-1]) | (window[1:] != window[:-1] + 1)
+        at = np.flatnonzero(new)
+        self.first = window[at]
+        self.end = window[np.append(at[1:], len(window)) - 1] + WINDOW if len(at) else at
+        self.place = (low[at] & np.uint64(PLACES)).astype(np.int64) - (self.first & PLACES)
+        self.minimizer = low[at] & ~np.uint64(PLACES)
+
+
+#: What is sent of a run's document: id, digest of its text, first word, and which run.
+OWNER = np.dtype([("doc", "<i8"), ("digest", "<u4"), ("first", "<i4"), ("run", "<i4")])
+#: What is sent of a run that is decided: id, digest, first word and end.
+DECIDED = np.dtype([("doc", "<i8"), ("digest", "<u4"), ("s", "<i4"), ("e", "<i4")])
 
 
 def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
-    """``shard, sent, decided`` of ``doc_id, h, text``.
-
-    ``sent`` holds runs: document, digest of its text, minimizer's place, first window, words. ``decided``
-    holds windows that a smaller document of the batch has too: document, digest, first, end.
-    """
+    """``shard, places, owners, bytes`` of ``doc_id, h, text``: the distinct runs of a chunk of documents with sizes in bytes
+    and minimizers' places, the smallest document that has each, and their words. Rows with a negative shard have
+    windows that a smaller document of the chunk has too, in ``owners``."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        held: list[tuple[int, int, list[bytes]]] = []
-
-        def flush() -> pa.RecordBatch:
-            found: list[tuple[int, bytes, int, int, int, int, int]] = []
-            least: dict[bytes, int] = {}
-            for doc, digest, words in held:
-                starts, ends, places, minimizers = runs(words)
-                to = (mixed(minimizers, 11) % np.uint64(shards)).tolist()
-                for s, e, m, shard in zip(starts.tolist(), ends.tolist(), places.tolist(), to, strict=True):
-                    body = b" ".join(words[s : e + WINDOW - 1])
-                    if least.setdefault(body, doc) > doc:
-                        least[body] = doc
-                    found.append((shard, body, doc, digest, m, s, e))
-            found.sort(key=lambda x: x[0])
-            out: tuple[list, list, list] = ([], [], [])
-            at = 0
-            while at < len(found):
-                end = at
-                sent, decided = [], []
-                while end < len(found) and found[end][0] == found[at][0]:
-                    x = found[end]
-                    (sent if least[x[1]] >= x[2] else decided).append(x)
-                    end += 1
-                out[0].append(found[at][0])
-                out[1].append(pack([np.array([x[k] for x in sent], kind) for k, kind in ((2, "i8"), (3, "u4"), (4, "u1"), (5, "i4"))], [x[1] for x in sent], squeeze))
-                out[2].append(pack([np.array([x[k] for x in decided], kind) for k, kind in ((2, "i8"), (3, "u4"), (5, "i4"), (6, "i4"))], [b""] * len(decided), squeeze) if decided else b"")
-                at = end
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "sent", "decided"])
-
-        n = 0
         for batch in batches:
-            ids, digests = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            for doc, digest, text in zip(ids, digests, batch.column("text").to_pylist(), strict=True):
-                words = (text or "").encode("utf-8").split()
-                if doc is None or len(words) < WINDOW:
-                    continue
-                held.append((doc, digest, words))
-                n += len(words)
-                if n > HELD:
-                    yield flush()
-                    held.clear()
-                    n = 0
-        if held:
-            yield flush()
-
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "shard int, sent binary, decided binary")
-
-
-def open_pack(raw: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
-    n = int(np.frombuffer(raw, np.int32, 1)[0])
-    body = zstandard.ZstdDecompressor().decompress(raw[4:])
-    out, at = [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(body, kind, n, at))
-        at += out[-1].nbytes
-    return out, body[at:]
-
-
-def may_share(bodies: list[bytes], places: list[int]) -> list[int]:
-    """The runs that may have a window in common with another run.
+            ids = np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            known = np.array([x is not None for x in batch.column("doc_id").to_pylist()], bool)
+            digests = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint32)
+            for a, b, data, offsets in chunks(batch.column("text"), HELD):
+                made = list(sent(data, offsets, ids[a:b], known[a:b], digests[a:b], shards, squeeze))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "places", "owners", "bytes"])
+
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "shard int, places binary, owners binary, bytes binary")
+
+
+def sent(data, offsets, ids, known, digests, shards, squeeze):
+    """The rows of a chunk of texts."""
+    starts, ends, counts = word_places(data, offsets)
+    if len(starts) < WINDOW:
+        return
+    words = word_hashes(data, starts, ends)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    cut = Cut(words, np.where(known[doc], doc, -1 - np.arange(len(doc))))  # rows without an id have no windows
+    if not len(cut.first):
+        return
+    begin = np.cumsum(counts) - counts
+    owner = doc[cut.first]
+    bodies, which = np.unique(Runs(words).of(cut.first, cut.end), return_inverse=True)
+    order = np.lexsort((ids[owner], which))
+    chosen = order[np.searchsorted(which[order], np.arange(len(bodies)))]  # of each body the run in the smallest document
+    least = ids[owner[chosen]][which]
+    table = np.zeros(len(cut.first), OWNER)
+    table["doc"], table["digest"], table["first"] = ids[owner], digests[owner], cut.first - begin[owner]
+    shard = (mixed(cut.minimizer, 11) % np.uint64(shards)).astype(np.int64)
+    stay = np.flatnonzero(ids[owner] == least)
+    order = stay[np.lexsort((which[stay], shard[stay]))]
+    lo, hi = starts[cut.first], ends[cut.end - 1]
+    raw = data.tobytes()
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        distinct, index = np.unique(which[part], return_inverse=True)
+        rows = table[part]
+        rows["run"] = index
+        runs = chosen[distinct]
+        sizes = (hi[runs] - lo[runs]).astype("<i4")
+        text = b"".join([raw[s:e] for s, e in zip(lo[runs].tolist(), hi[runs].tolist(), strict=True)])
+        yield int(shard[part[0]]), sizes.tobytes() + cut.place[runs].astype("u1").tobytes(), squeeze(rows.tobytes()), squeeze(text)
+    gone = np.flatnonzero(ids[owner] != least)
+    if len(gone):
+        rows = np.zeros(len(gone), DECIDED)
+        rows["doc"], rows["digest"], rows["s"], rows["e"] = ids[owner[gone]], digests[owner[gone]], table["first"][gone], table["first"][gone] + cut.end[gone] - cut.first[gone]
+        yield -1 - int(mixed(words[:1])[0] % np.uint64(shards)), b"", squeeze(joined_spans(rows).tobytes()), b""
+
+
+def joined_spans(rows: np.ndarray) -> np.ndarray:
+    """Spans of one document that overlap or touch put together."""
+    rows = rows[np.lexsort((rows["s"], rows["digest"], rows["doc"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["digest"][1:] != rows["digest"][:-1]) | (rows["s"][1:] > rows["e"][:-1])
+    out = rows[new]
+    if len(rows):
+        out["e"] = np.maximum.reduceat(rows["e"], np.flatnonzero(new))
+    return out
+
+
+def may_share(words: Runs, first: np.ndarray, end: np.ndarray, place: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """The runs that may have a window in common with another run; those in ``several`` are in any case.
 
     A window holds its minimizer and ten words more: five or more before it, or five or more after
     it. So two runs with a common window have the minimizer with the five words before it in
-    common, or with the five after it.
+    common, or with the five after it. The others can match nothing and are left out of the index.
     """
-    half = (WINDOW - GRAM) // 2
-    seen: dict[tuple[bool, bytes], int] = {}
-    again: set[int] = set()
-    for i, (body, p) in enumerate(zip(bodies, places, strict=True)):
-        words = body.split(b" ")
-        if p >= half:
-            first = seen.setdefault((True, b" ".join(words[p - half : p + GRAM])), i)
-            if first != i:
-                again.update((first, i))
-        if len(words) - p - GRAM >= half:
-            first = seen.setdefault((False, b" ".join(words[p : p + GRAM + half])), i)
-            if first != i:
-                again.update((first, i))
-    return sorted(again)
-
-
-def shared_windows(bodies: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all windows of some runs, those which a smaller document has too: run and first word."""
-    index: dict[bytes, int] = {}
-    symbols: list[int] = []
-    sizes: list[int] = []
-    for body in bodies:
-        words = body.split(b" ")
-        sizes.append(len(words))
-        symbols += (index.setdefault(w, len(index) + 1) for w in words)
-        symbols.append(0)  # no window spans it
-    text = np.array(symbols, np.int64)
-    lengths = np.array(sizes, np.int64)
-    at = np.cumsum(lengths + 1) - (lengths + 1)
-    owner = np.repeat(np.arange(len(bodies)), lengths + 1)
-    fm = FmIndex(text, len(index) + 1, WINDOW)
-    doc_at = docs[owner[fm.suffixes]]
-    windows = lengths - WINDOW + 1
-    run = np.repeat(np.arange(len(bodies)), windows)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows) + at[run]
-    lo, hi = fm.start(text[place + WINDOW - 1])
-    for step in range(WINDOW - 2, -1, -1):
-        several = hi - lo > 1  # a window's own place is always among those found
-        run, place, lo, hi = run[several], place[several], lo[several], hi[several]
-        if not len(run):
-            break
-        lo, hi = fm.extend(text[place + step], lo, hi)
-    several = hi - lo > 1
-    run, place, lo, hi = run[several], place[several], lo[several], hi[several]
-    if not len(run):
-        return run, place
-    spans, back = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
-    least = np.minimum.reduceat(np.append(doc_at, doc_at[-1:]), spans.ravel())[::2]
-    shared = least[back.ravel()] < docs[run]
-    return run[shared], (place - at[run])[shared]
+    half, at = (WINDOW - GRAM) // 2, first + place
+    out = several.copy()
+    for fits, a, b in ((place >= half, at - half, at + GRAM), (end - at - GRAM >= half, at, at + GRAM + half)):
+        chosen = np.flatnonzero(fits)
+        _, which, times = np.unique(words.of(a[chosen], b[chosen]), return_inverse=True, return_counts=True)
+        out[chosen] |= times[which] > 1
+    return out
 
 
 def search_shard(table: pa.Table) -> pa.Table:
     """``doc_id, h, s, e``: words s to e of a document are to go."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    bodies: list[bytes] = []
-    done: list[list[np.ndarray]] = []
-    for raw, decided in zip(table.column("sent").to_pylist(), table.column("decided").to_pylist(), strict=True):
-        numbers, body = open_pack(raw, ("i8", "u4", "u1", "i4"))
-        if len(numbers[0]):
-            for k, x in enumerate(numbers):
-                columns[k].append(x)
-            bodies += body.split(b"\n")
-        if decided:
-            done.append(open_pack(decided, ("i8", "u4", "i4", "i4"))[0])
-    doc, digest, start, end = ([x[k] for x in done] for k in range(4))
-    end = [e + WINDOW - 1 for e in end]
-    if bodies:
-        docs, digests, places, starts = (np.concatenate(c) for c in columns)
-        several = np.array(may_share(bodies, places.tolist()), np.int64)
-        if len(several):
-            run, first = shared_windows([bodies[i] for i in several.tolist()], docs[several])
-            # neighbours are put together: windows of a run come one after another
-            new = np.r_[True, (run[1:] != run[:-1]) | (first[1:] != first[:-1] + 1)] if len(run) else np.zeros(0, bool)
-            a, b = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(run)] - 1 if len(run) else np.zeros(0, int)
-            chosen = several[run[a]] if len(run) else np.zeros(0, int)
-            doc.append(docs[chosen])
-            digest.append(digests[chosen])
-            start.append(starts[chosen] + first[a])
-            end.append(starts[chosen] + first[b] + WINDOW if len(run) else np.zeros(0, int))
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, digest, start, end)]
-    return pa.table({"doc_id": joined[0].astype(np.int64), "h": joined[1].astype(np.int64), "s": joined[2].astype(np.int32), "e": joined[3].astype(np.int32)})
+    unpack = zstandard.ZstdDecompressor().decompress
+    done: list[np.ndarray] = []
+    sizes, places, owners, texts, n = [], [], [], [], 0
+    for place, owner, text in zip(*(table.column(c).to_pylist() for c in ("places", "owners", "bytes")), strict=True):
+        if not place:
+            done.append(np.frombuffer(unpack(owner), DECIDED))
+            continue
+        k = len(place) // 5
+        sizes.append(np.frombuffer(place, "<i4", k))
+        places.append(np.frombuffer(place, "u1", k, 4 * k))
+        rows = np.frombuffer(unpack(owner), OWNER).copy()
+        rows["run"] += n
+        owners.append(rows)
+        texts.append(unpack(text))
+        n += k
+    if n:
+        done.append(shared_windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(sizes), np.concatenate(places).astype(np.int64), np.concatenate(owners)))
+    rows = np.concatenate(done) if done else np.zeros(0, DECIDED)
+    return pa.table({"doc_id": rows["doc"].copy(), "h": rows["digest"].astype(np.int64), "s": rows["s"].copy(), "e": rows["e"].copy()})
+
+
+def hashed(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts, chunk by chunk, and how many words each text has."""
+    bounds = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    words, counts, first = [], [], 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK, "right")) - 1)
+        part = data[bounds[first] : bounds[last]]
+        starts, ends, k = word_places(part, bounds[first : last + 1] - bounds[first])
+        words.append(word_hashes(part, starts, ends))
+        counts.append(k)
+        first = last
+    return np.concatenate(words), np.concatenate(counts)
+
+
+def shared_windows(data: np.ndarray, sizes: np.ndarray, place: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Of all windows of a shard's runs, those which a smaller document has too, as spans."""
+    words, counts = hashed(data, sizes)
+    first = np.cumsum(counts) - counts
+    # equal runs of several chunks are one
+    sums = Runs(words)
+    _, chosen, which = np.unique(sums.of(first, first + counts), return_index=True, return_inverse=True)
+    body = which[owners["run"]]
+    least = np.full(len(chosen), np.iinfo(np.int64).max)
+    np.minimum.at(least, body, owners["doc"])
+    most = np.full(len(chosen), np.iinfo(np.int64).min)
+    np.maximum.at(most, body, owners["doc"])
+    keep = np.flatnonzero(may_share(sums, first[chosen], first[chosen] + counts[chosen], place[chosen], least < most))
+    if not len(keep):
+        return np.zeros(0, DECIDED)
+    del sums
+    sizes, least = counts[chosen[keep]], least[keep]
+    total = sizes + 1  # each run ends with a symbol that no window spans
+    at = np.cumsum(total) - total
+    run = np.repeat(np.arange(len(keep)), sizes)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    alphabet, symbols = np.unique(words[first[chosen[keep]][run] + inside], return_inverse=True)
+    text = np.zeros(int(total.sum()), np.int64)
+    text[at[run] + inside] = symbols + 1
+    fm = FmIndex(text, len(alphabet) + 1, WINDOW, np.repeat(least, total))
+    windows = sizes - WINDOW + 1
+    base = np.cumsum(windows) - windows
+    smallest = np.zeros(int(windows.sum()), np.int64)
+    for run, start, group in fm.matches(text, at + sizes, sizes):
+        smallest[base[run] + start] = fm.least[group]
+    # every document that has a run asks for its windows
+    back = np.full(len(chosen), -1)
+    back[keep] = np.arange(len(keep))
+    asks = owners[back[body] >= 0]
+    asked = back[body[back[body] >= 0]]
+    which = np.repeat(np.arange(len(asks)), windows[asked])
+    start = np.arange(len(which)) - np.repeat(np.cumsum(windows[asked]) - windows[asked], windows[asked])
+    gone = smallest[base[asked][which] + start] < asks["doc"][which]
+    which, start = which[gone], start[gone]
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(which)) - 1
+    rows = np.zeros(len(a), DECIDED)
+    if len(a):
+        chosen = asks[which[a]]
+        rows["doc"], rows["digest"], rows["s"], rows["e"] = chosen["doc"], chosen["digest"], chosen["first"] + start[a], chosen["first"] + start[b] + WINDOW
+    return joined_spans(rows)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -228,6 +256,7 @@ def covered(docs: DataFrame) -> DataFrame:
     has ``doc_id, h, text`` where h tells apart texts of one id."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = max(16, math.ceil(chars / SHARD))
+    small_batches(docs.sparkSession)
     found = cut_runs(docs, shards).groupBy("shard").applyInArrow(search_shard, "doc_id long, h long, s int, e int")
     found = stored(found, "repeated-spans")
     return found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))

@@ -12,6 +12,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -19,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from docflow.llm import byte_bpe, components, embedding_dedup, fm_index, jaccard_join, language_id, pii, queries, secret_scan, sql, toxicity
+from docflow.llm import byte_bpe, components, embedding_dedup, fm_index, jaccard_join, language_id, pii, queries, secret_scan, sql, substring_dedup, toxicity, wording
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +73,8 @@ def test_linked_sets_share_a_subset_for_every_layout():
             most = (n + n) * 20 // 180  # of shingles in which sets of this size may differ
             b = a.copy()
             b[: most // 2] = rng.integers(0, 2**63, most // 2, dtype=np.int64).astype(np.uint64)
-            keys, role, _ = jaccard_join.both_bands([np.unique(a), np.unique(b)], {k: crowd for k in range(60)})
+            sets = [np.unique(a), np.unique(b)]
+            keys, role, _ = jaccard_join.both_bands(np.concatenate(sets), np.array([len(x) for x in sets]), {k: crowd for k in range(60)})
             assert set(keys[role < 2].tolist()) & set(keys[role >= 2].tolist())
 
 
@@ -278,14 +280,70 @@ def test_permutation_is_one_to_one(values):
     assert len(images) == 10**size
 
 
-@given(st.lists(st.integers(1, 6), min_size=1, max_size=60), st.lists(st.integers(1, 6), min_size=1, max_size=4))
+@given(st.lists(st.tuples(st.integers(0, 9), st.lists(st.integers(1, 3), min_size=9, max_size=24)), min_size=1, max_size=12))
 @settings(max_examples=100, deadline=None)
-def test_fm_index_counts(text, pattern):
-    fm = fm_index.FmIndex(np.array([*text, 0]), 7, 4)
-    lo, hi = fm.start(np.array(pattern[-1:]))
-    for c in pattern[-2::-1]:
-        lo, hi = fm.extend(np.array([c]), lo, hi)
-    assert hi[0] - lo[0] == sum(text[i : i + len(pattern)] == pattern for i in range(len(text)))
+def test_matching_statistics_by_brute_force(runs):
+    sizes = np.array([len(x) for _, x in runs])
+    text = np.array([c for _, x in runs for c in (*x, 0)])
+    ends = np.cumsum(sizes + 1) - 1
+    fm = fm_index.FmIndex(text, 4, 9, np.repeat([v for v, _ in runs], sizes + 1))
+    got = {(r, s): fm.least[g] for run, start, group in fm.matches(text, ends, sizes) for r, s, g in zip(run.tolist(), start.tolist(), group.tolist(), strict=True)}
+    windows = {(r, s): tuple(x[s : s + 9]) for r, (_, x) in enumerate(runs) for s in range(len(x) - 8)}
+    least = {}
+    for (r, _), w in windows.items():
+        least[w] = min(least.get(w, 99), runs[r][0])
+    assert got == {k: least[w] for k, w in windows.items()}
+
+
+@pytest.mark.parametrize("words", [1, 2, 5, 60])
+def test_substrings_by_brute_force(words):
+    rng = random.Random(words)
+    base = [[f"w{rng.randrange(words)}" for _ in range(rng.randrange(60))] for _ in range(12)]
+    rows = []
+    for _ in range(80):
+        text = [w for _ in range(rng.randrange(4)) for x in [rng.choice(base)] for w in x[rng.randrange(len(x) + 1) :]]
+        if text and rng.random() < 0.3:
+            text[rng.randrange(len(text))] = "other"
+        rows.append((rng.randrange(60), rng.choice([" ", "\n", " \t"]).join(text)))
+    least = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
+    # in small chunks, so that runs meet in shards too, and by shard as the engine does
+    groups = {}
+    texts, ids = pa.array([t for _, t in rows]), np.array([i for i, _ in rows])
+    digests = np.arange(len(rows)).astype(np.uint32)
+    for a, b, data, offsets in wording.chunks(texts, 2000):
+        for row in substring_dedup.sent(data, offsets, ids[a:b], np.ones(b - a, bool), digests[a:b], 5, zstandard.ZstdCompressor().compress):
+            groups.setdefault(row[0], []).append(row)
+    gone = [[False] * len(t.split()) for _, t in rows]
+    for found in groups.values():
+        table = pa.table({n: [r[k] for r in found] for k, n in enumerate(("shard", "places", "owners", "bytes"))})
+        for r in substring_dedup.search_shard(table).to_pylist():
+            gone[r["h"]][r["s"] : r["e"]] = [True] * (r["e"] - r["s"])
+    for (i, t), got in zip(rows, gone, strict=True):
+        w, want = t.split(), [False] * len(t.split())
+        for k in range(len(w) - 12):
+            if least[tuple(w[k : k + 13])] < i:
+                want[k : k + 13] = [True] * 13
+        assert got == want
+
+
+TEXTS = st.lists(st.one_of(st.none(), st.text("aB é\n\t\x0b\x1f\x85\u3000", max_size=30)), max_size=12)
+
+
+@given(TEXTS, st.sampled_from([1, 20, 1 << 20]))
+@settings(max_examples=100, deadline=None)
+def test_words_of_batches(texts, size):
+    got, names = [], {}
+    for _, _, data, offsets in wording.chunks(pa.array(texts, pa.string()), size):
+        starts, ends, counts = wording.word_places(data, offsets)
+        words = [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+        assert all(names.setdefault(w, h) == h for w, h in zip(words, wording.word_hashes(data, starts, ends).tolist(), strict=True))
+        got += [words[e - n : e] for e, n in zip(np.cumsum(counts), counts, strict=True)]
+    assert got == [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    assert len(set(names.values())) == len(names)
 
 
 def test_embedding_recall(spark):
