@@ -132,6 +132,29 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
     return df.mapInArrow(run, ddl)
 
 
+def sampled(rows: DataFrame, by: list[str], id_col: str, most: int, salt: str) -> DataFrame:
+    """For each group ``by`` those of ``rows`` whose ids have the smallest hashes, at most about ``most``: all of a group
+    that has no more, and else as many as whole eighths of a doubling of the hash allow.
+
+    Counts by group and size of the hash tell where to cut, so that no group has to be sorted.
+    """
+    u = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.lit(salt)), 1) / F.lit(float(1 << 63))
+    leveled = rows.withColumn("level", F.floor(-8 * F.log2(F.greatest(u, F.lit(2.0**-62)))).cast("int"))
+    counts = leveled.groupBy(*by, "level").agg(F.count("*").alias("k"))  # some hundreds of levels a group
+    cuts: dict[tuple, tuple[int, int]] = {}
+    for r in sorted(counts.collect(), key=lambda r: -r["level"]):
+        key = tuple(r[c] for c in by)
+        total, cut = cuts.get(key, (0, 1 << 20))
+        cuts[key] = (total + r["k"], r["level"] if total + r["k"] <= most else cut)
+    chosen = F.lit(False)
+    for key, (_, cut) in cuts.items():
+        same = F.col("level") >= cut
+        for c, v in zip(by, key, strict=True):
+            same &= F.col(c).eqNullSafe(F.lit(v))
+        chosen |= same
+    return leveled.filter(chosen).drop("level")
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, typed."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

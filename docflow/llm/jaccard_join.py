@@ -32,24 +32,30 @@ empty one; further columns are ignored. Sets are compared as sets of 64-bit hash
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, id_text, map_arrow, stored
+from .common import discard, id_text, map_arrow, perhaps_in, small_batches, stored, without_ids
 from .components import components
+from .wording import CHUNK, LOWER, chunks, mixed, word_hashes, word_places
 
 SHINGLE = 5
 #: The threshold 80 %: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: Entries of a bucket, and members from which on a subset counts as frequent.
-BUCKET = 500_000
+#: Entries of a bucket, shingles whose subsets a task holds before it sends, sets that it remembers, and
+#: members from which on a subset counts as frequent.
+BUCKET = 1_000_000
+HELD = 250_000
+REMEMBERED = 100_000
 SMALL_GROUP = 12
+#: Members of a block of a group.
+TILE = 512
 #: Share of the units that may lie in subsets that more than SMALL_GROUP sets have.
 FREQUENT = 0.12
 #: Chance that a shingle of one set is in another unrelated one; only costs depend on it.
@@ -57,29 +63,38 @@ SHARED = 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x + np.uint64((salt * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted set of a text's shingle hashes."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    size = min(size, len(h))
-    total = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        total = mixed(total * MIX + h[k : len(h) - size + 1 + k])
-    return np.unique(total)
-
-
-def set_id(found: np.ndarray) -> int:
-    """An id of a set, as a signed 64-bit integer."""
-    return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).astype(np.int64)) if len(found) else 0
+def batch_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``first, end, tokens, sizes`` for runs of texts: each text's sorted distinct shingle hashes, one after another."""
+    for first, end, data, offsets in chunks(column, CHUNK):
+        data = LOWER[data]
+        starts, ends, counts = word_places(data, offsets)
+        h = word_hashes(data, starts, ends)
+        begin = np.cumsum(counts) - counts
+        made = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))  # few words are one shingle
+        at = np.cumsum(made) - made
+        tokens = np.zeros(int(made.sum()), np.uint64)
+        for size in range(1, SHINGLE + 1):
+            chosen = np.flatnonzero(counts >= size if size == SHINGLE else counts == size)
+            n = made[chosen]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            words, total = np.repeat(begin[chosen], n) + place, np.full(len(place), size, np.uint64)
+            for k in range(size):
+                total = mixed(total * MIX + h[words + k])
+            tokens[np.repeat(at[chosen], n) + place] = total
+        for s, e in zip(at.tolist(), (at + made).tolist(), strict=True):
+            tokens[s:e].sort()
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        new[at[at < len(tokens)]] = True
+        until = np.concatenate([[0], np.cumsum(new)])
+        yield first, end, tokens[new], until[at + made] - until[at]
+
+
+def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An id of each set, as a signed 64-bit integer; 0 for empty ones."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens, 31))])
+    ends = np.cumsum(sizes)
+    return np.where(sizes > 0, mixed(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64), 32), 0).astype(np.uint64).view(np.int64)
 
 
 # Bands of sizes
@@ -172,19 +187,18 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: d
     return np.concatenate(keys), np.concatenate(owners), spare
 
 
-def both_bands(sets: list[np.ndarray], bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of sets in their own band and, where a link is possible, in the next lower one.
+def both_bands(tokens: np.ndarray, n: np.ndarray, bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of sets (``n`` tokens each, one after another) in their own band and, where a link is possible, in
+    the next lower one.
 
     Each set has two roles, 2 i in its own band and 2 i + 1 in the lower one; given are the keys,
     their roles and what each role can spare.
     """
-    n = np.array([len(s) for s in sets], np.int64)
     own = band_of(n)
     lower = (own > 0) & (-(-n * PERCENT // 100) <= band_ends()[np.maximum(own - 1, 0)])
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
+    owner = np.repeat(np.arange(len(n)), n)
     keys, who, spare = signatures(tokens, owner, own, bands, salt)
-    role, spares = who * 2, np.full(2 * len(sets), -1, np.int64)
+    role, spares = who * 2, np.full(2 * len(n), -1, np.int64)
     spares[::2] = spare
     if lower.any():
         chosen = np.flatnonzero(lower)
@@ -199,21 +213,28 @@ def both_bands(sets: list[np.ndarray], bands: dict[int, int], salt: int = 0) ->
 # Spark stages
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sid`` of each row."""
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, sid, sketch`` of each row: its set's size, id and sketch."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            return [batch.column("doc_id"), [len(s) for s in sets], [set_id(s) for s in sets]]
+            n, sid, sketches = [], [], []
+            for _, _, tokens, sizes in batch_sets(batch.column("text")):
+                n.append(sizes)
+                sid.append(set_ids(tokens, sizes))
+                ends = np.cumsum(sizes)
+                sketches += (sketch(tokens[e - k : e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n, sid)]
+            return [batch.column("doc_id"), pa.array(joined[0].astype(np.int64)), pa.array(joined[1]), sketches]
 
         return columns
 
-    return map_arrow(docs, make, "doc_id long, n long, sid long")
+    return map_arrow(docs, make, "doc_id long, n long, sid long, sketch binary")
 
 
 def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0) -> DataFrame:
-    """``bucket, keys, sids``: indexed subsets as binary arrays of 64-bit keys and set ids.
+    """``bucket, keys, sids``: indexed subsets as binary arrays of 32-bit keys (unique but for chance within a
+    bucket, and what chance brings together is told apart later) and set ids.
 
     A task skips sets that it has seen, up to a number that fits its memory, so that copies cost
     no more than a set for each task.
@@ -221,60 +242,64 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
 
     def run(batches):
         seen: set[int] = set()
-        sets: list[np.ndarray] = []
-        sids: list[int] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush():
-            keys, role, spares = both_bands(sets, bands, salt)
-            bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
+            tokens, sizes, owned = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, role, spares = both_bands(tokens, sizes, bands, salt)
+            bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, role, bucket = keys[order], role[order], bucket[order]
-            owned = np.array(sids, np.int64)
+            keys, role, bucket = keys[order].astype(np.uint32), role[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
-            ends = [*cuts[1:].tolist(), len(bucket)]
-            starts = cuts.tolist()
+            pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[cuts].astype(np.int32)),
-                    pa.array([keys[s:e].tobytes() for s, e in zip(starts, ends, strict=False)], pa.binary()),
-                    pa.array([packed(role[s:e], owned, spares) for s, e in zip(starts, ends, strict=False)], pa.binary()),
+                    pa.array(bucket[cuts]),
+                    pa.array([keys[s:e].tobytes() for s, e in pieces], pa.binary()),
+                    pa.array([packed(role[s:e], owned, spares) for s, e in pieces], pa.binary()),
                 ],
                 names=["bucket", "keys", "sids"],
             )
 
-        held = 0
+        n = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = shingles(text)
-                sid = set_id(found)
-                if not len(found) or sid in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(sid)
-                sets.append(found)
-                sids.append(sid)
-                held += len(found)
-                if held > 400_000 or len(sets) >= 30_000:
+            for _, _, tokens, sizes in batch_sets(batch.column("text")):
+                sids = set_ids(tokens, sizes)
+                fresh = np.zeros(len(sids), bool)
+                for i, sid in enumerate(sids.tolist()):
+                    if sizes[i] and sid not in seen:
+                        fresh[i] = True
+                        if len(seen) < REMEMBERED:
+                            seen.add(sid)
+                held.append((tokens[np.repeat(fresh, sizes)], sizes[fresh], sids[fresh]))
+                n += len(held[-1][0])
+                if n > HELD:
                     yield flush()
-                    sets, sids, held = [], [], 0
-        if sets:
+                    held, n = [], 0
+        if n:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary")
 
 
+#: Spare units of a role as one byte: values that grow by an eighth, rounded down, so that no role spares too much.
+SPARES = np.unique(np.concatenate([[-1], np.arange(16), (16 * 1.125 ** np.arange(110)).astype(np.int64)]))
+
+
 def packed(role: np.ndarray, sids: np.ndarray, spares: np.ndarray) -> bytes:
-    """Roles as a table of the distinct ones (set id, which role, what it can spare) and 16-bit
+    """Roles as a table of the distinct ones (set id; which role and what it can spare in a byte) and 16-bit
     places in it: each occurs several times."""
     table, place = np.unique(role, return_inverse=True)
-    which = np.clip(spares[table], -1, 2**20) * 2 + (table & 1)
-    return np.int64(len(table)).tobytes() + sids[table >> 1].tobytes() + which.astype(np.int32).tobytes() + place.astype(np.uint16).tobytes()
+    which = (np.searchsorted(SPARES, spares[table], "right") - 1) * 2 + (table & 1)
+    return np.int64(len(table)).tobytes() + sids[table >> 1].tobytes() + which.astype(np.uint8).tobytes() + place.astype(np.uint16).tobytes()
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    place = np.frombuffer(raw, np.uint16, -1, 8 + 12 * n)
-    return np.frombuffer(raw, np.int64, n, 8)[place], np.frombuffer(raw, np.int32, n, 8 + 8 * n)[place]
+    place = np.frombuffer(raw, np.uint16, -1, 8 + 9 * n)
+    which = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    return np.frombuffer(raw, np.int64, n, 8)[place], (SPARES[which >> 1] * 2 + (which & 1))[place]
 
 
 GROUPS_DDL = "gid long, sid long, role int, spare long, size long, frequent long"
@@ -286,7 +311,7 @@ def groups_of(table: pa.Table) -> pa.Table:
     Of keys with the same members one stays. Rows without a gid tell how many keys of large groups
     a role has here.
     """
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
     parts = [unpacked(x) for x in table.column("sids").to_pylist()]
     sids, which = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
@@ -309,7 +334,7 @@ def groups_of(table: pa.Table) -> pa.Table:
     often = np.flatnonzero(size > SMALL_GROUP)
     names, first, times = np.unique(np.stack([sids[often], role[often]], 1), axis=0, return_index=True, return_counts=True) if len(often) else (np.zeros((0, 2), np.int64), often, often)
     n = int(keep.sum())
-    gid = pa.array(np.concatenate([keys[keep].astype(np.int64), np.zeros(len(names), np.int64)]), mask=np.r_[np.zeros(n, bool), np.ones(len(names), bool)])
+    gid = pa.array(np.concatenate([keys[keep].astype(np.int64) | table.column("bucket")[0].as_py() << 32, np.zeros(len(names), np.int64)]), mask=np.r_[np.zeros(n, bool), np.ones(len(names), bool)])
     both = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
     return pa.table({
         "gid": gid, "sid": both(sids[keep], names[:, 0], np.int64), "role": both(role[keep], names[:, 1], np.int32),
@@ -353,11 +378,11 @@ def find_groups(docs: DataFrame, bands: dict[int, int], total: int, salt: int =
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parities of a set's shingles in as many bits as a power of two, four for each shingle or more.
+    """Parities of a set's shingles in as many bits as a power of two, one for each shingle or more.
 
     Two sets differ in at least as many shingles as their sketches differ in bits.
     """
-    size = max(64, 1 << int(4 * max(len(found), 1) - 1).bit_length())
+    size = max(64, 1 << int(max(len(found), 1) - 1).bit_length())
     at = (mixed(found, 97) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -368,24 +393,25 @@ def folded(raw: bytes, words: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``sid, n, hashes, sketch`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
+    """``sid, hashes`` of the sets of ``chosen`` (``sid, doc``: an id of a document that has it)."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            return [batch.column("sid"), [len(x) for x in sets], pa.ListArray.from_arrays(offsets, values), [sketch(x) for x in sets]]
+            parts = list(batch_sets(batch.column("text")))
+            sizes = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.int64)
+            values = np.concatenate([p[2] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            return [batch.column("sid"), pa.ListArray.from_arrays(offsets, values)]
 
         return columns
 
-    rows = docs.join(chosen, F.col("doc_id") == F.col("doc")).select("sid", "text")
-    return map_arrow(rows, make, "sid long, n long, hashes array<long>, sketch binary")
+    some = docs.filter(perhaps_in(F.col("doc_id"), chosen.select("doc")))
+    return map_arrow(some.join(chosen, F.col("doc_id") == F.col("doc")).select("sid", "text"), make, "sid long, hashes array<long>").dropDuplicates(["sid"])
 
 
-def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs that may link by exact bounds: sizes, and sketches that differ in no more bits than
-    linked sets differ in shingles. Only these get their whole sets compared."""
+    linked sets differ in shingles. Only these get their whole sets compared. ``known`` has ``sid, n, sketch``."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
@@ -397,8 +423,8 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return columns
 
-    left = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
-    right = sets.select(F.col("sid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+    left = known.select(F.col("sid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+    right = known.select(F.col("sid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "nx", "ny")
     return map_arrow(joined, make, "a long, b long, keep boolean").filter("keep").select("a", "b")
 
@@ -408,48 +434,56 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link, by exact intersection. Row by row in the engine, so that memory
-    holds two sets at a time however long they are."""
+def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among pairs ``a, b``, which are ruled out by sketches first; the rest have their whole sets made from
+    their texts and intersected exactly. Row by row in the engine, so that memory holds two sets at a time however
+    long they are."""
+    pairs = stored(plausible(pairs, known), "jaccard-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    sets = stored(set_table(docs, known.join(wanted, F.col("sid") == F.col("s")).select("sid", "doc")), "jaccard-hashes")
     left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return joined.filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    links = stored(joined.filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "jaccard-links")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
-def star_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the members of groups and their hubs."""
-    pairs = groups.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    return stored(linked(stored(plausible(pairs, sets), "jaccard-pairs"), sets), "jaccard-links")
+def stars(groups: DataFrame) -> DataFrame:
+    """Pairs of the members of groups and their hubs."""
+    return groups.filter("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
 
 
 def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``gid, sid, root, far`` of those groups whose members lie in different components; ``far`` is how
-    many lie in other components than the hub."""
+    """``gid, sid, root, size, far`` of those groups whose members lie in different components: how many members
+    there are, and how many of them lie in other components than the hub."""
     members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
     own = F.max(F.when(F.col("sid") == F.col("hub"), F.col("root")))
-    mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own")).filter("lo < hi")
-    open_ones = members.join(mixed_ones.select("gid", "own"), "gid")
+    mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own"), F.count("*").alias("size")).filter("lo < hi")
+    open_ones = members.join(mixed_ones.select("gid", "own", "size"), "gid")
     far = F.count_if(F.col("root") != F.col("own")).over(W.partitionBy("gid"))
-    mixed_members = stored(open_ones.select("gid", "sid", "root", far.alias("far")), "jaccard-mixed")
+    mixed_members = stored(open_ones.select("gid", "sid", "root", "size", far.alias("far")), "jaccard-mixed")
     discard(members)
     return mixed_members
 
 
 def possible(table: pa.Table) -> pa.Table:
-    """Pairs of members of a group that lie in different components and may link, by their sketches."""
-    order = np.argsort(table.column("gid").to_numpy(), kind="stable")
-    gid, sid, root, n = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("gid", "sid", "root", "n"))
+    """Pairs of members of a tile that lie in different components and may link, by their sketches. Of a tile
+    of two blocks, pairs with a member of either."""
+    order = np.argsort(table.column("tile").to_numpy(), kind="stable")
+    tile, sid, root, n, block = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("tile", "sid", "root", "n", "block"))
     sketches = table.column("sketch").take(pa.array(order)).to_pylist()
-    starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
+    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
     a, b = [], []
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(gid)], strict=True):
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)], strict=True):
         words = min(map(len, sketches[s:e])) // 8
         bits = np.stack([folded(x, words) for x in sketches[s:e]])
+        two = block[s:e].min() != block[s:e].max()
         for i in range(s, e - 1):
             rest = slice(i + 1, e)
-            at = np.flatnonzero(root[rest] != root[i])
+            at = np.flatnonzero((root[rest] != root[i]) & ((block[rest] != block[i]) if two else True))
             differ = np.bitwise_count(bits[at + i + 1 - s] ^ bits[i - s]).sum(axis=1)
             at = at[differ <= (n[at + i + 1] + n[i]) * (100 - PERCENT) // (100 + PERCENT)] + i + 1
             a.append(np.minimum(sid[at], sid[i]))
@@ -459,74 +493,83 @@ def possible(table: pa.Table) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of a group in different components that may link. Groups are met in buckets."""
-    buckets = max(16, math.ceil(members.count() / 4000))
-    rows = members.join(sets.select("sid", "n", "sketch"), "sid")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets))).select("bucket", "gid", "sid", "root", "n", "sketch")
+def cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of members of a group in different components that may link, from ``gid, sid, root, size``.
+
+    A group is met in tiles of two blocks of its members, ``TILE`` to a block; tiles are put into buckets.
+    """
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    rows = members.withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "sid", "root", "block")
+    buckets = max(16, math.ceil(rows.count() / 4000))
+    rows = rows.join(known.select("sid", "n", "sketch"), "sid")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
     return rows.groupBy("bucket").applyInArrow(possible, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, small_group: int = 4096) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the smallest id reachable by links."""
     texts = id_text(docs, id_col, text_col)
-    members = stored(set_sizes(texts), "jaccard-sets")
-    distinct = stored(members.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc")), "jaccard-distinct")
+    members = stored(described(texts), "jaccard-sets")
+    known = stored(members.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "jaccard-known")
     # Counted by size class, of which there are as many as the logarithm of the longest text has.
     ends = band_ends().tolist()
-    exact = distinct.groupBy(F.floor(F.log2("n") * 8).alias("class")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("total")).collect()
+    exact = known.groupBy(F.floor(F.log2("n") * 8).alias("class")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("total")).collect()
     bands: dict[int, int] = {}
     for r in exact:
         b = int(np.searchsorted(ends, r["n"]))
         bands[b] = bands.get(b, 0) + r["k"]
     total = sum(r["total"] for r in exact)
     groups = find_groups(texts, bands, total)
-    wanted = groups.select("sid").distinct()
-    sets = stored(set_table(texts, distinct.join(wanted, "sid").select("sid", "doc")), "jaccard-hashes")
-    links = star_links(groups, sets)
+    links = linked(stars(groups), known, texts)
     for level in range(1, levels + 1):
         roots = stored(components(links), "jaccard-roots")
         open_groups = labelled(groups, roots)
+        discard(groups)
+        discard(roots)
         last = level == levels
         small = open_groups if last else open_groups.filter(F.col("far") <= small_group)
-        links = links.union(stored(linked(stored(cross_pairs(small, sets), "jaccard-pairs"), sets), "jaccard-links"))
+        links = links.union(linked(cross_pairs(small, known), known, texts))
         large = open_groups.filter(F.col("far") > small_group)
         if last or large.isEmpty():
             break
-        groups = stored(refined(large, sets, bands, level), "jaccard-finer")
-        links = links.union(star_links(groups, sets))
+        groups = stored(refined(large, known, texts, bands, level), "jaccard-finer")
+        links = links.union(linked(stars(groups), known, texts))
     roots = stored(components(links), "jaccard-roots").select(F.col("node").alias("sid"), "root")
     # The component's smallest document, over the distinct sets; then back to every document.
-    rooted = distinct.join(roots, "sid", "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
+    rooted = known.join(roots, "sid", "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = stored(rooted.join(least, "root").select(F.col("sid").alias("s"), "component_id"), "jaccard-named")
     out = members.join(named, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def refined(large: DataFrame, sets: DataFrame, bands: dict[int, int], level: int) -> DataFrame:
+def refined(large: DataFrame, known: DataFrame, docs: DataFrame, bands: dict[int, int], level: int) -> DataFrame:
     """Large groups split by subsets under another hash: ``gid, hub, sid`` of the parts."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            found = [np.array(x, np.int64).astype(np.uint64) for x in batch.column("hashes").to_pylist()]
-            if not found:
+            found = batch.column("hashes")
+            sizes = found.value_lengths().to_numpy().astype(np.int64)
+            if not len(sizes):
                 return [[], [], []]
-            keys, role, _ = both_bands(found, bands, level)
+            keys, role, _ = both_bands(found.flatten().to_numpy().view(np.uint64), sizes, bands, level)
             who = pa.array(role >> 1)
-            return [batch.column("gid").take(who), keys.astype(np.int64), batch.column("sid").take(who)]
+            return [batch.column("gid").take(who), keys.view(np.int64), batch.column("sid").take(who)]
 
         return columns
 
-    parts = map_arrow(large.select("gid", "sid").join(sets, "sid").select("gid", "sid", "hashes"), make, "gid long, key long, sid long")
+    wanted = known.join(large.select(F.col("sid").alias("s")).distinct(), F.col("sid") == F.col("s")).select("sid", "doc")
+    parts = map_arrow(large.select("gid", "sid").join(set_table(docs, wanted), "sid").select("gid", "sid", "hashes"), make, "gid long, key long, sid long")
     parts = parts.select(F.xxhash64("gid", "key").alias("gid"), "sid").distinct()
     sizes = parts.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1")
     return with_hubs(stored(parts.join(sizes, "gid"), "jaccard-grouped"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; columns unchanged."""
-    found = jaccard_components(docs, id_col, text_col)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    unnamed = docs.filter(F.col(f"`{id_col}`").isNull())  # nothing can be said of rows without an id
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").union(unnamed)
+    """The rows of ``docs`` whose id is their component's smallest; columns unchanged. Rows without an id stay:
+    nothing can be said of them. Rows that share an id stay if any of them is the smallest."""
+    found = jaccard_components(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    judged = found.groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("component_id")).alias("goes"))
+    return without_ids(docs, id_col, stored(judged.filter("goes").select("doc_id"), "jaccard-others"))
