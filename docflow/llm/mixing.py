@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
 
     target = least(cap, level * weight), where the level makes the targets add up to all words.
     The level of the first source that is not full counts (a later one is lower). In the order of cap / weight the sources below the level are full, so that the level follows
-    from sums over that order. The windows run over one row per source, not over documents.
+    from sums over that order. The windows run over one row per source, not over documents: in one
+    task, which holds millions of sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = W.partitionBy()
@@ -82,11 +83,11 @@ def mix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is emitted, columns unchanged."""
     sizes = docs.select(F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    per = stored(targets(sizes), "mix-targets").select(F.col("source").alias("__s"), F.col("source_size").alias("__n"), F.col("target").alias("__t"))
-    times = copies(F.col(f"`{id_col}`"), F.col("__t"), F.col("__n"), seed)
-    joined = docs.join(per, docs[source_col].eqNullSafe(per["__s"]), "left").withColumn("__k", times)
-    out = joined.filter("__k > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast(T.LongType()), F.col("__k"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    per = stored(targets(sizes), "mix-targets")
+    # The row is one column and its source another, so that no name of the input can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("own"))
+    joined = rows.join(per, F.col("own").eqNullSafe(F.col("source")), "left").withColumn("k", copies(F.col("id"), F.col("target"), F.col("source_size"), seed))
+    return joined.filter("k > 0").select("row", F.explode(F.sequence(F.lit(1).cast(T.LongType()), F.col("k"))).alias("i")).select("row.*")
 
 
 def op6_rows(docs: DataFrame) -> DataFrame:
