@@ -6,8 +6,8 @@ a window. Embeddings and softmax are trained jointly in numpy. A text is toxic u
 windows is: 1 - score is the product of the windows' own. Unseen misspellings share n-grams with
 words that were seen.
 
-The model is fitted on the driver to a sample with a bound: of each class the ``sample`` labelled
-rows with the smallest hash whose crc32(id as text) mod 5 is not 0; whole texts of them. Scores
+The model is fitted on the driver to a sample with a bound: of each class at most ``sample`` labelled
+rows, those with the smallest hash, whose crc32(id as text) mod 5 is not 0; whole texts of them. Scores
 use whole texts. Since the softmax is linear, one number for each bucket (its embedding times the
 difference of the class weights) is all that is sent to executors, whatever the input's size.
 
@@ -24,15 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import id_text, map_arrow
+from .common import id_text, map_arrow, sampled
 from .language_id import held_out
 
 BITS = 17
 GRAMS = (3, 4, 5)
 WINDOW = 16
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SCHEMA = "doc_id long, score double, predicted int"
 #: ASCII characters that part words.
 BLANKED = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -150,12 +149,11 @@ def fit(texts: list[str], toxic: list[int], size: int = 8, rounds: int = 250, ra
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Model:
     """The model for ``doc_id, text`` and ``doc_id, toxic``, from rows that aren't held out."""
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"), 5, 0))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id"))
-    chosen = marked.withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "toxic")
-    # at most 2 * sample rows of two numbers, by construction
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    chosen = sampled(marked, ["toxic"], "doc_id", sample, "toxic")
+    # At most 2 * sample rows of two numbers, by construction. Of rows that share an id the first text counts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
