@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import map_arrow, stored
+from .common import map_arrow, sampled, stored
 from .components import components
 
 THRESHOLD = 0.93
@@ -109,10 +108,9 @@ class Quantiser:
 
 def fit(entries: DataFrame, sample: int) -> dict[tuple[str, int], Quantiser]:
     """A quantiser for each label and dimension, from at most ``sample`` vectors of each."""
-    rank = F.row_number().over(W.partitionBy("label", "dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
     keyed = entries.select("label", F.size("v").alias("dim"), "vec_id")
     sizes = {(r["label"], r["dim"]): r["n"] for r in keyed.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    chosen = keyed.withColumn("r", rank).filter(F.col("r") <= sample).select("vec_id")
+    chosen = sampled(keyed, ["label", "dim"], "vec_id", sample, "quantiser").select("vec_id")
     found: dict[tuple[str, int], list] = {}
     for r in entries.join(chosen, "vec_id", "left_semi").select("label", "v").toLocalIterator():
         found.setdefault((r["label"], len(r["v"])), []).append(r["v"])
