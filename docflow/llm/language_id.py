@@ -6,11 +6,10 @@ prediction. The margin to the next one gives the score; where it is narrow, ``re
 (the prediction stays, so that every text with a letter has one).
 
 The dictionaries are learned from rows whose crc32(id as text) mod 4 is not 2, from a sample with
-a bound: of each language the ``sample`` rows with the smallest hash, and of each at most
-``excerpt`` characters from a place that the hash picks, up to ``dict_bytes`` in all. Predictions
-use whole texts.
+a bound: of each language at most ``sample`` rows, those with the smallest hash, whole texts of as many as
+have ``dict_bytes`` together (one at least). Predictions use whole texts.
 
-Edge cases: a null text, or one without letters, is ``und`` with score 0; rows without a language
+Edge cases: a null text, or one without letters, is ``und`` with score 0; rows without a language or an id
 aren't learned from; without any learned language all is ``und``; ties go to the first language
 by name, after those that hold more of the text's words; one row out for each row in; further columns are ignored.
 """
@@ -43,27 +42,28 @@ def held_out(id_: Column, mod: int = HELD_OUT[0], rest: int = HELD_OUT[1]) -> Co
     return F.coalesce(F.crc32(id_.cast("string")) % mod == rest, F.lit(False))
 
 
-def learn(rows: DataFrame, sample: int = 160, excerpt: int = 2000, dict_bytes: int = 1 << 18) -> dict[str, bytes]:
+def learn(rows: DataFrame, sample: int = 160, dict_bytes: int = 1 << 18) -> dict[str, bytes]:
     """A dictionary's raw content for each language of ``doc_id, text, lang``.
 
-    The first pass reads ids and languages and keeps the ``sample`` smallest hashes of each
-    language (ranks are limited before rows are dealt, so a frequent language costs no more);
-    the second reads these rows' excerpts. What reaches the driver grows with the number of
-    languages only.
+    The first pass reads ids, languages and sizes, and keeps the ``sample`` smallest hashes of each
+    language (ranks are limited before rows are dealt, so a frequent language costs no more), as far as their
+    texts together have ``dict_bytes``, one at least; the second reads these rows' whole texts. What
+    reaches the driver grows with the number of languages only.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit("langid"))
-    hashed = rows.filter(F.col("lang").isNotNull()).withColumn("h", order)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    limits = hashed.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    hashed = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").withColumn("h", order)
+    by_hash = W.partitionBy("lang").orderBy("h", "size")
+    first = hashed.select("lang", "h", F.octet_length("text").alias("size")).withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample)
+    taken = F.sum("size").over(by_hash.rowsBetween(W.unboundedPreceding, 0))
+    limits = first.withColumn("taken", taken).filter((F.col("taken") <= dict_bytes) | (F.col("r") == 1)).groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not limits:
         return {}
     chosen = reduce(or_, [(F.col("lang") == r["lang"]) & (F.col("h") <= r["most"]) for r in limits])
-    start = F.when(F.length("text") > excerpt, F.pmod("h", F.length("text") - excerpt + 1) + 1).otherwise(1).cast("int")
-    parts = hashed.filter(chosen).select("lang", "h", F.substr(F.col("text"), start, F.lit(excerpt)).alias("part")).filter("part IS NOT NULL").collect()
+    parts = hashed.filter(chosen).groupBy("lang", "h").agg(F.min("text").alias("part")).collect()  # rows that share an id count once
     contents: dict[str, list[str]] = {r["lang"]: [] for r in limits}
     for r in sorted(parts, key=lambda r: (r["h"], r["part"])):
         contents[r["lang"]].append(r["part"])
-    return {lang: letters("\n".join(found))[-dict_bytes:] for lang, found in sorted(contents.items())}
+    return {lang: letters("\n".join(found)) for lang, found in sorted(contents.items())}
 
 
 def letters(text: str) -> bytes:
@@ -78,10 +78,9 @@ class Classifier:
         self.contents = contents
         self.compress = {}
         for lang, raw in contents.items():
-            if len(raw) >= 8:  # the library takes no smaller one
-                known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                known.precompute_compress(level=level)
-                self.compress[lang] = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False).compress
+            known = zstandard.ZstdCompressionDict(raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)  # the library takes no smaller one
+            known.precompute_compress(level=level)
+            self.compress[lang] = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False).compress
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
         """Language, score and whether the margin was narrow."""
