@@ -4,7 +4,8 @@ Found are e-mail addresses, phone numbers, IP addresses, payment cards (Luhn), I
 social security numbers and names (after a title, or a known first name before a surname). A
 surrogate keeps the type and the format: letters stay letters of their script and case, digits
 stay digits, separators stay, check digits are valid again, and a first name is replaced by one
-of the same gender and script.
+of the same gender and script: a listed one by a listed one, any other by one with vowels and consonants in
+the same places and the same ending.
 
 Surrogates come from keyed permutations of each format's own values (a Feistel network over the
 changeable characters), so that different entities get different surrogates and the same entity
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect
 from functools import lru_cache
 from itertools import count
 
@@ -50,8 +52,10 @@ ALPHABETS = [
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
+VOWELS = set("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеиоуыэюяαεηιουω")
+VOWELS |= {c.upper() for c in VOWELS if c != "ÿ"}
 
-EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 # Any run of groups with two colons, compressed or with a dotted end; ``is_ip`` judges it.
 IPV6 = re.compile(r"(?<!\w)(?<![0-9A-Fa-f:]:)(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{0,38}(?:[0-9A-Fa-f]|::|:(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\w|:[\w:]|\.[0-9])")
@@ -113,10 +117,13 @@ def detect(text: str) -> list[Entity]:
     found += (("name", m.start(2), m.end(2)) for m in TITLED.finditer(text))
     found += (("name", *m.span()) for m in FULL.finditer(text))
     taken: list[Entity] = []
-    for e in found:
-        if all(e[2] <= s or t <= e[1] for _, s, t in taken):
-            taken.append(e)
-    return sorted(taken, key=lambda e: e[1])
+    starts: list[int] = []
+    for e in found:  # those taken are kept by place, so that only neighbours need a look
+        i = bisect(starts, e[1])
+        if (not i or taken[i - 1][2] <= e[1]) and (i == len(taken) or e[2] <= starts[i]):
+            taken.insert(i, e)
+            starts.insert(i, e[1])
+    return taken
 
 
 def permuted(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
@@ -195,13 +202,19 @@ def name_surrogate(text: str, gender: str, key: bytes, tweak: str) -> str:
         if k == 0 and word in GENDERED:
             names = FIRST_NAMES[GENDERED[word]]
             out.append(names[permuted([names.index(word)], [len(names)], key, tweak + "|first")[0]])
-        elif k == 0 and " " in text and gender in "mf" and word not in GENDERED:
-            out.append(same_format(word, key, f"{tweak}|{gender}"))
         else:
-            out.append(same_format(word, key, tweak + "|last"))
+            first = k == 0 and " " in text and gender in "mf"
+            out.append(pronounceable(word, key, f"{tweak}|{gender}" if first else tweak + "|last", first))
     return " ".join(out)
 
 
+def pronounceable(word: str, key: bytes, tweak: str, ending: bool) -> str:
+    """``word`` with vowels permuted among vowels and consonants among consonants; with ``ending`` its last letter stays, as
+    it often tells the gender of a first name."""
+    ranges = {i: "".join(c for c in ALPHABET_OF[x] if (c in VOWELS) == (x in VOWELS)) for i, x in enumerate(word) if x in ALPHABET_OF}
+    return same_format(word, key, tweak, {len(word) - 1} if ending else frozenset(), ranges)
+
+
 MAKERS = {"ip": ip_surrogate, "card": card_surrogate, "iban": iban_surrogate, "phone": phone_surrogate, "email": email_surrogate, "ssn": same_format}
 
 
