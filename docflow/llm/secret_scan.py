@@ -27,6 +27,7 @@ import lzma
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -258,6 +259,24 @@ def deeper(layer: Layer, window: int, left: list[int]) -> Iterator[Layer]:
                 yield from base64_layers(layer, m.start(), m[0])
 
 
+class Cover:
+    """Spans none of which lies in another, by place, so that both starts and ends rise."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        """Whether a span lies in one that was added."""
+        i = bisect_right(self.starts, start)
+        return i > 0 and end <= self.ends[i - 1]
+
+    def add(self, start: int, end: int) -> None:
+        if not self.holds(start, end):
+            a, b = bisect_left(self.starts, start), bisect_right(self.ends, end)  # from a to b lie in it
+            self.starts[a : max(a, b)], self.ends[a : max(a, b)] = [start], [end]
+
+
 def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], list[Span]]:
     """The spans of the text itself, and all spans with those of decoded layers."""
     text = text or ""
@@ -266,6 +285,9 @@ def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], lis
         return base, base
     first = Layer(text)
     found, seen, left = set(base), {first.key()}, [TOTAL * max_unpacked]
+    covers = {kind: Cover() for kind in KINDS}
+    for kind, s, e in base:
+        covers[kind].add(s, e)
     work = [deeper(first, max_unpacked, left)]
     while work:  # depth first, so that few layers are held at once
         if (new := next(work[-1], None)) is None:
@@ -281,8 +303,10 @@ def scan(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[Span], lis
         for kind, s, e in find(new.text):
             span = (kind, *new.back(s, e))
             # What a replaced layer leaves as it was, or cuts short, is the base's own.
-            if span not in inside and not any(k == kind and a <= span[1] and span[2] <= b for k, a, b in found):
+            if not covers[kind].holds(*span[1:]):
                 inside.add(span)
+        for kind, s, e in inside:
+            covers[kind].add(s, e)
         found |= inside
         work.append(deeper(new, max_unpacked, left))
     return base, ordered(found)
