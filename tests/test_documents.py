@@ -115,10 +115,14 @@ def pending(text, refs):
     return {"xml": "<p><q/></p>", "text": text, "ocr_refs": refs}
 
 
+def opened(values, tail=None, continued=None):
+    return drafts.begin("i", {"blocks": values, "tail": continued}, tail)
+
+
 def resolved(values, reserved=()):
-    draft = drafts.new_draft("i", values)
+    draft = opened(values)
     drafts.resolve(draft, LINES, set(reserved))
-    return [(b["status"], b["fallback_source"], b["text"]) for b in draft["blocks"]]
+    return [(r["status"], r["fallback_source"], r["text"]) for r in draft.rows]
 
 
 def test_fallback_rules():
@@ -131,34 +135,135 @@ def test_fallback_rules():
     assert resolved([pending("", [])]) == [("unresolved", None, None)]
 
 
-def test_patch_keeps_content_and_ids():
-    draft = drafts.new_draft("i", [value("good text"), pending("bad text", [])])
-    attempt = drafts.start_attempt(draft, drafts.queue(draft)[0])
-    scope = {"attempt_id": attempt["attempt_id"], "target_versions": attempt["target_versions"], "tail": None}
+def repair(draft, *values, **more):
+    made = drafts.attempt(draft, drafts.queue(draft)[0])
+    drafts.splice(draft, made, {"attempt_id": made.name, "target_versions": made.versions, "blocks": list(values)} | more)
+    return made
+
+
+def test_splice_keeps_content_and_ids():
+    draft = opened([value("good text"), pending("bad text", [])])
     with pytest.raises(drafts.Rejected, match="CONTENT"):
-        drafts.apply_patch(draft, attempt, scope | {"blocks": [value("other")]})
-    drafts.apply_patch(draft, attempt, scope | {"blocks": [value("bad "), value("text")]})
-    assert [(b["status"], b["version"]) for b in draft["blocks"]] == [("ok", 0), ("ok", 1), ("ok", 0)]
+        repair(draft, value("other"))
+    drafts.failed(draft, draft.running, "CONTENT")
+    made = repair(draft, value("bad "), value("text"))
+    assert [(r["status"], r["version"], r["repair_attempts"]) for r in draft.rows] == [("ok", 0, 0), ("ok", 1, 2), ("ok", 0, 2)]
+    assert draft.rows[2]["lineage"] == draft.rows[1]["lineage"] == [draft.rows[1]["id"]]
     with pytest.raises(drafts.Rejected, match="INACTIVE"):
-        drafts.apply_patch(draft, attempt, scope | {"blocks": [value("bad text")]})
+        drafts.splice(draft, made, {"attempt_id": made.name, "target_versions": made.versions, "blocks": [value("bad text")]})
     assert len(drafts.commit([], draft)) == 3
     with pytest.raises(drafts.Rejected):
         drafts.commit([], draft)
 
 
+@pytest.mark.parametrize(
+    ("more", "code"),
+    [({"attempt_id": "other"}, "SCOPE"), ({"target_versions": {}}, "SCOPE"), ({"blocks": []}, "EMPTY"), ({"blocks": None}, "EMPTY"), ({"tail": value("x")}, "EMPTY")],
+)
+def test_splices_out_of_scope(more, code):
+    draft = opened([pending("bad text", [])])
+    before = [dict(r) for r in draft.rows]
+    with pytest.raises(drafts.Rejected, match=code):
+        repair(draft, value("bad text"), **more)
+    assert [r["xml"] for r in draft.rows] == [r["xml"] for r in before] and draft.running
+
+
+def test_known_text_stays_in_order_where_some_was_missing():
+    draft = opened([pending(None, []), pending("known", [])])
+    draft.rows[0]["current_errors"][0]["target_blocks"] = [r["id"] for r in draft.rows]
+    assert drafts.queue(draft) == [[r["id"] for r in draft.rows]]
+    with pytest.raises(drafts.Rejected, match="CONTENT"):
+        repair(draft, value("found knwon"))
+    drafts.failed(draft, draft.running, "x")
+    repair(draft, value("found"), value("known"))
+    assert not draft.failed
+
+
+@given(st.lists(st.sampled_from(["a\n", " b", "c c"]), min_size=1, max_size=5), st.data())
+@settings(max_examples=60, deadline=None)
+def test_code_may_be_put_together_but_not_changed(codes, data):
+    block = lambda code: {"xml": f"<pre><code>{code}</code></pre>", "text": code, "ocr_refs": []}
+    joined = "".join(codes)
+    draft = opened([block(joined)])
+    made = drafts.Attempt("n", "repair", [draft.rows[0]["id"]], {}, [])
+    assert not drafts.Splice(draft, made, {"blocks": [block(c) for c in codes]}).loses_code()
+    at = data.draw(st.integers(0, len(joined) - 1))
+    changed = joined[:at] + joined[at + 1 :]
+    assert not changed or drafts.Splice(draft, made, {"blocks": [block(changed)]}).loses_code()
+
+
+def test_groups_of_failures():
+    draft = opened([pending(str(k), []) for k in range(6)])
+    ids = [r["id"] for r in draft.rows]
+    draft.rows[4]["status"] = "ok"
+    draft.rows[0]["current_errors"][0]["target_blocks"] = [ids[2], ids[4], "gone"]
+    assert drafts.queue(draft) == [ids[0:3], ids[3:4], ids[5:6]]
+
+
 def test_budget_is_shared_by_descent():
-    draft = drafts.new_draft("i", [pending("bad", [])])
+    draft = opened([pending("bad", [])])
     for _ in range(drafts.MAX_REPAIRS):
-        drafts.fail_attempt(draft, drafts.start_attempt(draft, drafts.queue(draft)[0]), {"code": "X", "target_blocks": []})
+        drafts.failed(draft, drafts.attempt(draft, drafts.queue(draft)[0]), "X")
+    assert len(draft.rows[0]["current_errors"]) > drafts.MAX_REPAIRS
     with pytest.raises(drafts.Rejected, match="BUDGET"):
-        drafts.start_attempt(draft, drafts.queue(draft)[0])
+        drafts.attempt(draft, drafts.queue(draft)[0])
 
 
 def test_replies_that_cannot_be_read_give_one_whole_block():
-    done, draft = drafts.run_calls("i", [("{}", "length")], LINES, [])
-    assert [(b["status"], b["text"]) for b in done] == [("fallback", "one\ntwo\nthree")]
-    done, _ = drafts.run_calls("i", [("x", "stop")], [], [])
+    done, draft = drafts.fold_image("i", [("{}", "length")], LINES, [])
+    assert [(b["status"], b["text"]) for b in done] == [("fallback", "one\ntwo\nthree")] and draft.warnings == ["INCOMPLETE"]
+    done, _ = drafts.fold_image("i", [("x", "stop")], [], [])
     assert [b["status"] for b in done] == ["unresolved"]
+    done, _ = drafts.fold_image("i", [("x", "stop")], LINES, [], complete=False)
+    assert [b["status"] for b in done] == ["fallback", "unresolved"]
+
+
+def reply(blocks_=(), **more):
+    return json.dumps({"action": "generate", "blocks": list(blocks_)} | more), "stop"
+
+
+def continued(*calls, first="old end"):
+    before, _ = drafts.fold_image("h", [reply([value("before"), value(first)])], [], [])
+    done, draft = drafts.fold_image("i", list(calls), LINES, before)
+    assert [b["id"] for b in done[:2]] == [b["id"] for b in before]
+    return done[1:], draft
+
+
+def test_tail_is_continued_under_its_id():
+    done, _ = continued(reply([value("next")], tail=value("old end goes on", refs=["i:ocr:0"])))
+    assert [(b["text"], b["version"], b["ocr_refs"]) for b in done] == [("old end goes on", 1, ["i:ocr:0"]), ("next", 0, [])]
+
+
+def test_tail_that_loses_text_is_repaired_or_restored():
+    lost = reply([], tail=value("end goes on"))
+    done, draft = continued(lost)
+    assert [(b["text"], b["version"], b["status"]) for b in done] == [("old end", 0, "ok"), (None, 0, "unresolved")]
+    done, _ = continued(lost, reply([value("old end"), value(" and on")]))  # a repair has to keep the candidate's own text
+    assert done[0]["version"] == 0 and len(done) == 2
+    # a reply whose structure fails keeps the text after the tail only
+    for refs, source in ((["i:ocr:0"], "ocr"), (["i:ocr:1"], "vlm_text"), ([], "vlm_text")):
+        done, _ = continued(reply([], tail={"xml": "<q/>", "text": "old endone", "ocr_refs": refs}))
+        assert [(b["text"], b["version"], b["fallback_source"]) for b in done] == [("old end", 0, None), ("one", 0, source)]
+
+
+def test_repairs_of_a_tail_keep_it_in_front():
+    broken = reply([], tail={"xml": "<q/>", "text": "old end more", "ocr_refs": []})
+    done, draft = continued(broken, reply([value("old end"), value(" more")]))
+    assert [(b["text"], b["version"]) for b in done] == [("old end", 1), (" more", 0)] and draft.log[0].outcome == "applied"
+    done, draft = continued(broken, reply([value("old "), value("end more")]))
+    assert draft.log[0].outcome == "TAIL_CONTENT_LOSS" and done[0]["version"] == 0
+
+
+def test_tail_outside_of_scope():
+    assert drafts.fold_image("i", [reply([], tail=value("x"))], LINES, [])[1].warnings == ["TAIL_SCOPE"]
+
+
+def test_a_title_stands_first_or_becomes_text():
+    title = {"xml": "<title>T</title>", "text": "T", "ocr_refs": []}
+    done, _ = drafts.fold_image("i", [reply([title, value("a")])], [], [])
+    assert [b["status"] for b in done] == ["ok", "ok"]
+    done, _ = drafts.fold_image("j", [reply([title])], [], done)
+    assert [b["status"] for b in done] == ["ok", "ok", "fallback"] and done[2]["xml"] == "<p>T</p>"
 
 
 def test_assembly_and_rounds(spark):
@@ -187,10 +292,10 @@ def claimed(history, count=2, **more):
 
 
 def outcome(history, values, claim=None):
-    draft = drafts.new_draft("new", values)
+    draft = drafts.begin("new", {"blocks": values})
     sent = {overlap.history_ref(b, i): (i, b) for i, b in enumerate(history)}
     code = overlap.bind(draft, claim or claimed(history), sent, history) or overlap.resolve(draft, history)
-    return code, len(draft["blocks"])
+    return code, len(draft.rows)
 
 
 def test_proven_repeat_is_left_out():
@@ -203,6 +308,43 @@ def test_proven_repeat_is_left_out():
     assert outcome(short, [new[0], value("brief"), new[2]])[0] == "OVERLAP_EVIDENCE_TOO_SHORT"
 
 
+def test_only_blocks_that_passed_are_evidence():
+    old = committed(value("Title", "<h2>Title</h2>"), value(LONG))
+    new = [value("Title", "<h2>Title</h2>"), value(LONG), value("something new")]
+    old[1]["status"] = "fallback"
+    assert outcome(old, new) == ("OVERLAP_BLOCK_UNVERIFIED", 3)
+    draft = drafts.begin("new", {"blocks": [new[0], pending(LONG, []), new[2]]})
+    old[1]["status"] = "ok"
+    sent = {overlap.history_ref(b, i): (i, b) for i, b in enumerate(old)}
+    assert overlap.bind(draft, claimed(old), sent, old) is None
+    assert overlap.resolve(draft, old) == "OVERLAP_DEFERRED"
+    drafts.resolve(draft, [], set())
+    assert overlap.resolve(draft, old) == "OVERLAP_BLOCK_UNVERIFIED" and len(draft.rows) == 3
+    assert overlap.bind(draft, claimed(old), sent, old) is None
+    assert overlap.bind(draft, claimed(old, 1), sent, old) == "OVERLAP_REBIND_REJECTED"
+
+
+def test_end_of_the_first_block():
+    code = lambda c: value(c, f"<pre><code>{c}</code></pre>")
+    old = committed(code("a = 1\n  b = 2\n"), value(LONG))
+    cut = claimed(old, first_history_match="suffix_of_first_history")
+    assert outcome(old, [code("  b = 2\n"), value(LONG)], cut) == (None, 0)
+    assert outcome(old, [code("b = 2\n"), value(LONG)], cut) == ("OVERLAP_CONTENT_CONFLICT", 2)
+    old = committed(value("The start and the end"), value(LONG))
+    cut = claimed(old, first_history_match="suffix_of_first_history")
+    assert outcome(old, [value("the end"), value(LONG)], cut) == (None, 0)
+    assert outcome(old, [value("an end"), value(LONG)], cut) == ("OVERLAP_CONTENT_CONFLICT", 2)
+
+
+def test_overlap_in_assembly():
+    first, _ = drafts.fold_image("a", [reply([value("Title", "<h2>Title</h2>"), value(LONG)])], [], [])
+    values = [value("Title", "<h2>Title</h2>"), value(LONG), value("something new")]
+    done, draft = drafts.fold_image("b", [reply(values, overlap_claim=claimed(first))], [], first)
+    assert [b["text"] for b in done] == ["Title", LONG, "something new"] and len(draft.omitted) == 2 and draft.applied
+    done, draft = drafts.fold_image("b", [reply(values, overlap_claim=claimed(first, 9))], [], first)
+    assert len(done) == 5 and draft.warnings == ["OVERLAP_CLAIM_INVALID"]
+
+
 @pytest.mark.parametrize("fault", [{"candidate_prefix_count": -1}, {"candidate_prefix_count": True}, {"relation": "other"}, {"extra": 1}, {"history_refs": ["h0", "h0"]}, {"whole_image_has_no_new_content": True}])
 def test_malformed_claims_lose_nothing(fault):
     old = committed(value("Title", "<h2>Title</h2>"), value(LONG))
