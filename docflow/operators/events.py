@@ -137,13 +137,15 @@ def with_sequence(events: DataFrame, order: list[str], after: DataFrame | None =
     numbered = events.withColumn("seq", seq)
     if after is None:
         return numbered
-    last = after.groupBy("document_id").agg(F.max("seq").alias("__last"))
-    return numbered.join(last, "document_id", "left").withColumn("seq", F.col("seq") + F.coalesce("__last", F.lit(0))).drop("__last")
+    last = after.groupBy("document_id").agg(F.max("seq").alias("last of before"))
+    return numbered.join(last, "document_id", "left").withColumn("seq", F.col("seq") + F.coalesce("last of before", F.lit(0))).drop("last of before")
 
 
-def events_after(events: DataFrame, document_id: str, cursor: int, limit: int = 32) -> DataFrame:
-    """A page of a document's events after a cursor."""
-    return events.filter((F.col("document_id") == document_id) & (F.col("seq") > cursor)).orderBy("seq").limit(limit)
+def events_after(events: DataFrame, cursors: DataFrame, limit: int = 32) -> DataFrame:
+    """The next page of events (``document_id, seq``) after the cursor of each reader (``document_id, cursor``)."""
+    after = events.join(cursors, "document_id").filter(F.col("seq") > F.col("cursor"))
+    place = F.row_number().over(W.partitionBy("document_id").orderBy("seq"))
+    return after.withColumn("place of the page", place).filter(F.col("place of the page") <= limit).drop("place of the page")
 
 
 def consume(deliveries: DataFrame, receipts: DataFrame, terminal: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, relational
+from . import documents, relational, storage
 
-QUERIES = {**relational.QUERIES, **documents.QUERIES}
-ORACLES = {**relational.ORACLES, **documents.ORACLES}
+PARTS = (relational, storage, documents)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

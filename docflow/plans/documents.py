@@ -6,9 +6,7 @@ the image that it comes from. Pages are untrusted markup.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,23 +14,12 @@ from ..functions import text as T
 from ..functions import tree
 from ..operators import blocks as B
 from ..operators import drafts, evaluate, events, overlap
-from .relational import Tables
+from .relational import Tables, registry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 col = F.col
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def turns(t: Tables) -> DataFrame:
     """Conversations as blocks."""
     paragraph = F.concat(F.lit("<p>"), T.escaped(col("text")), F.lit("</p>"))

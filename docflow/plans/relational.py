@@ -14,8 +14,6 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 col = F.col
 
 
@@ -29,15 +27,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def query(sql: str):
-    """Registers a function of the tables under its name, with its SQL."""
+def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """Queries by name, their SQL by name, and the decorator that adds a function of the tables to both."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
 
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def register(f: Callable[[Tables], DataFrame]):
+            queries[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return register
+        return register
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 
 @query(r"""
@@ -152,14 +159,17 @@ def wf10_rank_order(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey FROM part JOIN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) BETWEEN 1 AND 20) ON l_partkey = p_partkey
-    WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = p_partkey AND r.l_returnflag = 'R' AND r.l_linenumber = 1)""")
+    SELECT c_custkey FROM customer JOIN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1 HAVING count(*) = 1) ON o_custkey = c_custkey
+    WHERE NOT EXISTS (SELECT 1 FROM orders r WHERE r.o_custkey = c_custkey AND r.o_orderkey % 16 = 1)""")
 def j1_unique_refs(t: Tables) -> DataFrame:
-    """Parts that exist, are referenced by few enough lines and aren't reserved."""
-    claims = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("k")).filter("k <= 20")
-    reserved = t.lineitem.filter("l_returnflag = 'R' AND l_linenumber = 1").select(col("l_partkey").alias("r")).distinct()
-    found = t.part.select("p_partkey").join(claims, col("p_partkey") == col("l_partkey"), "left_semi")
-    return found.join(reserved, col("p_partkey") == col("r"), "left_anti")
+    """Customers that exist, are claimed by exactly one order of a batch and aren't reserved by another."""
+    return unique_claims(t.orders.filter("o_orderkey % 8 = 0").select(col("o_custkey").alias("ref")), t.customer.select("c_custkey"), t.orders.filter("o_orderkey % 16 = 1").select(col("o_custkey").alias("ref")), "c_custkey")
+
+
+def unique_claims(claims: DataFrame, known: DataFrame, reserved: DataFrame, key: str) -> DataFrame:
+    """Rows of ``known`` that exactly one of ``claims`` (``ref``) names and none of ``reserved``."""
+    once = claims.groupBy("ref").agg(F.count("*").alias("k")).filter("k = 1")
+    return known.join(once, col(key) == col("ref"), "left_semi").join(reserved, col(key) == col("ref"), "left_anti")
 
 
 @query("SELECT conv_id, sha256(string_agg(rtrim(text, E'\\r\\n'), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
@@ -296,12 +306,11 @@ def tk1_queue_head(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, seq FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events WHERE user_id IN (1, 7, 23))
-    QUALIFY seq > 5 AND row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 37""")
+    SELECT event_id, seq FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events) WHERE seq > 5 AND seq <= 37""")
 def tk2_event_page(t: Tables) -> DataFrame:
-    """A page of 32 events after a cursor, for chosen users."""
+    """A page of 32 events after a cursor, for each user."""
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return t.events.filter(col("user_id").isin(1, 7, 23)).select("event_id", seq.alias("seq")).filter("seq > 5 AND seq <= 37")
+    return t.events.select("event_id", seq.alias("seq")).filter("seq > 5 AND seq <= 37")
 
 
 @query("""

@@ -72,8 +72,19 @@ def verified(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("content", F.when(good, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("changed or missing: "), F.col("path"))).cast("binary")))
 
 
-def data_urls(files: DataFrame) -> DataFrame:
-    return files.select("path", X.data_url(F.col("content"), F.col("path")).alias("url")).filter("url IS NOT NULL")
+def reference_state(path: F.Column, sha256: F.Column, wanted: F.Column) -> F.Column:
+    """What is wrong with a reference: its path leaves the folder, or the content has another digest (or is missing)."""
+    escapes = path.rlike(r"(^|/)\.\.(/|$)") | path.startswith("/")
+    return F.when(escapes, "escapes").when(~F.coalesce(sha256 == wanted, F.lit(False)), "changed").otherwise("good")
+
+
+def fingerprints(files: DataFrame, small: int = 1 << 20) -> DataFrame:
+    """A snapshot's parts, from ``path, bytes, content``: the digest only of files of at most ``small`` bytes."""
+    return files.withColumn("sha256", F.when(F.col("bytes") <= small, F.sha2("content", 256))).drop("content")
+
+
+def data_urls(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return files.select(*(keep or ["path"]), X.data_url(F.col("content"), F.col("path")).alias("url")).filter("url IS NOT NULL")
 
 
 def used_bytes(files: DataFrame) -> DataFrame:
@@ -83,8 +94,10 @@ def used_bytes(files: DataFrame) -> DataFrame:
 def fragments(spark: SparkSession, paths: list[str]) -> DataFrame:
     """XML fragments in the order of the list, whatever their names are."""
     order = spark.createDataFrame(list(enumerate(paths)), "ord int, wanted string")
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("xml"))
-    return order.join(files, F.col("file").endswith(F.col("wanted"))).select("ord", "xml").orderBy("ord")
+    bare = lambda p: F.regexp_replace(p, r"^\w+:/*", "/")  # noqa: E731  # however the scheme is written
+    own = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    files = spark.read.text(paths, wholetext=True).select(bare(own).alias("file"), F.col("value").alias("xml"))
+    return order.join(files, F.col("file") == bare(F.col("wanted"))).select("ord", "xml").orderBy("ord")
 
 
 def metrics(spark: SparkSession, glob: str) -> DataFrame:

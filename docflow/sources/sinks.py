@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -46,7 +46,7 @@ def exported_digest(spark: SparkSession, path: str) -> str | None:
 def merged(existing: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """The latest row of each key: the state after an upsert, the same if changes come twice."""
     r = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))
-    return existing.unionByName(changes).withColumn("__r", r).filter("__r = 1").drop("__r")
+    return existing.unionByName(changes).withColumn("rank of key", r).filter(F.col("rank of key") == 1).drop("rank of key")
 
 
 def filled(template: str, values: dict[str, str]) -> str:
@@ -55,3 +55,11 @@ def filled(template: str, values: dict[str, str]) -> str:
     if left := PLACEHOLDER.search(made):
         raise ValueError(f"no value for {left[0]}")
     return made
+
+
+def filled_column(template: str, values: dict[str, Column]) -> Column:
+    """The same for each row: values are columns."""
+    parts = re.split(r"(@[A-Z_]+@)", template)
+    if left := [p for p in parts if PLACEHOLDER.fullmatch(p) and p.strip("@") not in values]:
+        raise ValueError(f"no value for {left[0]}")
+    return F.concat(*(values[p.strip("@")] if PLACEHOLDER.fullmatch(p) else F.lit(p) for p in parts))
