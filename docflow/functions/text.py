@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import tree
+
 #: What Unicode takes for white space, with the ASCII separators that Java's class leaves out.
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}\z"
@@ -128,3 +130,23 @@ def last_capacity(log: Column) -> Column:
     """The last reported cache size of a log, in tokens; null if there is none."""
     found = F.regexp_extract_all(log, F.lit(r"KV cache size:\s*([0-9,]+) tokens"), F.lit(1))
     return F.replace(F.try_element_at(found, F.lit(-1)), F.lit(","), F.lit("")).cast("long")
+
+
+def epoch_ms(ts: Column) -> Column:
+    return F.unix_millis(ts.cast("timestamp"))
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO 8601 with microseconds, in the session's time zone, which is taken for UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def paragraph(text: Column) -> Column:
+    """A paragraph of plain text, lines parted by br."""
+    return F.concat(F.lit("<p>"), F.replace(escaped(text), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
+
+
+def update(blocks: Column, kind: str = "update") -> Column:
+    """Blocks in their envelope."""
+    start, _, end = tree.envelope("\0", kind).partition("\0")
+    return F.concat(F.lit(start), blocks, F.lit(end))

@@ -30,14 +30,14 @@ def error(code: str, message: str, targets: list[str], **more) -> dict:
     return {"code": code, "message": message, "target_blocks": targets, **more}
 
 
-#: Words of a message, and what they advise on.
-TOPICS = (("table", ("table", "row", "cell", "span must", "grid")), ("list", ("li ", "ul", "ol")), ("code", ("pre", "code")), ("quote", ("blockquote",)), ("link", ("href", "link")), ("color", ("color", "span")))
+# Topics of advice, and the words of a message that lead to them; the first topic with a word counts.
+TOPICS = (("style", ("color", "inline", "nesting", "style")), ("structure", ("pre", "blockquote", "code")), ("table", ("table", "row", "cell", "span", "column")))
 
 
 def advice(message: str) -> str:
     """The topic whose example helps with a message."""
     low = message.lower()
-    return next((topic for topic, words in TOPICS if any(w in low for w in words)), "general")
+    return next((topic for topic, words in TOPICS if any(w in low for w in words)), "paragraph")
 
 
 def relation(model_text: str, node: tree.Node) -> dict:
@@ -225,6 +225,76 @@ def nodes(rows: DataFrame, key: list[str], xml: str = "xml", kind: str = "update
     return rows.select(*key, F.inline(parsed(xml)))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """Candidates from ``document_id, ord, image_id, xml, text, ocr_refs``: ``id, status, text`` and the codes of their errors
+    with the topics that advise on them. Ids follow from the image and the place."""
+
+    @F.pandas_udf("id string, status string, text string, codes array<string>, topics array<string>")
+    def made(image: pd.Series, place: pd.Series, xml: pd.Series, text: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, k, x, t, r in zip(image, place, xml, text, refs, strict=True):
+            c = candidate({"xml": x, "text": t, "ocr_refs": None if r is None else list(r)}, i, str(k))
+            out.append((c["id"], c["status"], c["text"], [e["code"] for e in c["current_errors"]], [e.get("topic") for e in c["current_errors"]]))
+        return pd.DataFrame(out, columns=["id", "status", "text", "codes", "topics"])
+
+    return rows.withColumn("c", made("image_id", "ord", "xml", "text", "ocr_refs")).select("document_id", "ord", "image_id", "c.*")
+
+
+def document_checks(blocks: DataFrame) -> DataFrame:
+    """The issues of each document's blocks put together (``document_id, ord, xml``), at the block that each is of."""
+
+    @F.pandas_udf("array<struct<block_index:int,stage:string,code:string>>")
+    def issues(parts: pd.Series) -> pd.Series:
+        return pd.Series([[{"block_index": i.block_index, "stage": i.stage, "code": i.code} for i in tree.document_issues(list(p))] for p in parts])
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "xml"))), lambda x: x["xml"])
+    return blocks.groupBy("document_id").agg(parts.alias("p")).select("document_id", F.inline(issues("p")))
+
+
+def options(targets: DataFrame) -> DataFrame:
+    """The safe repair of each target (``document_id, ord, image_id, xml, text``), if there is one."""
+
+    @F.pandas_udf("option_id string, xml string")
+    def offered(image: pd.Series, place: pd.Series, xml: pd.Series, text: pd.Series) -> pd.DataFrame:
+        found = [repair_options(candidate({"xml": x, "text": t, "ocr_refs": []}, i, str(k))) for i, k, x, t in zip(image, place, xml, text, strict=True)]
+        return pd.DataFrame([(o[0]["option_id"], o[0]["blocks"][0]["xml"]) if o else (None, None) for o in found], columns=["option_id", "xml"])
+
+    return targets.withColumn("o", offered("image_id", "ord", "xml", "text")).select("document_id", "ord", "o.*").filter("option_id IS NOT NULL")
+
+
+def proposals(replies: DataFrame) -> DataFrame:
+    """``replies`` (``content, finish_reason``) with why each can't be used, null where it can."""
+
+    @F.pandas_udf("string")
+    def code(content: pd.Series, finish: pd.Series) -> pd.Series:
+        return pd.Series([proposal(c, f)[1] for c, f in zip(content, finish, strict=True)], dtype=object)
+
+    return replies.withColumn("code", code("content", "finish_reason"))
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """Style examples (``topic, xml``): each has to be one valid block; another one is an error."""
+
+    @F.pandas_udf("boolean")
+    def single(xml: pd.Series) -> pd.Series:
+        return pd.Series([tree.block_of(x) is not None for x in xml], dtype=bool)
+
+    good = F.when(single("xml"), F.col("xml")).otherwise(F.raise_error(F.concat(F.lit("not one valid block: "), F.col("topic"))))
+    return rows.withColumn("xml", good)
+
+
+def results_verified(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Finished documents as a client takes them: ``state`` of ``document_id, version, xml, sha256, block_count`` against
+    ``document_id, version``. The digest is looked at before the document is parsed."""
+    own = wanted.select("document_id", F.col("version").alias("wanted"))
+    rows = validated(results.join(own, "document_id", "left"), kind="document")
+    state = (
+        F.when(F.col("wanted").isNull(), "IDENTITY").when(F.col("version") != F.col("wanted"), "VERSION").when(F.sha2("xml", 256) != F.col("sha256"), "DIGEST")
+        .when(~F.col("check.valid"), "GRAMMAR").when((F.col("block_count") == 0) != (F.col("xml") == tree.envelope("", "document")), "EMPTY").otherwise("OK")
+    )
+    return rows.select("document_id", state.alias("state"))
+
+
 def tag_histogram(node_table: DataFrame) -> DataFrame:
     return node_table.groupBy("tag").agg(F.count("*").alias("n"))
 
@@ -314,7 +384,9 @@ def block_report(blocks: DataFrame) -> DataFrame:
 
 
 def aligned(pairs: DataFrame, source: str, output: str) -> DataFrame:
-    """``pairs`` with ``matched, coverage, support`` by character alignment."""
+    """``pairs`` with ``matched, coverage, support`` by character alignment. Pairs are dealt out by their texts first, since
+    a pair costs much more than its bytes tell."""
+    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, F.xxhash64(source, output))
 
     @F.pandas_udf("matched long, coverage double, support double")
     def made(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -155,6 +155,34 @@ def consume(deliveries: DataFrame, receipts: DataFrame, terminal: DataFrame) ->
     return fresh.join(ended, "document_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
 
 
+def outbox(payloads: DataFrame, sent: DataFrame) -> DataFrame:
+    """Those of ``payloads`` (``document_id, kind, seq, payload``) that say something new, with their signature: others equal
+    the one before, or the last one of ``sent`` (``document_id, kind, signature``). Written again after a crash they are
+    the same rows."""
+    by = ["document_id", "kind"]
+    last = sent.select(*by, F.col("signature").alias("last signature"))
+    rows = payloads.withColumn("signature", F.sha2("payload", 256)).join(last, by, "left")
+    before = F.coalesce(F.lag("signature").over(W.partitionBy(*by).orderBy("seq")), F.col("last signature"))
+    return rows.withColumn("before it", before).filter(~F.col("signature").eqNullSafe(F.col("before it"))).drop("before it", "last signature")
+
+
+def ended(transitions: DataFrame) -> DataFrame:
+    """What each of ``transitions`` to an end (``document_id, seq, kind`` complete or fail, ``result``) does: the first one counts;
+    the same completion again is fine, another one an error, and a failure after the end nothing."""
+    one = W.partitionBy("document_id").orderBy("seq")
+    first, kind, result = F.row_number().over(one) == 1, F.first("kind").over(one), F.first("result").over(one)
+    again = (kind == "complete") & (F.col("kind") == "complete") & F.col("result").eqNullSafe(result)
+    return transitions.withColumn("outcome", F.when(first, "applied").when(F.col("kind") == "fail", "ignored").when(again, "same").otherwise("error"))
+
+
+def resumption(cursors: DataFrame, heads: DataFrame) -> DataFrame:
+    """What a reader at a cursor gets: a fresh start where the log doesn't reach (``gone``), nothing more (``end``), or what
+    follows (``events``). ``heads``: document_id, last, terminal."""
+    rows = cursors.join(heads, "document_id", "left")
+    gone = F.col("last").isNull() | (F.col("cursor") < 0) | (F.col("cursor") > F.col("last"))
+    return rows.withColumn("answer", F.when(gone, "gone").when((F.col("cursor") == F.col("last")) & F.col("terminal"), "end").otherwise("events"))
+
+
 def block_versions(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Versions after a new list: 1 for new blocks, one more if the XML changed or the block was out.
 
@@ -168,6 +196,22 @@ def block_versions(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("document_id", "block_id", version.cast("long").alias("version"), F.coalesce("xml", "old_xml").alias("xml"), F.col("xml").isNotNull().alias("active"))
 
 
+def emitted(lists: DataFrame) -> DataFrame:
+    """``document_id, revision, patch`` between each document's consecutive lists (``document_id, step, blocks``), from an empty one."""
+
+    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+        now, revision, out = [], 0, []
+        for r in rows.sort_values("step").itertuples():
+            new = [dict(b) for b in r.blocks]
+            for p in patches(now, new, revision):
+                revision = p["revision"]
+                out.append((key[0], revision, json.dumps(p, default=int, ensure_ascii=False)))
+            now = new
+        return pd.DataFrame(out, columns=["document_id", "revision", "patch"])
+
+    return lists.select("document_id", "step", "blocks").groupBy("document_id").applyInPandas(fold, "document_id string, revision long, patch string")
+
+
 def list_patches(lists: DataFrame) -> DataFrame:
     """``document_id, patch`` from ``document_id, revision, old, new`` (arrays of block structs)."""
 

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..functions import tree
 from ..operators import blocks as B
-from ..operators import drafts, evaluate, events, overlap
 from .relational import Tables, registry
 
 QUERIES, ORACLES, query = registry()
@@ -29,12 +28,6 @@ def turns(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT page_id, false AS valid, 'security' AS stage FROM pages")
-def dm1_validate_pages(t: Tables) -> DataFrame:
-    """Pages bring a document type, which the first gate refuses."""
-    return B.validated(t.pages.select("page_id", "html"), "html").select("page_id", "check.valid", "check.stage")
-
-
 @query("SELECT conv_id::VARCHAR AS document_id, turn::INT AS ord, trim(text) <> '' AS valid FROM conversations")
 def dm4_valid_turns(t: Tables) -> DataFrame:
     """A turn in a paragraph is a valid block unless it is blank."""
@@ -42,12 +35,6 @@ def dm4_valid_turns(t: Tables) -> DataFrame:
     return B.validated(rows, "wrapped").select("document_id", "ord", "check.valid")
 
 
-@query()
-def dm5_relation(t: Tables) -> DataFrame:
-    """How a turn's text relates to its block's."""
-    return B.representation(turns(t)).select("document_id", "ord", "relation", "hard_gate")
-
-
 @query()
 def dm8_alignment_turns(t: Tables) -> DataFrame:
     """Each turn aligned with the one before."""
@@ -55,44 +42,6 @@ def dm8_alignment_turns(t: Tables) -> DataFrame:
     return B.aligned(turns(t).select("document_id", "ord", "text", before.alias("before")).filter("before IS NOT NULL"), "before", "text").select("document_id", "ord", "matched", "coverage", "support")
 
 
-@query()
-def dm10_retrieve(t: Tables) -> DataFrame:
-    """The earlier turns that the last one resembles most."""
-    last = F.max("ord").over(W.partitionBy("document_id"))
-    rows = turns(t).withColumn("last", last)
-    asked = rows.filter("ord = last").select("document_id", F.lit("last").alias("query_id"), "text")
-    return overlap.retrieve(rows.filter("ord < last"), asked)
-
-
-@query()
-def dm19_fallback(t: Tables) -> DataFrame:
-    """Turns of one role as failed blocks that claim the lines of their image."""
-    rows = turns(t)
-    lines = B.segments(rows.select("document_id", F.concat("image_id", F.lit("-"), "ord").alias("image_id"), col("text").alias("content")))
-    refs = lines.groupBy("document_id", "image_id").agg(F.collect_list("source_id").alias("ocr_refs"))
-    blocks = rows.withColumn("k", F.concat("image_id", F.lit("-"), "ord")).join(refs.withColumnRenamed("image_id", "k"), ["document_id", "k"], "left")
-    blocks = blocks.select("document_id", "ord", F.when(col("image_id") == "user", "pending").otherwise("ok").alias("status"), "text", F.coalesce("ocr_refs", F.array().cast("array<string>")).alias("ocr_refs"))
-    return B.fallback(blocks, lines, lines.filter("line_no = 3").select("document_id", "source_id")).select("document_id", "ord", "status", "fallback_source")
-
-
-@query()
-def dm20_assemble(t: Tables) -> DataFrame:
-    """Documents assembled from recorded replies, one image for each turn."""
-    rows = turns(t)
-    value = F.to_json(F.struct(F.lit("generate").alias("action"), F.array(F.struct("xml", "text", F.array().cast("array<string>").alias("ocr_refs"))).alias("blocks")))
-    calls = F.array(F.struct(value.alias("content"), F.lit("stop").alias("finish_reason")))
-    images = rows.select("document_id", col("ord").alias("image_ord"), F.concat("image_id", F.lit("-"), "ord").alias("image_id"), col("text").alias("content"), calls.alias("calls"))
-    return drafts.assemble(images).select("document_id", "ord", "image_id", "status", "fallback_source")
-
-
-@query()
-def dm24_verification(t: Tables) -> DataFrame:
-    """Named checks of each document against its export."""
-    rows = turns(t)
-    made = B.documents(rows)
-    return evaluate.verification(rows, made.select("document_id", "xml", T.sha256(col("xml")).alias("sha256")))
-
-
 @query("SELECT 'p' AS tag, count(*) AS n FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'update', count(*) FROM conversations WHERE trim(text) <> ''")
 def ag3_tags(t: Tables) -> DataFrame:
     """Elements by name."""
@@ -104,44 +53,3 @@ def ag3_tags(t: Tables) -> DataFrame:
 def sk8_documents(t: Tables) -> DataFrame:
     """Blocks in order in their envelope."""
     return B.documents(turns(t))
-
-
-@query()
-def sk9_report(t: Tables) -> DataFrame:
-    """A Markdown report of each document."""
-    return B.block_report(turns(t))
-
-
-@query()
-def sk10_render(t: Tables) -> DataFrame:
-    """Documents as HTML and plain text."""
-    return B.rendered(B.documents(turns(t))).select("document_id", "html", "plain")
-
-
-@query()
-def so7_patches(t: Tables) -> DataFrame:
-    """Patches from a list without its last block to one without its first."""
-    block = F.struct(F.concat(F.lit("b"), "ord").alias("blockId"), F.lit(1).alias("version"), "xml")
-    lists = turns(t).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))).alias("l"))
-    whole = F.transform("l", lambda x: x["b"])
-    n = F.size("l")
-    made = lists.select("document_id", F.lit(0).alias("revision"), F.slice(whole, 1, n - 1).alias("old"), F.slice(whole, 2, F.greatest(n - 1, F.lit(0))).alias("new"))
-    return events.list_patches(made)
-
-
-@query()
-def st8_replay(t: Tables) -> DataFrame:
-    """Readers' state after a snapshot and a progress event for each turn."""
-    rows = turns(t)
-    snapshot = rows.groupBy("document_id").agg(F.lit(0).cast("long").alias("seq")).select("document_id", "seq", F.lit("document.snapshot").alias("kind"), F.lit('{"blocks": [], "revision": 0, "status": "OCR"}').alias("data"))
-    data = F.to_json(F.struct(F.lit("ASSEMBLING").alias("status"), F.lit(9999).alias("totalImages"), F.lit(0).alias("completedOcrImages"), col("seq").cast("int").alias("completedImages")))
-    progress = events.with_sequence(rows.select("document_id", "ord"), ["ord"]).select("document_id", "seq", F.lit("document.progress").alias("kind"), data.alias("data"))
-    return events.replay(snapshot.unionByName(progress)).select("document_id", "cursor", "status", "completed", "reset")
-
-
-@query("SELECT conv_id::VARCHAR AS document_id, bool_or(trim(text) = '') AS needs_review FROM conversations GROUP BY 1")
-def ag6_document_review(t: Tables) -> DataFrame:
-    """Documents with a block that isn't ok."""
-    rows = turns(t)
-    none = t.spark.createDataFrame([], "document_id string, complete boolean, coverage double, support double")
-    return evaluate.needs_review(rows, none.select("document_id", "complete"), none.select("document_id", "coverage", "support"), none.select("document_id"))
