@@ -29,9 +29,12 @@ from .common import id_text, map_arrow
 NONE = np.int32(2**31 - 1)
 LONG = 512
 #: Bytes that matrices of one length may take in a go.
-BLOCK = 1 << 22
-#: Chunks that a worker remembers with their ids before it forgets all.
-REMEMBERED = 400_000
+BLOCK = 1 << 20
+#: Bytes of chunks with their ids that a worker remembers before it forgets all, chunks encoded at once, and
+#: what a remembered chunk takes besides its characters and ids.
+REMEMBERED = 40_000_000
+AT_ONCE = 30_000
+ENTRY = 200
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -98,6 +101,7 @@ class ByteBpe:
         left, right, rank = (np.array(x, np.int64) for x in zip(*triples, strict=True)) if triples else (np.zeros(0, np.int64),) * 3
         self.pairs = PairTable(left, right, rank.astype(np.int32))
         self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.held = 0
 
     def merge_rows(self, ids: np.ndarray) -> list[bytes]:
         """The merged ids of rows of equal length, padded with -1 where rows are shorter."""
@@ -197,7 +201,9 @@ class ByteBpe:
         pieces = [split(lead + c) for c in chunks]
         made = self.encode_pieces(set().union(*pieces))
         get = made.__getitem__
-        self.known[lead].update(zip(chunks, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces], strict=True))
+        ids = [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
+        self.known[lead].update(zip(chunks, ids, strict=True))
+        self.held += ENTRY * len(chunks) + sum(map(len, chunks)) + sum(map(len, ids))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
@@ -212,9 +218,9 @@ class ByteBpe:
 
         def flush() -> None:
             wanted = {"": {c[0] for c in group}, " ": set().union(*(c[1:] for c in group))}
+            if self.held > REMEMBERED:
+                self.known, self.held = {"": {}, " ": {}}, 0
             for lead, chunks in wanted.items():
-                if len(self.known[lead]) > REMEMBERED:
-                    self.known[lead].clear()
                 self.encode_chunks(list(chunks.difference(self.known[lead])), lead)
             first, rest = self.known[""].__getitem__, self.known[" "].__getitem__
             out.extend(first(c[0]) + b"".join(map(rest, c[1:])) for c in group)
@@ -222,7 +228,7 @@ class ByteBpe:
         for text in texts:
             group.append(chunked(text))
             held += len(group[-1])
-            if held > 200_000:
+            if held > AT_ONCE:
                 flush()
                 group, held = [], 0
         if group:
