@@ -18,6 +18,8 @@ from .common import SPACE_CHARS, has_columns, stored, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Bad hosts that are broadcast at most.
+FEW_HOSTS = 10_000
 
 
 def pair_hash(column: str, step: int) -> Column:
@@ -62,10 +64,14 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         (F.col("`source`") if host is None else host).cast("string").alias("host"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"),
     )
+    return counted(base).drop("t")
+
+
+def counted(base: DataFrame) -> DataFrame:
+    """Adds the counts of a text ``t`` to its row."""
     lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     return with_repeat_words(base.withColumns({"w": words(F.col("t")), "l": lines})).select(
-        "doc_id",
-        "host",
+        *base.columns,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -74,6 +80,12 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def failures(min_words: int, repeat_pct: int, symbol_pct: int, dup_line_pct: int) -> tuple[Column, Column]:
+    """Whether counts break a base rule, and whether they break both softer rules."""
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
+    return base, (100 * F.col("n_symbols") > symbol_pct * F.col("word_chars")) & (100 * F.col("n_dup_lines") > dup_line_pct * F.col("n_words"))
+
+
 def host_verdicts(stats: DataFrame, host_limit: float) -> DataFrame:
     """``host, host_docs, host_failed, host_rate, host_bad`` from ``host, failed``.
 
@@ -120,8 +132,7 @@ def quality_rules(
     (symbols, duplicate lines) itself.
     """
     stats = document_stats(docs, id_col, text_col, host)
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > symbol_pct * F.col("word_chars")) & (100 * F.col("n_dup_lines") > dup_line_pct * F.col("n_words"))
+    base, soft = failures(min_words, repeat_pct, symbol_pct, dup_line_pct)
     stats = stored(stats.withColumn("base_failed", base).withColumn("soft_failed", soft).withColumn("failed", base), "quality-stats")
     hosts = host_verdicts(stats, host_limit).withColumnRenamed("host", "h")
     return stats.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").select(
@@ -131,13 +142,32 @@ def quality_rules(
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, columns unchanged.
+def keep_good(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host: Column | None = None,
+    min_words: int = 20,
+    repeat_pct: int = 30,
+    symbol_pct: int = 10,
+    dup_line_pct: int = 30,
+    host_limit: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, columns unchanged; each row is judged by itself.
 
-    Needs unique ids: repeated ids are judged together and kept if any of their rows is.
+    Rows are written once beside their own verdict (those that fail it without their columns), so that
+    only verdicts of hosts have to be joined, and no text is shuffled. Bad hosts are broadcast up
+    to ``FEW_HOSTS`` of them, and joined by their names beyond that.
     """
-    good = quality_rules(docs, **options).filter("kept").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__good"]), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    base = docs.select(row.alias("row"), (F.col("`source`") if host is None else host).cast("string").alias("host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    stats = counted(base)
+    base_failed, soft_failed = failures(min_words, repeat_pct, symbol_pct, dup_line_pct)
+    judged = stored(stats.select("host", base_failed.alias("failed"), F.when(~base_failed & ~soft_failed, F.col("row")).alias("row")), "quality-rows")
+    bad = stored(host_verdicts(judged.select("host", "failed"), host_limit).filter("host_bad").select(F.col("host").alias("h")), "quality-hosts")
+    if bad.count() <= FEW_HOSTS:
+        bad = F.broadcast(bad)
+    return judged.filter("row IS NOT NULL").join(bad, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("row.*")
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:
