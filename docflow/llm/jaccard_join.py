@@ -48,11 +48,10 @@ from .wording import CHUNK, LOWER, chunks, mixed, word_hashes, word_places
 SHINGLE = 5
 #: The threshold 80 %: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: Entries of a bucket, shingles whose subsets a task holds before it sends, sets that it remembers, and
-#: members from which on a subset counts as frequent.
+#: Entries of a bucket, shingles whose subsets a task holds before it sends, and members from which on a subset
+#: counts as frequent.
 BUCKET = 1_000_000
 HELD = 250_000
-REMEMBERED = 100_000
 SMALL_GROUP = 12
 #: Members of a block of a group.
 TILE = 512
@@ -233,15 +232,14 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0) -> DataFrame:
-    """``bucket, keys, sids``: indexed subsets as binary arrays of 32-bit keys (unique but for chance within a
-    bucket, and what chance brings together is told apart later) and set ids.
+    """``bucket, flush, keys, roles``: indexed subsets as binary arrays of 32-bit keys (unique but for chance within a
+    bucket, and what chance brings together is told apart later) and of roles, numbered within a flush. Rows with a negative bucket
+    say for a flush what its roles are: set ids and spare units.
 
-    A task skips sets that it has seen, up to a number that fits its memory, so that copies cost
-    no more than a set for each task.
+    ``docs`` has each set once.
     """
 
     def run(batches):
-        seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush():
@@ -249,30 +247,26 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
             keys, role, spares = both_bands(tokens, sizes, bands, salt)
             bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, role, bucket = keys[order].astype(np.uint32), role[order], bucket[order]
+            keys, role, bucket = keys[order].astype(np.uint32), role[order].astype(np.uint16 if len(owned) < 1 << 15 else np.uint32), bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
             pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False))
+            name = int(mixed(np.array([mixed(owned.view(np.uint64), 41).sum() + np.uint64(len(owned))]), 43).view(np.int64)[0])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[cuts]),
-                    pa.array([keys[s:e].tobytes() for s, e in pieces], pa.binary()),
-                    pa.array([packed(role[s:e], owned, spares) for s, e in pieces], pa.binary()),
+                    pa.array(np.append(bucket[cuts], -1 - name % buckets).astype(np.int32)),
+                    pa.array(np.full(len(pieces) + 1, name)),
+                    pa.array([*(keys[s:e].tobytes() for s, e in pieces), owned.tobytes()], pa.binary()),
+                    pa.array([*(role[s:e].tobytes() for s, e in pieces), spares.tobytes()], pa.binary()),
                 ],
-                names=["bucket", "keys", "sids"],
+                names=["bucket", "flush", "keys", "roles"],
             )
 
         n = 0
         for batch in batches:
             for _, _, tokens, sizes in batch_sets(batch.column("text")):
-                sids = set_ids(tokens, sizes)
-                fresh = np.zeros(len(sids), bool)
-                for i, sid in enumerate(sids.tolist()):
-                    if sizes[i] and sid not in seen:
-                        fresh[i] = True
-                        if len(seen) < REMEMBERED:
-                            seen.add(sid)
-                held.append((tokens[np.repeat(fresh, sizes)], sizes[fresh], sids[fresh]))
-                n += len(held[-1][0])
+                some = sizes > 0
+                held.append((tokens, sizes[some], set_ids(tokens, sizes)[some]))
+                n += len(tokens) + 8 * len(sizes)
                 if n > HELD:
                     yield flush()
                     held, n = [], 0
@@ -280,66 +274,51 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
             yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary")
+    return docs.select("text").mapInArrow(run, "bucket int, flush long, keys binary, roles binary")
 
 
-#: Spare units of a role as one byte: values that grow by an eighth, rounded down, so that no role spares too much.
-SPARES = np.unique(np.concatenate([[-1], np.arange(16), (16 * 1.125 ** np.arange(110)).astype(np.int64)]))
-
-
-def packed(role: np.ndarray, sids: np.ndarray, spares: np.ndarray) -> bytes:
-    """Roles as a table of the distinct ones (set id; which role and what it can spare in a byte) and 16-bit
-    places in it: each occurs several times."""
-    table, place = np.unique(role, return_inverse=True)
-    which = (np.searchsorted(SPARES, spares[table], "right") - 1) * 2 + (table & 1)
-    return np.int64(len(table)).tobytes() + sids[table >> 1].tobytes() + which.astype(np.uint8).tobytes() + place.astype(np.uint16).tobytes()
-
-
-def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    place = np.frombuffer(raw, np.uint16, -1, 8 + 9 * n)
-    which = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
-    return np.frombuffer(raw, np.int64, n, 8)[place], (SPARES[which >> 1] * 2 + (which & 1))[place]
-
-
-GROUPS_DDL = "gid long, sid long, role int, spare long, size long, frequent long"
+GROUPS_DDL = "gid long, flush long, role int, size long, frequent long, sid long, spare long"
 
 
 def groups_of(table: pa.Table) -> pa.Table:
-    """Members of keys that two sets or more have in a bucket, one row each with the group's size.
+    """Members of keys that two roles or more have in a bucket, one row each with the group's size.
 
     Of keys with the same members one stays. Rows without a gid tell how many keys of large groups
-    a role has here.
+    a role has here (``frequent``), or a role's set and spare units (``sid``).
     """
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
-    parts = [unpacked(x) for x in table.column("sids").to_pylist()]
-    sids, which = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    if table.column("bucket")[0].as_py() < 0:
+        sids = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
+        spare = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("roles").to_pylist()])
+        flush = np.repeat(table.column("flush").to_numpy(), [2 * len(x) for x in sids])
+        role = np.concatenate([np.arange(2 * len(x)) for x in sids])
+        return group_rows(flush=flush, role=role, sid=np.repeat(np.concatenate(sids), 2), spare=spare)
+    parts = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+    keys, role = np.concatenate(parts), np.concatenate([np.frombuffer(x, f"u{len(x) // len(k)}").astype(np.uint32) for x, k in zip(table.column("roles").to_pylist(), parts, strict=True)])
+    flushes = table.column("flush").to_numpy()
+    flush = np.repeat(np.arange(len(flushes), dtype=np.int32), list(map(len, parts)))
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     order = order[np.r_[False, same] | np.r_[same, False]] if len(keys) else order
-    order = order[np.lexsort((which[order] & 1, sids[order], keys[order]))]
-    keys, sids, which = keys[order], sids[order], which[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-    keys, sids, which = keys[fresh], sids[fresh], which[fresh]
+    keys, role, flush = keys[order], role[order], flush[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(keys)]).astype(np.int64)
     chosen = np.zeros(len(starts), bool)
     if len(starts):
-        marks = np.add.reduceat(mixed(sids.astype(np.uint64), 3), starts)
+        # a set has a key in either of its roles, so that equal members are equal sums over the sets
+        marks = np.add.reduceat(mixed(flushes[flush].view(np.uint64) + (role >> 1).astype(np.uint64), 3), starts)
         chosen[np.unique(marks, return_index=True)[1]] = True
-    keep = np.repeat(chosen & (sizes > 1), sizes)
-    size = np.repeat(sizes, sizes)
-    role, spare = which & 1, which >> 1
+    keep, size = np.repeat(chosen, sizes), np.repeat(sizes, sizes)
     often = np.flatnonzero(size > SMALL_GROUP)
-    names, first, times = np.unique(np.stack([sids[often], role[often]], 1), axis=0, return_index=True, return_counts=True) if len(often) else (np.zeros((0, 2), np.int64), often, often)
-    n = int(keep.sum())
-    gid = pa.array(np.concatenate([keys[keep].astype(np.int64) | table.column("bucket")[0].as_py() << 32, np.zeros(len(names), np.int64)]), mask=np.r_[np.zeros(n, bool), np.ones(len(names), bool)])
-    both = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
-    return pa.table({
-        "gid": gid, "sid": both(sids[keep], names[:, 0], np.int64), "role": both(role[keep], names[:, 1], np.int32),
-        "spare": both(spare[keep], spare[often[first]], np.int64), "size": both(size[keep], np.zeros(len(names)), np.int64), "frequent": both(np.zeros(n), times, np.int64),
-    })
+    names, times = np.unique(flush[often].astype(np.int64) << 32 | role[often], return_counts=True)
+    bucket = table.column("bucket")[0].as_py()
+    members = group_rows(gid=keys[keep].astype(np.int64) | bucket << 32, flush=flushes[flush[keep]], role=role[keep], size=size[keep])
+    return pa.concat_tables([members, group_rows(flush=flushes[names >> 32], role=names & 0xFFFFFFFF, frequent=times)])
+
+
+def group_rows(**columns: np.ndarray) -> pa.Table:
+    n = len(columns["flush"])
+    kinds = {name: {"long": pa.int64(), "int": pa.int32()}[kind] for name, kind in (c.split() for c in GROUPS_DDL.split(", "))}
+    return pa.table({name: pa.array(columns[name].astype(kind.to_pandas_dtype())) if name in columns else pa.nulls(n, kind) for name, kind in kinds.items()})
 
 
 def needed(rows: DataFrame) -> DataFrame:
@@ -348,12 +327,12 @@ def needed(rows: DataFrame) -> DataFrame:
     A set that has few enough keys of large groups, by what it can spare, meets each of its links
     in another group as well: large groups keep only the sets that have more.
     """
-    counts = rows.filter("gid IS NULL").groupBy("sid", "role").agg(F.sum("frequent").alias("k"), F.min("spare").alias("most"))
-    heavy = counts.filter("k > most").select(F.col("sid").alias("s"), F.col("role").alias("r"))
-    members = rows.filter("gid IS NOT NULL")
-    small = members.filter(F.col("size") <= SMALL_GROUP).select("gid", "sid", "size")
-    large = members.filter(F.col("size") > SMALL_GROUP).join(heavy, (F.col("sid") == F.col("s")) & (F.col("role") == F.col("r")), "left_semi").select("gid", "sid", "size")
-    return small.union(large)
+    by = ["flush", "role"]
+    counts = rows.filter("frequent IS NOT NULL").groupBy(*by).agg(F.sum("frequent").alias("k"))
+    roles = rows.filter("sid IS NOT NULL").select(*by, "sid", "spare").join(counts, by, "left")
+    roles = roles.select(*by, "sid", (F.coalesce("k", F.lit(0)) > F.col("spare")).alias("heavy"))
+    members = rows.filter("gid IS NOT NULL").select("gid", *by, "size").join(roles, by)
+    return members.filter((F.col("size") <= SMALL_GROUP) | F.col("heavy")).select("gid", "sid", "size")
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
@@ -366,9 +345,9 @@ def with_hubs(members: DataFrame) -> DataFrame:
     return weighed.select("gid", hub["sid"].alias("hub"), "sid", F.count("*").over(one).alias("k")).filter("k > 1").drop("k")
 
 
-def find_groups(docs: DataFrame, bands: dict[int, int], total: int, salt: int = 0) -> DataFrame:
+def find_groups(docs: DataFrame, bands: dict[int, int], total: int) -> DataFrame:
     buckets = max(16, math.ceil(total / 2 / BUCKET))
-    found = entries(docs, bands, buckets, salt)
+    found = entries(docs, bands, buckets)
     keys = stored(found.groupBy("bucket").applyInArrow(groups_of, GROUPS_DDL), "jaccard-keys")
     grouped = stored(needed(keys), "jaccard-grouped")
     discard(keys)
@@ -521,7 +500,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         b = int(np.searchsorted(ends, r["n"]))
         bands[b] = bands.get(b, 0) + r["k"]
     total = sum(r["total"] for r in exact)
-    groups = find_groups(texts, bands, total)
+    # Each set is indexed from one document; the other documents that have it are left out.
+    own = members.filter("doc_id IS NOT NULL AND n > 0").join(known.select(F.col("sid").alias("s"), "doc"), F.col("sid") == F.col("s"))
+    copies = stored(own.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("doc")).alias("first")).filter("NOT first").select("doc_id"), "jaccard-copies")
+    groups = find_groups(without_ids(texts, "doc_id", copies), bands, total)
     links = linked(stars(groups), known, texts)
     for level in range(1, levels + 1):
         roots = stored(components(links), "jaccard-roots")
