@@ -150,3 +150,28 @@ def update(blocks: Column, kind: str = "update") -> Column:
     """Blocks in their envelope."""
     start, _, end = tree.envelope("\0", kind).partition("\0")
     return F.concat(F.lit(start), blocks, F.lit(end))
+
+
+def unsigned(content: Column, start: int, size: int) -> Column:
+    """A big-endian number in binary content; the first byte has the place 1."""
+    return F.conv(F.hex(F.substring(content, start, size)), 16, 10).cast("long")
+
+
+def png_size(content: Column) -> tuple[Column, Column]:
+    """Width and height in the head of a PNG file; null for others."""
+    png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
+    return F.when(png, unsigned(content, 17, 4)), F.when(png, unsigned(content, 21, 4))
+
+
+def oriented(width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:
+    """Sizes as an image is shown: orientations from 5 on lie on their side."""
+    turned = F.coalesce(orientation >= 5, F.lit(False))
+    return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+
+
+def half_window(text: Column, start: Column, end: Column) -> Column:
+    """Half of a window of characters, back to the line end before it if there is one."""
+    middle = start + F.floor((end - start) / 2)
+    head = F.substr(text, (start + 1).cast("int"), (middle - start + 1).cast("int"))
+    lines = F.length(F.substring_index(head, "\n", -1))
+    return F.when(F.contains(head, F.lit("\n")), start + F.length(head) - lines).otherwise(middle)

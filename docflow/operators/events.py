@@ -155,6 +155,28 @@ def consume(deliveries: DataFrame, receipts: DataFrame, terminal: DataFrame) ->
     return fresh.join(ended, "document_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
 
 
+def reconciled(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
+    """What has to be done to rows by key, so that the old ones become the new ones: insert, update, delete or keep."""
+    was = old.select(*key, F.col(value).alias("value before"), F.lit(True).alias("there before"))
+    now = new.select(*key, F.col(value).alias("value after"), F.lit(True).alias("there after"))
+    both = was.join(now, key, "full")
+    same = F.col("value before").eqNullSafe(F.col("value after"))
+    step = F.when(F.col("there before").isNull(), "insert").when(F.col("there after").isNull(), "delete").when(same, "keep").otherwise("update")
+    return both.select(*key, step.alias("step"), F.col("value after").alias(value))
+
+
+def work_batches(arrivals: DataFrame, idle: str) -> DataFrame:
+    """Arrivals (``worker, ts``) put together until nothing has come for ``idle``: ``worker, first, last, n``."""
+    grouped = arrivals.groupBy("worker", F.session_window("ts", idle)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return grouped.select("worker", "first", "last", "n")
+
+
+def heartbeats(signs: DataFrame, every: int) -> DataFrame:
+    """The last sign of each worker (``worker, ts``) and how many intervals of so many seconds had one."""
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / every)
+    return signs.groupBy("worker").agg(F.max("ts").alias("ts"), F.count_distinct(slot).alias("beats"))
+
+
 def outbox(payloads: DataFrame, sent: DataFrame) -> DataFrame:
     """Those of ``payloads`` (``document_id, kind, seq, payload``) that say something new, with their signature: others equal
     the one before, or the last one of ``sent`` (``document_id, kind, signature``). Written again after a crash they are

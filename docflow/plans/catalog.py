@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assembly, content, documents, relational, service, storage
+from . import assembly, content, documents, further, relational, service, storage
 
-PARTS = (relational, storage, content, documents, assembly, service)
+PARTS = (relational, storage, content, documents, assembly, service, further)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -157,3 +157,11 @@ def recovered_pages(pages: DataFrame) -> DataFrame:
     """Pages after a cold start: what was under way is taken again where a file is left, else anew."""
     state = F.when(F.col("state").isin("READY", "RETAKE_REQUIRED"), F.col("state")).when(F.col("has_ready_file"), "READY").when(F.col("has_raw_file"), "NORMALIZING").otherwise("RETAKE_REQUIRED")
     return pages.withColumn("state", state)
+
+
+def memory_samples(lines: DataFrame) -> DataFrame:
+    """Readings of ``sample, line`` (used and total, parted by a comma, units left out): ``sample, used, total``; a line that isn't one is an error."""
+    found = F.regexp_extract_all("line", F.lit(r"([0-9]+)(?: MiB)?"), F.lit(1))
+    good = F.col("line").rlike(r"^\s*[0-9]+(?: MiB)?\s*,\s*[0-9]+(?: MiB)?\s*$")
+    value = lambda k: F.when(good, F.element_at(found, k).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no reading: "), F.col("line"))).cast("long"))
+    return lines.select("sample", value(1).alias("used"), value(2).alias("total"))
