@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import scratch, shared_dir
+
 #: What separates words: the space and the controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]"
 #: The same characters, for ``translate``.
@@ -32,27 +36,11 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The session names it in ``spark.checkpoint.dir``. A session without one (local tests)
-    gets a temporary folder, which is right only where all of Spark runs on one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="docflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts the lineage, survives the
     loss of executors, and is computed once however often it is used."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -117,6 +105,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, "1000")
 
 
+def release() -> None:
+    """Freed memory given back to the system, at the end of a task: a worker waits for its next one with what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str) -> DataFrame:
     """Each Arrow batch turned into another one. ``make()`` is called once a task and gives the
     function from a batch to the columns (Arrow arrays, or values for them) in the order of ``ddl``."""
@@ -128,13 +124,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
         for batch in batches:
             made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns(batch), schema, strict=True)]
             yield pa.RecordBatch.from_arrays(made, schema=schema)
+            del batch, made
+        release()
 
     return df.mapInArrow(run, ddl)
 
 
-def sampled(rows: DataFrame, by: list[str], id_col: str, most: int, salt: str) -> DataFrame:
-    """For each group ``by`` those of ``rows`` whose ids have the smallest hashes, at most about ``most``: all of a group
-    that has no more, and else as many as whole eighths of a doubling of the hash allow.
+def sampled(rows: DataFrame, by: list[str], id_col: str, most: int | dict[tuple, int], salt: str) -> DataFrame:
+    """For each group ``by`` those of ``rows`` whose ids have the smallest hashes, at most ``most`` (for all groups, or for
+    each): all of a group that has no more, and else as many as whole eighths of a doubling of the hash allow.
 
     Counts by group and size of the hash tell where to cut, so that no group has to be sorted.
     """
@@ -145,7 +143,8 @@ def sampled(rows: DataFrame, by: list[str], id_col: str, most: int, salt: str) -
     for r in sorted(counts.collect(), key=lambda r: -r["level"]):
         key = tuple(r[c] for c in by)
         total, cut = cuts.get(key, (0, 1 << 20))
-        cuts[key] = (total + r["k"], r["level"] if total + r["k"] <= most else cut)
+        limit = most if isinstance(most, int) else most[key]
+        cuts[key] = (total + r["k"], r["level"] if total + r["k"] <= limit else cut)
     chosen = F.lit(False)
     for key, (_, cut) in cuts.items():
         same = F.col("level") >= cut

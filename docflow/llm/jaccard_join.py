@@ -7,7 +7,8 @@ subset in each segment. A segment of the first type counts one unit (unless the
 one of the second type also indexes the subset's one-deletion neighbourhood and counts two (unless
 the subsets differ twice). With more units than H, two linked sets have a subset in common. How
 many segments of either type a band has is chosen by cost: subsets to index against expected
-chance matches, from the number of sets in the band.
+chance matches, from the number of sets in the band and the mean number of sets that share a shingle (all
+shingles over distinct ones, both counted over all texts).
 
 Empty subsets (of the second type: subsets of one or none) would be shared by most sets and are
 not indexed; subsets that many sets have (passages that many documents share) are indexed but not
@@ -34,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, id_text, map_arrow, perhaps_in, small_batches, stored, without_ids
+from .common import discard, id_text, map_arrow, perhaps_in, release, small_batches, stored, without_ids
 from .components import components
 from .wording import CHUNK, LOWER, chunks, mixed, word_hashes, word_places
 
@@ -57,8 +59,8 @@ SMALL_GROUP = 12
 TILE = 512
 #: Share of the units that may lie in subsets that more than SMALL_GROUP sets have.
 FREQUENT = 0.12
-#: Chance that a shingle of one set is in another unrelated one; only costs depend on it.
-SHARED = 1e-4
+#: Registers of the count of distinct shingles: it is off by some six in a hundred, and only costs depend on it.
+REGISTERS = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,12 +115,25 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(band_ends(), n)
 
 
+class Spread(NamedTuple):
+    """What is known of all sets before they are indexed: how many each band has, and the chance that a shingle of
+    one set is in another one."""
+
+    sets: dict[int, int]
+    shared: float
+
+    def plan(self, band: int) -> tuple[int, int, int, int]:
+        return layout(band, self.sets.get(band, 0) + self.sets.get(band + 1, 0), self.shared)
+
+
 @lru_cache(maxsize=None)
-def layout(band: int, n_sets: int) -> tuple[int, int, int, int]:
+def layout(band: int, n_sets: int, shared: float) -> tuple[int, int, int, int]:
     """Segments of the first and second type, and how many weak ones of each type are allowed for.
 
     The cost of a layout is the subsets that a set indexes, plus chance matches per set: pairs of
-    sets whose subset in a segment is the same single shingle.
+    sets whose subset in a segment is the same single shingle. With ``shared`` as it was measured, ordinary
+    text takes segments of the first type alone; where shingles recur in very many sets, the larger
+    segments of the second type cost less.
     """
     high = int(band_ends()[band])
     low = int(band_ends()[band - 1]) + 1 if band else 1
@@ -137,13 +152,13 @@ def layout(band: int, n_sets: int) -> tuple[int, int, int, int]:
         made1, made2 = (first + weak1 + 4 * weak2, second) if first or not second else (0, second + 2 * weak2)
         m = made1 + made2
         k = low / m
-        cost = made1 + made2 * (k + 1) + n_sets / 2 * (made1 * k * math.exp(-2 * k) + made2 * k * math.exp(-2 * k) / 2) * SHARED
+        cost = made1 + made2 * (k + 1) + n_sets / 2 * (made1 * k * math.exp(-2 * k) + made2 * k * math.exp(-2 * k) / 2) * shared
         if best is None or cost < best[0]:
             best = (cost, made1, made2, weak1, weak2)
     return best[1:]
 
 
-def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, spread: Spread, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of indexed subsets, for each its owner, and for each set how many units of frequent
     subsets it can do without (-1: it needs them all).
 
@@ -151,7 +166,7 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: d
     ``band`` for each set that in which it is indexed here.
     """
     n_sets = len(band)
-    plans = {b: layout(b, bands.get(b, 0) + bands.get(b + 1, 0)) for b in np.unique(band).tolist()}
+    plans = {b: spread.plan(b) for b in np.unique(band).tolist()}
     made1 = np.array([plans[b][0] for b in band.tolist()], np.int64)
     made2 = np.array([plans[b][1] for b in band.tolist()], np.int64)
     allowed1 = np.array([plans[b][2] for b in band.tolist()])
@@ -186,7 +201,7 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, bands: d
     return np.concatenate(keys), np.concatenate(owners), spare
 
 
-def both_bands(tokens: np.ndarray, n: np.ndarray, bands: dict[int, int], salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def both_bands(tokens: np.ndarray, n: np.ndarray, spread: Spread, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of sets (``n`` tokens each, one after another) in their own band and, where a link is possible, in
     the next lower one.
 
@@ -196,14 +211,14 @@ def both_bands(tokens: np.ndarray, n: np.ndarray, bands: dict[int, int], salt: i
     own = band_of(n)
     lower = (own > 0) & (-(-n * PERCENT // 100) <= band_ends()[np.maximum(own - 1, 0)])
     owner = np.repeat(np.arange(len(n)), n)
-    keys, who, spare = signatures(tokens, owner, own, bands, salt)
+    keys, who, spare = signatures(tokens, owner, own, spread, salt)
     role, spares = who * 2, np.full(2 * len(n), -1, np.int64)
     spares[::2] = spare
     if lower.any():
         chosen = np.flatnonzero(lower)
         keep = lower[owner]
         new = np.cumsum(lower) - 1
-        k2, w2, spare = signatures(tokens[keep], new[owner[keep]], own[chosen] - 1, bands, salt)
+        k2, w2, spare = signatures(tokens[keep], new[owner[keep]], own[chosen] - 1, spread, salt)
         keys, role = np.concatenate([keys, k2]), np.concatenate([role, chosen[w2] * 2 + 1])
         spares[chosen * 2 + 1] = spare
     return keys, role, spares
@@ -213,25 +228,47 @@ def both_bands(tokens: np.ndarray, n: np.ndarray, bands: dict[int, int], salt: i
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sid, sketch`` of each row: its set's size, id and sketch."""
+    """``doc_id, n, sid, sketch`` of each row: its set's size, id and sketch; and ``registers`` of all shingles of a batch
+    in its first row."""
 
     def make():
         def columns(batch: pa.RecordBatch) -> list:
-            n, sid, sketches = [], [], []
+            n, sid, sketches, registers = [], [], [], np.zeros(REGISTERS, np.uint8)
             for _, _, tokens, sizes in batch_sets(batch.column("text")):
+                registers = np.maximum(registers, counted(tokens))
                 n.append(sizes)
                 sid.append(set_ids(tokens, sizes))
                 ends = np.cumsum(sizes)
                 sketches += (sketch(tokens[e - k : e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
             joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n, sid)]
-            return [batch.column("doc_id"), pa.array(joined[0].astype(np.int64)), pa.array(joined[1]), sketches]
+            first = [registers.tobytes(), *[None] * (len(batch) - 1)] if len(batch) else []
+            return [batch.column("doc_id"), pa.array(joined[0].astype(np.int64)), pa.array(joined[1]), sketches, pa.array(first, pa.binary())]
 
         return columns
 
-    return map_arrow(docs, make, "doc_id long, n long, sid long, sketch binary")
+    return map_arrow(docs, make, "doc_id long, n long, sid long, sketch binary, registers binary")
+
 
+def counted(tokens: np.ndarray) -> np.ndarray:
+    """HyperLogLog registers: of the tokens of each register the longest run of leading zeros of another part of the hash, and one."""
+    h = mixed(tokens, 53)
+    zeros = 53 - np.frexp((h >> np.uint64(11)).astype(float))[1]  # of 53 bits
+    out = np.zeros(REGISTERS, np.uint8)
+    np.maximum.at(out, (h & np.uint64(REGISTERS - 1)).astype(np.int64), (zeros + 1).astype(np.uint8))
+    return out
 
-def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0) -> DataFrame:
+
+def distinct_tokens(members: DataFrame) -> float:
+    """How many distinct shingles all texts have, about."""
+    byte = F.conv(F.hex(F.substring("registers", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = members.filter("registers IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS - 1))))
+    most = rows.groupBy("i").agg(F.max(byte).alias("m")).collect()  # a row for each register
+    m = [r["m"] for r in most] + [0] * (REGISTERS - len(most))
+    estimate = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / sum(2.0**-x for x in m)
+    return REGISTERS * math.log(REGISTERS / m.count(0)) if estimate < 2.5 * REGISTERS and m.count(0) else estimate
+
+
+def entries(docs: DataFrame, spread: Spread, buckets: int) -> DataFrame:
     """``bucket, flush, keys, roles``: indexed subsets as binary arrays of 32-bit keys (unique but for chance within a
     bucket, and what chance brings together is told apart later) and of roles, numbered within a flush. Rows with a negative bucket
     say for a flush what its roles are: set ids and spare units.
@@ -244,7 +281,7 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
 
         def flush():
             tokens, sizes, owned = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, role, spares = both_bands(tokens, sizes, bands, salt)
+            keys, role, spares = both_bands(tokens, sizes, spread)
             bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, role, bucket = keys[order].astype(np.uint32), role[order].astype(np.uint16 if len(owned) < 1 << 15 else np.uint32), bucket[order]
@@ -272,6 +309,7 @@ def entries(docs: DataFrame, bands: dict[int, int], buckets: int, salt: int = 0)
                     held, n = [], 0
         if n:
             yield flush()
+        release()
 
     small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "bucket int, flush long, keys binary, roles binary")
@@ -345,9 +383,9 @@ def with_hubs(members: DataFrame) -> DataFrame:
     return weighed.select("gid", hub["sid"].alias("hub"), "sid", F.count("*").over(one).alias("k")).filter("k > 1").drop("k")
 
 
-def find_groups(docs: DataFrame, bands: dict[int, int], total: int) -> DataFrame:
+def find_groups(docs: DataFrame, spread: Spread, total: int) -> DataFrame:
     buckets = max(16, math.ceil(total / 2 / BUCKET))
-    found = entries(docs, bands, buckets)
+    found = entries(docs, spread, buckets)
     keys = stored(found.groupBy("bucket").applyInArrow(groups_of, GROUPS_DDL), "jaccard-keys")
     grouped = stored(needed(keys), "jaccard-grouped")
     discard(keys)
@@ -487,8 +525,11 @@ def cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(possible, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, small_group: int = 4096) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row: the smallest id reachable by links."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, small_group: int = 4096, shared: float | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row: the smallest id reachable by links.
+
+    ``shared`` is the chance that a shingle of one set is in another one; it is measured where it isn't given.
+    """
     texts = id_text(docs, id_col, text_col)
     members = stored(described(texts), "jaccard-sets")
     known = stored(members.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "jaccard-known")
@@ -499,11 +540,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for r in exact:
         b = int(np.searchsorted(ends, r["n"]))
         bands[b] = bands.get(b, 0) + r["k"]
-    total = sum(r["total"] for r in exact)
+    total, n_sets = sum(r["total"] for r in exact), sum(r["k"] for r in exact)
+    if shared is None:  # a shingle is in total / distinct sets on average
+        shared = max(total / max(distinct_tokens(members), 1) - 1, 0) / max(n_sets, 1)
+    spread = Spread(bands, float(f"{shared:.2g}"))
     # Each set is indexed from one document; the other documents that have it are left out.
     own = members.filter("doc_id IS NOT NULL AND n > 0").join(known.select(F.col("sid").alias("s"), "doc"), F.col("sid") == F.col("s"))
     copies = stored(own.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("doc")).alias("first")).filter("NOT first").select("doc_id"), "jaccard-copies")
-    groups = find_groups(without_ids(texts, "doc_id", copies), bands, total)
+    groups = find_groups(without_ids(texts, "doc_id", copies), spread, total)
     links = linked(stars(groups), known, texts)
     for level in range(1, levels + 1):
         roots = stored(components(links), "jaccard-roots")
@@ -516,7 +560,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         large = open_groups.filter(F.col("far") > small_group)
         if last or large.isEmpty():
             break
-        groups = stored(refined(large, known, texts, bands, level), "jaccard-finer")
+        groups = stored(refined(large, known, texts, spread, level), "jaccard-finer")
         links = links.union(linked(stars(groups), known, texts))
     roots = stored(components(links), "jaccard-roots").select(F.col("node").alias("sid"), "root")
     # The component's smallest document, over the distinct sets; then back to every document.
@@ -527,7 +571,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def refined(large: DataFrame, known: DataFrame, docs: DataFrame, bands: dict[int, int], level: int) -> DataFrame:
+def refined(large: DataFrame, known: DataFrame, docs: DataFrame, spread: Spread, level: int) -> DataFrame:
     """Large groups split by subsets under another hash: ``gid, hub, sid`` of the parts."""
 
     def make():
@@ -536,7 +580,7 @@ def refined(large: DataFrame, known: DataFrame, docs: DataFrame, bands: dict[int
             sizes = found.value_lengths().to_numpy().astype(np.int64)
             if not len(sizes):
                 return [[], [], []]
-            keys, role, _ = both_bands(found.flatten().to_numpy().view(np.uint64), sizes, bands, level)
+            keys, role, _ = both_bands(found.flatten().to_numpy().view(np.uint64), sizes, spread, level)
             who = pa.array(role >> 1)
             return [batch.column("gid").take(who), keys.view(np.int64), batch.column("sid").take(who)]
 

@@ -49,9 +49,13 @@ def near_texts(seed=5, n=500):
         yield i, " ".join(w + "common words that very many texts of this table share".split() * (rng.random() < 0.4))
 
 
-def test_jaccard_components_by_brute_force(spark):
+@pytest.mark.parametrize("shared", [None, 1e-9, 0.9])  # as measured; segments of the first type; with one-deletion neighbourhoods
+def test_jaccard_components_by_brute_force(spark, shared, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 16)  # groups are met in several tiles
     rows = list(near_texts())
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), small_group=5).collect()}
+    if shared == 0.9:
+        assert any(jaccard_join.layout(b, 500, shared)[1] for b in range(8, 16)) and not any(jaccard_join.layout(b, 500, 1e-9)[1] for b in range(30))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), small_group=5, shared=shared).collect()}
     sets = {}
     for i, text in rows:
         w = text.split()
@@ -65,16 +69,23 @@ def test_jaccard_components_by_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def test_distinct_shingles_are_counted(spark):
+    for n in (0, 3, 300, 40_000):
+        rows = spark.range(max(n // 20, 1)).selectExpr("id AS doc_id", f"CASE WHEN {n} > 0 THEN array_join(transform(sequence(1, least({n}, 20) + 4), i -> concat('w', id, '_', i)), ' ') END AS text")
+        found = jaccard_join.distinct_tokens(jaccard_join.described(rows.union(rows)))
+        assert abs(found - n) <= 0.25 * n
+
+
 def test_linked_sets_share_a_subset_for_every_layout():
     rng = np.random.default_rng(1)
     for n in (1, 5, 9, 10, 36, 120, 500):
-        for crowd in (10, 10**7, 10**12):  # few, many and very many sets: other types of segments
+        for crowd in (10, 10**7, 10**12):  # few, many and very many sets that share a shingle: other types of segments
             a = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
             most = (n + n) * 20 // 180  # of shingles in which sets of this size may differ
             b = a.copy()
             b[: most // 2] = rng.integers(0, 2**63, most // 2, dtype=np.int64).astype(np.uint64)
             sets = [np.unique(a), np.unique(b)]
-            keys, role, _ = jaccard_join.both_bands(np.concatenate(sets), np.array([len(x) for x in sets]), {k: crowd for k in range(60)})
+            keys, role, _ = jaccard_join.both_bands(np.concatenate(sets), np.array([len(x) for x in sets]), jaccard_join.Spread({k: crowd for k in range(60)}, 1e-4))
             assert set(keys[role < 2].tolist()) & set(keys[role >= 2].tolist())
 
 
