@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by product quantisation.
 
-Per label, coarse centroids (k-means on the sphere, fitted to a sample with a bound: the
-``sample`` vectors of a label with the smallest hash) part the vectors into inverted lists. In a
+Per label, coarse centroids (k-means on the sphere, fitted to a sample with a bound: those vectors of a label
+with the smallest hash, ``sample`` of them or eight a list, ``all_samples`` over all labels) part the
+vectors into inverted lists. In a
 list a vector is kept as codes of its residual, one for each subspace, from codebooks fitted to
 the sample's residuals, with the length of what the codes leave out. A query visits the lists
-whose centroids are nearest, as many as ``probes``. Its inner products with a list's vectors come
+whose centroids are nearest, as many as ``probes`` or, by default, as many as a measurement on the sample shows to be enough. Its inner products with a list's vectors come
 from lookup tables (one for each subspace); since the part left out can add no more than its
 length, a table distance rules a vector out for certain or lets it through to the exact cosine in
 double precision. Every vector is indexed and is a query.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sampled, stored
+from .common import discard, map_arrow, release, sampled, stored
 from .components import components
 
 THRESHOLD = 0.93
@@ -37,6 +38,8 @@ THRESHOLD = 0.93
 LIST = 256
 SUBSPACE = 8
 CODES = 64
+#: Lists of a label and dimension at most.
+LISTS = 8192
 #: Entries of a list that a task holds at once (and four times as many queries).
 BLOCK = 4096
 
@@ -91,6 +94,17 @@ class Quantiser:
         order = np.take_along_axis(scores, part, 1).argsort(axis=1)[:, ::-1]
         return np.take_along_axis(part, order, 1)
 
+    def sufficient(self, x: np.ndarray, cosine: float = THRESHOLD, share: float = 0.97, least: int = 8, most: int = 64) -> int:
+        """Lists to visit, as measured: of copies of a sample moved to ``cosine`` in any direction, ``share`` at least
+        have the original's list among those that they visit, or the original has theirs."""
+        x = x[:: max(1, len(x) // 1000)]
+        noise = np.random.default_rng(11).normal(size=x.shape)
+        noise -= (noise * x).sum(1, keepdims=True) * x
+        moved = cosine * x + math.sqrt(1 - cosine**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+        there, back = self.nearest(moved, most), self.nearest(x, most)
+        met = np.minimum((there == back[:, :1]).argmax(1) + most * ~(there == back[:, :1]).any(1), (back == there[:, :1]).argmax(1) + most * ~(back == there[:, :1]).any(1))
+        return int(np.clip(np.quantile(met, share, method="higher") + 1, least, most))
+
     def encode(self, x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals to a centroid, and the length that they leave out."""
         residual = x - self.coarse[which]
@@ -106,18 +120,30 @@ class Quantiser:
         return [q[:, s:e] @ book.T for (s, e), book in zip(self.cuts, self.books, strict=True)]
 
 
-def fit(entries: DataFrame, sample: int) -> dict[tuple[str, int], Quantiser]:
-    """A quantiser for each label and dimension, from at most ``sample`` vectors of each."""
+def fit(entries: DataFrame, least: int, total: int, probes: int | None) -> dict[tuple[str, int], Quantiser]:
+    """A quantiser for each label and dimension, from a sample of at most ``least`` vectors or eight a list, as far as all
+    samples together have ``total`` (or ``least`` each).
+
+    Lists grow in number with a label's vectors, up to ``LISTS``, so that they stay of like sizes.
+    """
     keyed = entries.select("label", F.size("v").alias("dim"), "vec_id")
     sizes = {(r["label"], r["dim"]): r["n"] for r in keyed.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    chosen = sampled(keyed, ["label", "dim"], "vec_id", sample, "quantiser").select("vec_id")
+    wanted = {key: min(math.ceil(n / LIST), LISTS) for key, n in sizes.items()}
+    share = min(1.0, total / max(8 * sum(wanted.values()), 1))
+    most = {key: max(least, int(8 * k * share)) for key, k in wanted.items()}
+    chosen = sampled(keyed, ["label", "dim"], "vec_id", most, "quantiser").select("vec_id")
     found: dict[tuple[str, int], list] = {}
     for r in entries.join(chosen, "vec_id", "left_semi").select("label", "v").toLocalIterator():
         found.setdefault((r["label"], len(r["v"])), []).append(r["v"])
-    return {key: Quantiser(unit(np.array(sorted(v), float)), max(1, min(math.ceil(sizes[key] / LIST), len(v) // 8 or 1))) for key, v in sorted(found.items())}
+    out = {}
+    for key in sorted(found):
+        x = unit(np.array(sorted(found.pop(key)), float))
+        out[key] = Quantiser(x, max(1, min(wanted[key], len(x) // 8 or 1)))
+        out[key].probes = min(probes or out[key].sufficient(x), len(out[key].coarse))
+    return out
 
 
-def dealt(entries: DataFrame, quantisers: dict, probes: int) -> DataFrame:
+def dealt(entries: DataFrame, quantisers: dict) -> DataFrame:
     """``list, query, vec_id, n, v, visits``: each vector once as an entry of its list, and as a query
     in each list that it visits, its own first. Lists are named by label, dimension and centroid."""
 
@@ -132,7 +158,7 @@ def dealt(entries: DataFrame, quantisers: dict, probes: int) -> DataFrame:
                 groups.setdefault((label, len(v)), []).append(i)
             for key, members in groups.items():
                 x = unit(np.array([vs[i] for i in members]))
-                near = quantisers[key].nearest(x, probes)
+                near = quantisers[key].nearest(x, quantisers[key].probes)
                 for i, row, lists in zip(members, x, near.tolist(), strict=True):
                     raw, visits = row.tobytes(), np.array(lists, np.int32).tobytes()
                     for k, c in enumerate([lists[0], *lists]):
@@ -233,20 +259,22 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, probes: int = 8, sample: int = 4096
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, probes: int | None = None, sample: int = 4096, all_samples: int = 250_000
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row."""
     typed = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"))
     good = stored(usable(vectors, id_col, vector_col, label_col).withColumn("same", F.sha2(F.concat(F.col("label"), F.lit("|"), F.col("v").cast("string")), 256)), "vectors")
     entries = stored(good.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-entries")
-    quantisers = fit(entries, sample)
-    lists = in_blocks(dealt(entries, quantisers, probes)).groupBy("list", "e", "q")
+    quantisers = fit(entries, sample, all_samples, probes)
+    lists = in_blocks(dealt(entries, quantisers)).groupBy("list", "e", "q")
     found = stored(lists.applyInArrow(match_lists(quantisers, threshold), "a long, b long, links long"), "vector-links")
     roots = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "entry")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("entry")).agg(F.sum("links").alias("links"))
     judged = entries.select(F.col("vec_id").alias("entry"), "same", "n").join(counts, "entry", "left").join(roots, "entry", "left")
     judged = stored(judged.select("same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "entry").alias("component_id")), "vector-judged")
     per_row = good.select("vec_id", "same").join(judged, "same").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    for done in (entries, found):
+        discard(done)
     out = typed.join(per_row, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
