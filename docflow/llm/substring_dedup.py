@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, small_batches, stored
+from .common import id_text, map_arrow, release, small_batches, stored
 from .fm_index import FmIndex
 from .wording import CHUNK, Runs, chunks, mixed, word_hashes, word_places
 
@@ -95,6 +95,7 @@ def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
                 made = list(sent(data, offsets, ids[a:b], known[a:b], digests[a:b], shards, squeeze))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "places", "owners", "bytes"])
+        release()
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, "shard int, places binary, owners binary, bytes binary")
 
@@ -183,6 +184,7 @@ def search_shard(table: pa.Table) -> pa.Table:
         n += k
     if n:
         done.append(shared_windows(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(sizes), np.concatenate(places).astype(np.int64), np.concatenate(owners)))
+        release()
     rows = np.concatenate(done) if done else np.zeros(0, DECIDED)
     return pa.table({"doc_id": rows["doc"].copy(), "h": rows["digest"].astype(np.int64), "s": rows["s"].copy(), "e": rows["e"].copy()})
 
