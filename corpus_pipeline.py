@@ -4,6 +4,12 @@ Five stages, each over all that the one before has kept: quality rules judged by
 of each group of near copies, secrets replaced by a mark, sources mixed to their target weights,
 and token ids. All but the last return the columns of the documents.
 
+Edge cases, stage by stage: documents without words (null or empty texts too) fail the quality rules; each row is judged
+by itself, and a null source is a host of its own. Rows without an id are never near copies and stay; rows
+that share an id stay or go together. Null texts stay null where secrets are replaced. The mix draws by id: rows that share
+one are copied alike, a null source comes last. A null text has no token ids. Empty tables stay empty, and
+further columns are carried through all stages but the last, whatever their names.
+
 SQL can't express decoding layers, the component search and BPE, so there is no ``ORACLE_SQL``;
 tests hold the stages against brute-force versions.
 """
