@@ -41,7 +41,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import discard, id_text, map_arrow, perhaps_in, release, small_batches, stored, without_ids
 from .components import components
@@ -270,8 +269,9 @@ def distinct_tokens(members: DataFrame) -> float:
 
 def entries(docs: DataFrame, spread: Spread, buckets: int) -> DataFrame:
     """``bucket, flush, keys, roles``: indexed subsets as binary arrays of 32-bit keys (unique but for chance within a
-    bucket, and what chance brings together is told apart later) and of roles, numbered within a flush. Rows with a negative bucket
-    say for a flush what its roles are: set ids and spare units.
+    bucket, and what chance brings together is told apart later) and of roles, numbered within a flush. Of a key that many sets of a flush
+    have, the bucket only gets notice, so that no key fills it, however many sets have it. Rows with a negative bucket
+    have what isn't dealt by key: what a flush's roles are (set ids and spare units), and which of them have its frequent keys.
 
     ``docs`` has each set once.
     """
@@ -282,18 +282,26 @@ def entries(docs: DataFrame, spread: Spread, buckets: int) -> DataFrame:
         def flush():
             tokens, sizes, owned = (np.concatenate(x) for x in zip(*held, strict=True))
             keys, role, spares = both_bands(tokens, sizes, spread)
-            bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(keys)
+            keys, role = keys[order], role[order].astype(np.uint16 if len(owned) < 1 << 15 else np.uint32)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            times = np.diff(np.r_[starts, len(keys)])
+            often = np.repeat(times > SMALL_GROUP, times)
+            hot = (keys[often].astype(np.uint32), role[often], bucket_of(keys[often], buckets))
+            told = starts[times > SMALL_GROUP]  # of a frequent key the bucket gets one entry, which is no role's
+            keys, role = np.concatenate([keys[~often], keys[told]]), np.concatenate([role[~often], np.full(len(told), np.iinfo(role.dtype).max, role.dtype)])
+            bucket = bucket_of(keys, buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, role, bucket = keys[order].astype(np.uint32), role[order].astype(np.uint16 if len(owned) < 1 << 15 else np.uint32), bucket[order]
+            keys, role, bucket = keys[order].astype(np.uint32), role[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
             pieces = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False))
             name = int(mixed(np.array([mixed(owned.view(np.uint64), 41).sum() + np.uint64(len(owned))]), 43).view(np.int64)[0])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.append(bucket[cuts], -1 - name % buckets).astype(np.int32)),
-                    pa.array(np.full(len(pieces) + 1, name)),
-                    pa.array([*(keys[s:e].tobytes() for s, e in pieces), owned.tobytes()], pa.binary()),
-                    pa.array([*(role[s:e].tobytes() for s, e in pieces), spares.tobytes()], pa.binary()),
+                    pa.array(np.append(bucket[cuts], [-1 - name % buckets] * 2).astype(np.int32)),
+                    pa.array(np.full(len(pieces) + 2, name)),
+                    pa.array([*(keys[s:e].tobytes() for s, e in pieces), owned.tobytes(), (hot[0].astype(np.int64) | hot[2].astype(np.int64) << 32).tobytes()], pa.binary()),
+                    pa.array([*(role[s:e].tobytes() for s, e in pieces), spares.tobytes(), hot[1].astype(np.uint32).tobytes()], pa.binary()),
                 ],
                 names=["bucket", "flush", "keys", "roles"],
             )
@@ -315,6 +323,10 @@ def entries(docs: DataFrame, spread: Spread, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, flush long, keys binary, roles binary")
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
 GROUPS_DDL = "gid long, flush long, role int, size long, frequent long, sid long, spare long"
 
 
@@ -324,20 +336,15 @@ def groups_of(table: pa.Table) -> pa.Table:
     Of keys with the same members one stays. Rows without a gid tell how many keys of large groups
     a role has here (``frequent``), or a role's set and spare units (``sid``).
     """
-    if table.column("bucket")[0].as_py() < 0:
-        sids = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
-        spare = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("roles").to_pylist()])
-        flush = np.repeat(table.column("flush").to_numpy(), [2 * len(x) for x in sids])
-        role = np.concatenate([np.arange(2 * len(x)) for x in sids])
-        return group_rows(flush=flush, role=role, sid=np.repeat(np.concatenate(sids), 2), spare=spare)
-    parts = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-    keys, role = np.concatenate(parts), np.concatenate([np.frombuffer(x, f"u{len(x) // len(k)}").astype(np.uint32) for x, k in zip(table.column("roles").to_pylist(), parts, strict=True)])
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        return pa.concat_tables([apart(*row) for row in zip(*(table.column(c).to_pylist() for c in ("flush", "keys", "roles")), strict=True)])
     flushes = table.column("flush").to_numpy()
-    flush = np.repeat(np.arange(len(flushes), dtype=np.int32), list(map(len, parts)))
+    keys, role, flush, notice = opened(table)
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     order = order[np.r_[False, same] | np.r_[same, False]] if len(keys) else order
-    keys, role, flush = keys[order], role[order], flush[order]
+    keys, role, flush, notice = keys[order], role[order], flush[order], notice[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     sizes = np.diff(np.r_[starts, len(keys)]).astype(np.int64)
     chosen = np.zeros(len(starts), bool)
@@ -345,14 +352,39 @@ def groups_of(table: pa.Table) -> pa.Table:
         # a set has a key in either of its roles, so that equal members are equal sums over the sets
         marks = np.add.reduceat(mixed(flushes[flush].view(np.uint64) + (role >> 1).astype(np.uint64), 3), starts)
         chosen[np.unique(marks, return_index=True)[1]] = True
-    keep, size = np.repeat(chosen, sizes), np.repeat(sizes, sizes)
-    often = np.flatnonzero(size > SMALL_GROUP)
+        told = np.logical_or.reduceat(notice, starts)  # a key that is frequent in some flush is so for all
+        chosen |= told
+        sizes = np.where(told, np.maximum(sizes, SMALL_GROUP + 1), sizes)
+    counts = np.diff(np.r_[starts, len(keys)])
+    keep, size = np.repeat(chosen, counts) & ~notice, np.repeat(sizes, counts)
+    often = np.flatnonzero((size > SMALL_GROUP) & ~notice)
     names, times = np.unique(flush[often].astype(np.int64) << 32 | role[often], return_counts=True)
-    bucket = table.column("bucket")[0].as_py()
     members = group_rows(gid=keys[keep].astype(np.int64) | bucket << 32, flush=flushes[flush[keep]], role=role[keep], size=size[keep])
     return pa.concat_tables([members, group_rows(flush=flushes[names >> 32], role=names & 0xFFFFFFFF, frequent=times)])
 
 
+def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a bucket with their roles, the places of their flushes in the table, and whether they are only notices."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for i, (keys, roles) in enumerate(zip(table.column("keys").to_pylist(), table.column("roles").to_pylist(), strict=True)):
+        key = np.frombuffer(keys, np.uint32)
+        role = np.frombuffer(roles, np.uint16 if 2 * len(roles) == len(keys) else np.uint32)
+        for column, x in zip(out, (key, role.astype(np.uint32), np.full(len(key), i, np.int32), role == np.iinfo(role.dtype).max), strict=True):
+            column.append(x)
+    return tuple(map(np.concatenate, out))
+
+
+def apart(flush: int, keys: bytes, roles: bytes) -> pa.Table:
+    """Rows of what a flush sends besides its keys: its roles, or members of its frequent keys."""
+    ids, other = np.frombuffer(keys, np.int64), np.frombuffer(roles, np.int64 if len(roles) == 2 * len(keys) and len(keys) else np.uint32)
+    if len(roles) == 2 * len(keys):
+        role = np.arange(len(other))
+        return group_rows(flush=np.full(len(role), flush), role=role, sid=np.repeat(ids, 2), spare=other)
+    names, times = np.unique(other, return_counts=True)
+    members = group_rows(gid=ids, flush=np.full(len(ids), flush), role=other, size=np.full(len(ids), SMALL_GROUP + 1))
+    return pa.concat_tables([members, group_rows(flush=np.full(len(names), flush), role=names, frequent=times)])
+
+
 def group_rows(**columns: np.ndarray) -> pa.Table:
     n = len(columns["flush"])
     kinds = {name: {"long": pa.int64(), "int": pa.int32()}[kind] for name, kind in (c.split() for c in GROUPS_DDL.split(", "))}
@@ -375,12 +407,14 @@ def needed(rows: DataFrame) -> DataFrame:
 
 def with_hubs(members: DataFrame) -> DataFrame:
     """``gid, hub, sid`` of groups of two or more, from ``gid, sid, size``. The hub is the member that meets most others over
-    all its groups: among near copies the one from which the others are made, or the nearest to it."""
+    all its groups: among near copies the one from which the others are made, or the nearest to it.
+
+    Hubs are found by aggregates and joined back, so that no group has to be in one task.
+    """
     weight = members.groupBy("sid").agg(F.sum("size").alias("w"))
-    weighed = members.select("gid", "sid").join(weight, "sid")
-    one = W.partitionBy("gid")
-    hub = F.max(F.struct("w", "sid")).over(one)
-    return weighed.select("gid", hub["sid"].alias("hub"), "sid", F.count("*").over(one).alias("k")).filter("k > 1").drop("k")
+    weighed = stored(members.select("gid", "sid").join(weight, "sid"), "jaccard-weighed")
+    hubs = weighed.groupBy("gid").agg(F.max(F.struct("w", "sid")).alias("h"), F.count("*").alias("k")).filter("k > 1")
+    return weighed.select("gid", "sid").join(hubs.select("gid", F.col("h.sid").alias("hub")), "gid").select("gid", "hub", "sid")
 
 
 def find_groups(docs: DataFrame, spread: Spread, total: int) -> DataFrame:
@@ -479,10 +513,11 @@ def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
     own = F.max(F.when(F.col("sid") == F.col("hub"), F.col("root")))
     mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own"), F.count("*").alias("size")).filter("lo < hi")
-    open_ones = members.join(mixed_ones.select("gid", "own", "size"), "gid")
-    far = F.count_if(F.col("root") != F.col("own")).over(W.partitionBy("gid"))
-    mixed_members = stored(open_ones.select("gid", "sid", "root", "size", far.alias("far")), "jaccard-mixed")
+    open_ones = stored(members.join(mixed_ones.select("gid", "own", "size"), "gid"), "jaccard-open")
     discard(members)
+    far = open_ones.groupBy("gid").agg(F.count_if(F.col("root") != F.col("own")).alias("far"))
+    mixed_members = stored(open_ones.join(far, "gid").select("gid", "sid", "root", "size", "far"), "jaccard-mixed")
+    discard(open_ones)
     return mixed_members
 
 

@@ -323,10 +323,10 @@ def test_substrings_by_brute_force(words):
             least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
     # in small chunks, so that runs meet in shards too, and by shard as the engine does
     groups = {}
-    texts, ids = pa.array([t for _, t in rows]), np.array([i for i, _ in rows])
+    texts, ids, before = pa.array([t for _, t in rows]), np.array([i for i, _ in rows]), {}
     digests = np.arange(len(rows)).astype(np.uint32)
     for a, b, data, offsets in wording.chunks(texts, 2000):
-        for row in substring_dedup.sent(data, offsets, ids[a:b], np.ones(b - a, bool), digests[a:b], 5, zstandard.ZstdCompressor().compress):
+        for row in substring_dedup.sent(data, offsets, ids[a:b], np.ones(b - a, bool), digests[a:b], 5, zstandard.ZstdCompressor().compress, before):
             groups.setdefault(row[0], []).append(row)
     gone = [[False] * len(t.split()) for _, t in rows]
     for found in groups.values():
