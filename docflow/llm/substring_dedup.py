@@ -13,8 +13,8 @@ a window is reported. Runs that share neither the words before nor those after t
 run can match nothing and are left out of the index.
 
 Words are compared by 64-bit hashes. A run that several documents of a chunk share is sent once, for the
-smallest; for the others it is decided at once. So a passage that many documents share costs its shard
-a run for each chunk of documents, not for each document.
+smallest; for the others it is decided at once, and runs that recur are remembered for a task's further chunks. So a
+passage that many documents share costs its shard a run or a few for each task, not for each document.
 
 Edge cases: null or empty texts have no words; documents shorter than a window lose nothing;
 rows with a null id are neither compared nor counted as a source; rows that repeat an id are one
@@ -42,6 +42,9 @@ GRAM = 3
 #: Characters of documents for each shard, and bytes of text that are cut at once.
 SHARD = 5_000_000
 HELD = 1_500_000
+#: Runs that recur in a task and are remembered.
+RECURRING = 200_000
+BIG = np.iinfo(np.int64).max
 #: The low bits of a gram's hash, which give way to its place.
 PLACES = (1 << 32) - 1
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -87,12 +90,13 @@ def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        before: dict[int, int] = {}
         for batch in batches:
             ids = np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             known = np.array([x is not None for x in batch.column("doc_id").to_pylist()], bool)
             digests = batch.column("h").to_numpy(zero_copy_only=False).astype(np.uint32)
             for a, b, data, offsets in chunks(batch.column("text"), HELD):
-                made = list(sent(data, offsets, ids[a:b], known[a:b], digests[a:b], shards, squeeze))
+                made = list(sent(data, offsets, ids[a:b], known[a:b], digests[a:b], shards, squeeze, before))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "places", "owners", "bytes"])
         release()
@@ -100,8 +104,9 @@ def cut_runs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, "shard int, places binary, owners binary, bytes binary")
 
 
-def sent(data, offsets, ids, known, digests, shards, squeeze):
-    """The rows of a chunk of texts."""
+def sent(data, offsets, ids, known, digests, shards, squeeze, before):
+    """The rows of a chunk of texts. ``before`` has the smallest document so far of runs that recur in a task, up to ``RECURRING``
+    of them: they are sent again only for a smaller one."""
     starts, ends, counts = word_places(data, offsets)
     if len(starts) < WINDOW:
         return
@@ -115,11 +120,19 @@ def sent(data, offsets, ids, known, digests, shards, squeeze):
     bodies, which = np.unique(Runs(words).of(cut.first, cut.end), return_inverse=True)
     order = np.lexsort((ids[owner], which))
     chosen = order[np.searchsorted(which[order], np.arange(len(bodies)))]  # of each body the run in the smallest document
-    least = ids[owner[chosen]][which]
+    least = ids[owner[chosen]]
+    names = bodies.tolist()
+    earlier = np.array([before.get(b, BIG) for b in names], np.int64) if before else np.full(len(bodies), BIG)
+    again = np.flatnonzero((np.bincount(which) > 1) | (earlier < BIG))
+    for i in again.tolist():
+        if len(before) < RECURRING or names[i] in before:
+            before[names[i]] = min(int(least[i]), int(earlier[i]))
+    fresh = (least < earlier)[which]  # with an earlier row of the same document or a smaller one there is nothing new
+    least = np.minimum(least, earlier)[which]
     table = np.zeros(len(cut.first), OWNER)
     table["doc"], table["digest"], table["first"] = ids[owner], digests[owner], cut.first - begin[owner]
     shard = (mixed(cut.minimizer, 11) % np.uint64(shards)).astype(np.int64)
-    stay = np.flatnonzero(ids[owner] == least)
+    stay = np.flatnonzero((ids[owner] == least) & (fresh | (ids[owner] == earlier[which])))
     order = stay[np.lexsort((which[stay], shard[stay]))]
     lo, hi = starts[cut.first], ends[cut.end - 1]
     raw = data.tobytes()
