@@ -62,7 +62,7 @@ def sf7_paragraphs(t: Tables) -> DataFrame:
 MARKS = "CASE conv_id % 5 WHEN 0 THEN '<|end|>' WHEN 1 THEN '</think>' WHEN 2 THEN '~~~' WHEN 3 THEN '<thinker>' ELSE '' END"
 
 
-@query(f"SELECT conv_id, turn, regexp_matches(x, '<\\|[^|]*\\|>|</?(think|tool_call|tool_response)\\b|```|~~~') AS control, regexp_matches(x, '<pre|<code') AS code FROM (SELECT conv_id, turn, text || {MARKS} || CASE turn % 2 WHEN 0 THEN '<code >' ELSE '<codec>' END AS x FROM conversations)".replace("'<pre|<code'", "'<(pre|code)[\\s/>]'"))
+@query(f"SELECT conv_id, turn, regexp_matches(x, '<\\|[^|]*\\|>|</?(think|tool_call|tool_response)\\b|```|~~~') AS control, regexp_matches(x, '<(pre|code)[\\s/>]') AS code FROM (SELECT conv_id, turn, text || {MARKS} || CASE turn % 2 WHEN 0 THEN '<code >' ELSE '<codec>' END AS x FROM conversations)")
 def sf8_markup(t: Tables) -> DataFrame:
     """Marks of chats, and code elements, in texts to which some were added."""
     rest = col("conv_id") % 5
@@ -118,7 +118,7 @@ def sf18_times(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.epoch_ms(col("ts")).alias("ms"), T.iso_time(col("ts")).alias("iso"))
 
 
-@query("SELECT conv_id::VARCHAR AS document_id, string_agg((turn + 1) || '. ' || role || chr(10) || '  • ' || length(text), chr(10) ORDER BY turn) || chr(10) || chr(10) || '────────' || chr(10) || chr(10) || min(conv_id) || chr(9) || 'end' AS plain FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_no FROM conversations) GROUP BY 1".replace("(turn + 1)", "(turn_no + 1)"))
+@query("SELECT conv_id::VARCHAR AS document_id, string_agg((place + 1) || '. ' || role || chr(10) || '  • ' || length(text), chr(10) ORDER BY turn) || chr(10) || chr(10) || '────────' || chr(10) || chr(10) || min(conv_id) || chr(9) || 'end' AS plain FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) GROUP BY 1")
 def sf20_plain_render(t: Tables) -> DataFrame:
     """Nested lists, a rule and a table as plain text."""
     item = F.concat(F.lit("<li>"), "role", F.lit("<ul><li>"), F.length("text").cast("string"), F.lit("</li></ul></li>"))
@@ -160,16 +160,13 @@ def dm1_validate_fragments(t: Tables) -> DataFrame:
     return B.validated(rows, "wrapped").select("document_id", "ord", "check.valid", "check.stage", "check.code", "check.block_index")
 
 
-@query(f"SELECT document_id, ord, sha256(role || '|' || ord)[1:32] AS id, CASE WHEN k = 0 THEN 'ok' ELSE 'pending' END AS status, CASE k WHEN 0 THEN [] WHEN 8 THEN ['ONE_ROOT'] WHEN 2 THEN ['XML_SYNTAX'] ELSE [{by_shape(CODES)}] END AS codes, CASE k WHEN 0 THEN [] WHEN 8 THEN [NULL] WHEN 7 THEN ['table'] WHEN 6 THEN ['style'] ELSE ['paragraph'] END AS topics FROM ({SHAPED})".replace("k = 0 THEN 'ok'", "k IN (0) THEN 'ok'"))
+@query(f"SELECT document_id, ord, sha256(role || '|' || ord)[1:32] AS id, CASE WHEN k = 0 THEN 'ok' ELSE 'pending' END AS status, CASE k WHEN 0 THEN [] WHEN 8 THEN ['ONE_ROOT'] WHEN 2 THEN ['XML_SYNTAX'] ELSE [{by_shape(CODES)}] END AS codes, CASE k WHEN 0 THEN [] WHEN 8 THEN [NULL] WHEN 7 THEN ['table'] WHEN 6 THEN ['style'] ELSE ['paragraph'] END AS topics FROM ({SHAPED}) WHERE k NOT IN (3, 4)")
 def dm3_candidates(t: Tables) -> DataFrame:
     """Candidates with ids, statuses, error codes and the topics that advise on them."""
     rows = shaped(t).filter("k <> 3 AND k <> 4").withColumn("ocr_refs", F.array().cast("array<string>"))
     return B.candidates(rows).select("document_id", "ord", "id", "status", "codes", "topics")
 
 
-ORACLES["dm3_candidates"] += " WHERE k <> 3 AND k <> 4"
-
-
 @query("SELECT conv_id::VARCHAR AS document_id, turn::INT AS ord, CASE WHEN turn % 4 IN (0, 1) THEN 'ok' ELSE 'pending' END AS status, CASE turn % 4 WHEN 2 THEN ['LINK_TARGET_EMPTY'] WHEN 3 THEN ['SCHEMA'] ELSE [] END AS codes FROM conversations")
 def dm6_links(t: Tables) -> DataFrame:
     """Links with a target, of another kind, blank, and without the attribute."""
@@ -180,8 +177,8 @@ def dm6_links(t: Tables) -> DataFrame:
     return B.candidates(rows).select("document_id", "ord", "status", "codes")
 
 
-@query("""SELECT conv_id::VARCHAR AS document_id, place::INT AS block_index, CASE WHEN conv_id % 2 = 0 THEN 'schema' ELSE 'semantic' END AS stage, CASE WHEN conv_id % 2 = 0 THEN 'SCHEMA' ELSE 'EMPTY_PARAGRAPH' END AS code
-    FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations) WHERE place = k - 1 AND place > 0""".replace("place::INT AS block_index", "CASE WHEN conv_id % 2 = 0 THEN NULL ELSE place END::INT AS block_index"))
+@query("""SELECT conv_id::VARCHAR AS document_id, CASE WHEN conv_id % 2 = 1 THEN place END::INT AS block_index, CASE WHEN conv_id % 2 = 0 THEN 'schema' ELSE 'semantic' END AS stage, CASE WHEN conv_id % 2 = 0 THEN 'SCHEMA' ELSE 'EMPTY_PARAGRAPH' END AS code
+    FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations) WHERE place = k - 1 AND place > 0""")
 def dm2_document_checks(t: Tables) -> DataFrame:
     """Documents whose last block is a late title, or blank."""
     last = F.max("ord").over(B.W.partitionBy("document_id"))
@@ -278,7 +275,7 @@ def dm23_whole_image(t: Tables) -> DataFrame:
     return B.whole_image_fallback(B.segments(ocr), ocr).select("document_id", "image_id", "ord", "status", "text")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 1000 - n_nationkey END::INT AS \"end\", (n_nationkey % 3 = 2) AS previous, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END::INT AS history FROM nation WHERE n_nationkey % 3 > 0")
+@query("SELECT n_nationkey, (1000 - n_nationkey)::INT AS \"end\", (n_nationkey % 3 = 2) AS previous, CASE n_nationkey % 3 WHEN 1 THEN 0 ELSE 2 END::INT AS history FROM nation WHERE n_nationkey % 3 > 0")
 def dm26_windows(t: Tables) -> DataFrame:
     """Request windows under a budget that has room for all, or for the source alone; a token is a character."""
 
