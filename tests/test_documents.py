@@ -8,10 +8,11 @@ from difflib import SequenceMatcher
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docflow.functions import align, tree
-from docflow.operators import blocks, drafts, events, overlap
-from docflow.sources import sinks
+from docflow.operators import blocks, drafts, events, overlap, requests, service
+from docflow.sources import files, sinks
 
 P = "<p>{}</p>"
 
@@ -106,6 +107,12 @@ def test_repair_option_only_for_the_bare_case():
     assert blocks.chosen_option({"option_id": "x"}, [option], versions)[1] == "NOT_OFFERED"
 
 
+@pytest.mark.parametrize("text", ["in short", " x \n", "x\n", " x", None])
+def test_no_repair_option_for_text_that_is_not_the_code(text):
+    code = "<blockquote><pre><code> x\n</code></pre></blockquote>"
+    assert blocks.repair_options(blocks.candidate(value(text, code), "i", "0")) == []
+
+
 # Drafts
 
 LINES = align.source_lines("one\ntwo\nthree\n", "i")
@@ -438,3 +445,45 @@ def test_sinks(spark, tmp_path):
     assert sinks.filled("a @X@", {"X": "b"}) == "a b"
     with pytest.raises(ValueError):
         sinks.filled("@Y@", {})
+
+
+# Service
+
+
+def test_requests_beyond_a_document_are_errors(spark):
+    rows = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b")], "document_id string, ord int, text string")
+    asked = spark.createDataFrame([("r", "d", [1, 0])], "request_id string, document_id string, ordinals array<int>")
+    assert [(r["place"], r["text"]) for r in service.read_blocks(rows, asked).orderBy("place").collect()] == [(0, "b"), (1, "a")]
+    with pytest.raises(Exception, match="no block 2"):
+        service.read_blocks(rows, asked.selectExpr("request_id", "document_id", "array(2) AS ordinals")).collect()
+
+
+def test_a_request_shows_retrieved_blocks_once_and_offers_options(spark):
+    schema = "document_id string, ord int, id string, version int, xml string, text string, status string"
+    history = spark.createDataFrame([("d", i, f"b{i}", 0, "<title>t</title>" if i == 0 else "<p>x</p>", "x", "ok") for i in range(6)], schema)
+    draft = history.filter("ord < 2").selectExpr("*", "ord = 1 AS target")
+    retrieved = history.filter("ord IN (1, 4)").select("document_id", "ord")
+    options = spark.createDataFrame([("d", "o", "<p>x</p>")], "document_id string, option_id string, xml string")
+    made = requests.contexts(draft, history, retrieved, options).first()
+    shown = {k: [b["ord"] for b in made[k]] for k in ("targets", "neighbours", "recent", "retrieved")}
+    assert shown == {"targets": [1], "neighbours": [0], "recent": [3, 4], "retrieved": [1]} and made["tail"]["ord"] == 5
+    assert made["has_title"] and made["history_blocks"] == 6 and made["mode"] == "choose"
+    assert requests.contexts(draft.withColumn("target", F.lit(False)), history).first()["mode"] == "generate"
+
+
+def test_templates_and_readings(spark):
+    one = spark.range(1)
+    assert one.select(sinks.filled_column("@A@ and @B@", {"A": F.lit("x"), "B": F.col("id")})).first()[0] == "x and 0"
+    with pytest.raises(ValueError):
+        sinks.filled_column("@C@", {})
+    lines = spark.createDataFrame([(0, "17 MiB, 20 MiB"), (1, "3,4")], "sample int, line string")
+    assert [tuple(r) for r in files.memory_samples(lines).orderBy("sample").collect()] == [(0, 17, 20), (1, 3, 4)]
+    with pytest.raises(Exception, match="no reading"):
+        files.memory_samples(lines.selectExpr("sample", "'N/A' AS line")).collect()
+
+
+def test_examples_must_be_single_valid_blocks(spark):
+    rows = spark.createDataFrame([("a", "<p>x</p>")], "topic string, xml string")
+    assert blocks.examples(rows).count() == 1 and blocks.examples(rows).first()["xml"] == "<p>x</p>"
+    with pytest.raises(Exception, match="not one valid block"):
+        blocks.examples(rows.selectExpr("topic", "concat(xml, xml) AS xml")).collect()
