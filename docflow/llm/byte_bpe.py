@@ -32,8 +32,8 @@ LONG = 512
 BLOCK = 1 << 20
 #: Bytes of chunks with their ids that a worker remembers before it forgets all, chunks encoded at once, and
 #: what a remembered chunk takes besides its characters and ids.
-REMEMBERED = 40_000_000
-AT_ONCE = 30_000
+REMEMBERED = 48_000_000
+AT_ONCE = 100_000
 ENTRY = 200
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

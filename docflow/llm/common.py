@@ -22,6 +22,8 @@ from ..sources.shared import scratch, shared_dir
 SPACES = r"[\x20\x09-\x0D]"
 #: The same characters, for ``translate``.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Folders of the tables that this process has stored.
+WRITTEN: list[str] = []
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -36,24 +38,40 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts the lineage, survives the
-    loss of executors, and is computed once however often it is used."""
+    loss of executors, and is computed once however often it is used. With ``parts``, in at most so
+    many files: for tables whose rows have been counted and are few."""
     spark = df.sparkSession
+    if parts:
+        df = df.coalesce(parts)
     path = scratch(spark, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if urlsplit(folder).path.startswith(urlsplit(shared_dir(spark)).path):
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(conf).delete(at, True)
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def computed(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; the tables that were stored on the way are deleted."""
+    before = len(WRITTEN)
+    made = stored(make(), name)
+    for path in WRITTEN[before:-1]:
+        delete(spark, path)
+    del WRITTEN[before:-1]
+    return made
 
 
 def has_columns(df: DataFrame, *names: str) -> DataFrame:

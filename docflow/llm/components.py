@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(ordered, "links")
     before = digest(now)
     while before[0]:
-        new = stored(small_star(large_star(now)), "links")
+        new = stored(small_star(large_star(now)), "links", parts=1 + before[0] // 250_000)  # never more links than before
         after = digest(new)
         discard(now)
         now = new

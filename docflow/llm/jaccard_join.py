@@ -54,8 +54,8 @@ PERCENT = 80
 BUCKET = 1_000_000
 HELD = 250_000
 SMALL_GROUP = 12
-#: Members of a block of a group.
-TILE = 512
+#: Members of a block of a group, and groups of a hub that are met together.
+TILE, TOGETHER = 512, 6
 #: Share of the units that may lie in subsets that more than SMALL_GROUP sets have.
 FREQUENT = 0.12
 #: Registers of the count of distinct shingles: it is off by some six in a hundred, and only costs depend on it.
@@ -402,7 +402,10 @@ def needed(rows: DataFrame) -> DataFrame:
     roles = rows.filter("sid IS NOT NULL").select(*by, "sid", "spare").join(counts, by, "left")
     roles = roles.select(*by, "sid", (F.coalesce("k", F.lit(0)) > F.col("spare")).alias("heavy"))
     members = rows.filter("gid IS NOT NULL").select("gid", *by, "size").join(roles, by)
-    return members.filter((F.col("size") <= SMALL_GROUP) | F.col("heavy")).select("gid", "sid", "size")
+    members = stored(members.filter((F.col("size") <= SMALL_GROUP) | F.col("heavy")).select("gid", "sid", "size"), "jaccard-needed")
+    large = members.filter(F.col("size") > SMALL_GROUP).select("gid", "sid")
+    sizes = large.groupBy("gid").agg(F.count("*").alias("size"))  # how many there are of those that need the group
+    return members.filter(F.col("size") <= SMALL_GROUP).union(large.join(sizes, "gid").select("gid", "sid", "size"))
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
@@ -490,12 +493,13 @@ def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     their texts and intersected exactly. Row by row in the engine, so that memory holds two sets at a time however
     long they are."""
     pairs = stored(plausible(pairs, known), "jaccard-pairs")
+    n = pairs.count()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    sets = stored(set_table(docs, known.join(wanted, F.col("sid") == F.col("s")).select("sid", "doc")), "jaccard-hashes")
+    sets = stored(set_table(docs, known.join(wanted, F.col("sid") == F.col("s")).select("sid", "doc")), "jaccard-hashes", parts=1 + n // 2000)
     left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
-    links = stored(joined.filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "jaccard-links")
+    links = stored(joined.filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"), "jaccard-links", parts=1 + n // 2000)
     discard(sets)
     discard(pairs)
     return links
@@ -507,7 +511,7 @@ def stars(groups: DataFrame) -> DataFrame:
 
 
 def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``gid, sid, root, size, far`` of those groups whose members lie in different components: how many members
+    """``gid, hub, sid, root, size, far`` of those groups whose members lie in different components: how many members
     there are, and how many of them lie in other components than the hub."""
     members = groups.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
@@ -516,44 +520,56 @@ def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     open_ones = stored(members.join(mixed_ones.select("gid", "own", "size"), "gid"), "jaccard-open")
     discard(members)
     far = open_ones.groupBy("gid").agg(F.count_if(F.col("root") != F.col("own")).alias("far"))
-    mixed_members = stored(open_ones.join(far, "gid").select("gid", "sid", "root", "size", "far"), "jaccard-mixed")
+    mixed_members = stored(open_ones.join(far, "gid").select("gid", "hub", "sid", "root", "size", "far"), "jaccard-mixed")
     discard(open_ones)
     return mixed_members
 
 
 def possible(table: pa.Table) -> pa.Table:
-    """Pairs of members of a tile that lie in different components and may link, by their sketches. Of a tile
-    of two blocks, pairs with a member of either."""
-    order = np.argsort(table.column("tile").to_numpy(), kind="stable")
-    tile, sid, root, n, block = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("tile", "sid", "root", "n", "block"))
-    sketches = table.column("sketch").take(pa.array(order)).to_pylist()
-    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    a, b = [], []
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)], strict=True):
-        words = min(map(len, sketches[s:e])) // 8
-        bits = np.stack([folded(x, words) for x in sketches[s:e]])
-        two = block[s:e].min() != block[s:e].max()
-        for i in range(s, e - 1):
-            rest = slice(i + 1, e)
-            at = np.flatnonzero((root[rest] != root[i]) & ((block[rest] != block[i]) if two else True))
-            differ = np.bitwise_count(bits[at + i + 1 - s] ^ bits[i - s]).sum(axis=1)
-            at = at[differ <= (n[at + i + 1] + n[i]) * (100 - PERCENT) // (100 + PERCENT)] + i + 1
-            a.append(np.minimum(sid[at], sid[i]))
-            b.append(np.maximum(sid[at], sid[i]))
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-    found = np.unique(np.stack(joined, 1), axis=0) if len(joined[0]) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+    """Pairs of members of a tile's groups that lie in different components and may link, by their sketches, each once. Of a tile
+    of two blocks, pairs with a member of either. Where a tile's groups have mostly the same members, these are
+    met once for all groups."""
+    tile, gid, sid, root, n, block = (table.column(c).to_numpy().astype(np.int64) for c in ("tile", "gid", "sid", "root", "n", "block"))
+    sketches = table.column("sketch").to_pylist()
+    order = np.lexsort((sid, gid, tile))
+    found: list[np.ndarray] = []
+    for own in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        two = block[own].min() != block[own].max()
+        groups = np.split(own, np.flatnonzero(np.diff(gid[own])) + 1)
+        whole = own[np.unique(sid[own], return_index=True)[1]]
+        if len(whole) ** 2 <= sum(len(g) ** 2 for g in groups):
+            groups = [whole]
+        made = [near_pairs(sid[g], root[g], n[g], block[g] if two else None, [sketches[i] for i in g.tolist()]) for g in groups if len(g) > 1]
+        if made:
+            found.append(np.unique(np.concatenate(made), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def near_pairs(sid: np.ndarray, root: np.ndarray, n: np.ndarray, block: np.ndarray | None, sketches: list[bytes]) -> np.ndarray:
+    """The pairs, smaller id first, that lie in different components (and blocks) and may link."""
+    words = min(map(len, sketches)) // 8
+    bits = np.stack([folded(x, words) for x in sketches])
+    out = []
+    for i in range(len(sid) - 1):
+        apart = root[i + 1 :] != root[i]
+        at = np.flatnonzero(apart if block is None else apart & (block[i + 1 :] != block[i])) + i + 1
+        at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= (n[at] + n[i]) * (100 - PERCENT) // (100 + PERCENT)]
+        out.append(np.stack([np.minimum(sid[at], sid[i]), np.maximum(sid[at], sid[i])], 1))
+    return np.concatenate(out)
 
 
 def cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of members of a group in different components that may link, from ``gid, sid, root, size``.
+    """Pairs of members of a group in different components that may link, from ``gid, hub, sid, root, size``.
 
-    A group is met in tiles of two blocks of its members, ``TILE`` to a block; tiles are put into buckets.
+    The groups of a hub, which share most of their members, are met together, some ``TOGETHER`` of them in tiles of two blocks of
+    members, ``TILE`` to a block; tiles are put into buckets.
     """
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    rows = members.withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("k")).cast("int"))
+    most = members.groupBy("hub").agg(F.ceil(F.max("size") / TILE).cast("int").alias("k"), F.ceil(F.count("*") / F.max("size") / TOGETHER).alias("parts"))
+    rows = members.join(most, "hub").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "sid", "root", "block")
+    part = F.pmod(F.xxhash64("gid", F.lit(6)), F.col("parts"))
+    rows = rows.select(F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other"), part).alias("tile"), "gid", "sid", "root", "block")
     buckets = max(16, math.ceil(rows.count() / 4000))
     rows = rows.join(known.select("sid", "n", "sketch"), "sid")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
@@ -585,10 +601,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = find_groups(without_ids(texts, "doc_id", copies), spread, total)
     links = linked(stars(groups), known, texts)
     for level in range(1, levels + 1):
-        roots = stored(components(links), "jaccard-roots")
+        roots = components(links)
         open_groups = labelled(groups, roots)
         discard(groups)
-        discard(roots)
         last = level == levels
         small = open_groups if last else open_groups.filter(F.col("far") <= small_group)
         links = links.union(linked(cross_pairs(small, known), known, texts))
@@ -597,7 +612,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         groups = stored(refined(large, known, texts, spread, level), "jaccard-finer")
         links = links.union(linked(stars(groups), known, texts))
-    roots = stored(components(links), "jaccard-roots").select(F.col("node").alias("sid"), "root")
+    roots = components(links).select(F.col("node").alias("sid"), "root")
     # The component's smallest document, over the distinct sets; then back to every document.
     rooted = known.join(roots, "sid", "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
