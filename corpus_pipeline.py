@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import byte_bpe, jaccard_join, mixing, quality_rules, secret_scan
-from docflow.llm.common import stored, table
+from docflow.llm.common import computed, discard, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written before the next begins. What a stage leaves behind is deleted, and so is
+    its result once the next stage has its own."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        made = computed(spark, lambda now=docs, run_stage=stage: run_stage(spark, now, sf_dir), f"stage-{name}")
+        if k:
+            discard(docs)
+        docs = made
     return docs
