@@ -33,6 +33,14 @@ def test_alignment_bounds(a, b):
     assert (coverage is None) == (not x) and (support is None) == (not y)
 
 
+@given(st.text("ab c", max_size=30), st.text("ab c", max_size=40), st.integers(0, 6))
+@settings(max_examples=80, deadline=None)
+def test_similarity_by_the_library(block, query, least):
+    x, y = align.retrieval_text(block), align.retrieval_text(query)
+    sizes = [m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()]
+    assert align.similarity(block, query, least) == (sum(sizes) / max(len(x), 1) if max(sizes) >= least else 0.0)
+
+
 def test_content_check():
     text = "abcdefghijklmnopqrst"
     found = align.content_check(tree.envelope(P.format(text[:-2])), None, text)
