@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
+from functools import cached_property
 from typing import Any
 
 import pandas as pd
@@ -40,6 +42,43 @@ def advice(message: str) -> str:
     return next((topic for topic, words in TOPICS if any(w in low for w in words)), "paragraph")
 
 
+class Compared:
+    """An independent text against a valid block."""
+
+    def __init__(self, text: str, node: tree.Node):
+        self.text, self.node, self.own = text, node, tree.plain_text(node)
+        self.wanted, self.made = tree.structural(text), tree.structural(self.own)
+
+    @cached_property
+    def code(self) -> bool:
+        return any(n.tag in ("pre", "code") for n in self.node.walk())
+
+    @cached_property
+    def extra(self) -> str | None:
+        """What the text has beyond the block, if it holds the block's text whole."""
+        if self.made not in self.wanted or self.wanted == self.made:
+            return None
+        before, _, after = self.wanted.partition(self.made) if self.made else ("", "", self.wanted)
+        return before + after
+
+    def explained(self) -> bool:
+        """Whether code or marks of a chat tell why the block has less."""
+        return self.extra is not None and ((self.code and self.made != "") or align.has_markup(self.extra))
+
+
+#: How a text can relate to a block: the first that holds.
+RELATIONS: tuple[tuple[str, Callable[[Compared], bool]], ...] = (
+    ("equal", lambda c: c.text == c.own),
+    ("non_text_separator", lambda c: c.node.tag == "hr"),
+    ("code_whitespace_difference", lambda c: c.wanted == c.made and c.code),
+    ("structural_whitespace_only", lambda c: c.wanted == c.made),
+    ("xml_contains_more_text", lambda c: c.wanted != "" and c.wanted in c.made),
+    ("code_or_control_label_difference", Compared.explained),
+    ("xml_is_text_substring", lambda c: c.extra is not None),
+    ("uncertain_difference", lambda c: True),
+)
+
+
 def relation(model_text: str, node: tree.Node) -> dict:
     """How an independent text relates to the text of a valid block.
 
@@ -47,28 +86,12 @@ def relation(model_text: str, node: tree.Node) -> dict:
     that aren't white space are missing, one of them a letter or digit, and neither code nor
     control marks explain it.
     """
-    xml_text = tree.plain_text(node)
-    wanted, made = tree.structural(model_text), tree.structural(xml_text)
-    code = any(n.tag in ("pre", "code") for n in node.walk())
-    out = {"relation": "uncertain_difference", "hard_gate": False, "missing": None}
-    if model_text == xml_text:
-        out["relation"] = "equal"
-    elif node.tag == "hr":
-        out["relation"] = "non_text_separator"
-    elif wanted == made:
-        out["relation"] = "code_whitespace_difference" if code else "structural_whitespace_only"
-    elif wanted and wanted in made:
-        out["relation"] = "xml_contains_more_text"
-    elif made in wanted:
-        before, _, after = wanted.partition(made) if made else ("", "", wanted)
-        extra = before + after
-        missing = len(align.squeezed(extra))
-        out |= {"relation": "xml_is_text_substring", "missing": missing}
-        if (code and made) or align.has_markup(extra):
-            out["relation"] = "code_or_control_label_difference"
-        else:
-            out["hard_gate"] = missing >= OMISSION and any(c.isalnum() for c in extra)
-    return out
+    pair = Compared(model_text, node)
+    name = next(name for name, holds in RELATIONS if holds(pair))
+    partly = name in ("code_or_control_label_difference", "xml_is_text_substring")
+    missing = len(align.squeezed(pair.extra)) if partly else None
+    gate = name == "xml_is_text_substring" and missing >= OMISSION and any(c.isalnum() for c in pair.extra)
+    return {"relation": name, "hard_gate": gate, "missing": missing}
 
 
 def judged(block: dict) -> dict:
