@@ -404,7 +404,7 @@ def needed(rows: DataFrame) -> DataFrame:
     members = rows.filter("gid IS NOT NULL").select("gid", *by, "size").join(roles, by)
     members = stored(members.filter((F.col("size") <= SMALL_GROUP) | F.col("heavy")).select("gid", "sid", "size"), "jaccard-needed")
     large = members.filter(F.col("size") > SMALL_GROUP).select("gid", "sid")
-    sizes = large.groupBy("gid").agg(F.count("*").alias("size"))  # how many there are of those that need the group
+    sizes = stored(large.groupBy("gid").agg(F.count("*").alias("size")), "jaccard-sizes")  # of those that need the group
     return members.filter(F.col("size") <= SMALL_GROUP).union(large.join(sizes, "gid").select("gid", "sid", "size"))
 
 
@@ -412,12 +412,14 @@ def with_hubs(members: DataFrame) -> DataFrame:
     """``gid, hub, sid`` of groups of two or more, from ``gid, sid, size``. The hub is the member that meets most others over
     all its groups: among near copies the one from which the others are made, or the nearest to it.
 
-    Hubs are found by aggregates and joined back, so that no group has to be in one task.
+    Hubs are found by aggregates, which are written before they are joined back: so the engine can split a join at a large
+    group, and no group has to be in one task.
     """
     weight = members.groupBy("sid").agg(F.sum("size").alias("w"))
     weighed = stored(members.select("gid", "sid").join(weight, "sid"), "jaccard-weighed")
     hubs = weighed.groupBy("gid").agg(F.max(F.struct("w", "sid")).alias("h"), F.count("*").alias("k")).filter("k > 1")
-    return weighed.select("gid", "sid").join(hubs.select("gid", F.col("h.sid").alias("hub")), "gid").select("gid", "hub", "sid")
+    hubs = stored(hubs.select("gid", F.col("h.sid").alias("hub")), "jaccard-hubs")
+    return weighed.select("gid", "sid").join(hubs, "gid").select("gid", "hub", "sid")
 
 
 def find_groups(docs: DataFrame, spread: Spread, total: int) -> DataFrame:
@@ -517,9 +519,9 @@ def labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     members = stored(members.select("gid", "hub", "sid", F.coalesce("root", "sid").alias("root")), "jaccard-members")
     own = F.max(F.when(F.col("sid") == F.col("hub"), F.col("root")))
     mixed_ones = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), own.alias("own"), F.count("*").alias("size")).filter("lo < hi")
-    open_ones = stored(members.join(mixed_ones.select("gid", "own", "size"), "gid"), "jaccard-open")
+    open_ones = stored(members.join(stored(mixed_ones.select("gid", "own", "size"), "jaccard-sizes"), "gid"), "jaccard-open")
     discard(members)
-    far = open_ones.groupBy("gid").agg(F.count_if(F.col("root") != F.col("own")).alias("far"))
+    far = stored(open_ones.groupBy("gid").agg(F.count_if(F.col("root") != F.col("own")).alias("far")), "jaccard-far")
     mixed_members = stored(open_ones.join(far, "gid").select("gid", "hub", "sid", "root", "size", "far"), "jaccard-mixed")
     discard(open_ones)
     return mixed_members
@@ -565,7 +567,7 @@ def cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
     The groups of a hub, which share most of their members, are met together, some ``TOGETHER`` of them in tiles of two blocks of
     members, ``TILE`` to a block; tiles are put into buckets.
     """
-    most = members.groupBy("hub").agg(F.ceil(F.max("size") / TILE).cast("int").alias("k"), F.ceil(F.count("*") / F.max("size") / TOGETHER).alias("parts"))
+    most = stored(members.groupBy("hub").agg(F.ceil(F.max("size") / TILE).cast("int").alias("k"), F.ceil(F.count("*") / F.max("size") / TOGETHER).alias("parts")), "jaccard-hubs")
     rows = members.join(most, "hub").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     part = F.pmod(F.xxhash64("gid", F.lit(6)), F.col("parts"))
