@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, release, small_batches, stored
+from .common import id_text, map_arrow, perhaps_in, release, small_batches, stored
 from .fm_index import FmIndex
 from .wording import CHUNK, Runs, chunks, mixed, word_hashes, word_places
 
@@ -267,14 +267,12 @@ def shared_windows(data: np.ndarray, sizes: np.ndarray, place: np.ndarray, owner
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, spans``: for documents that lose words, an array of (s, e) in words; ``docs``
-    has ``doc_id, h, text`` where h tells apart texts of one id."""
+    """``doc_id, h, s, e``: words s to e of a document are to go; ``docs`` has ``doc_id, h, text`` where h tells apart texts of one id."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = max(16, math.ceil(chars / SHARD))
     small_batches(docs.sparkSession)
     found = cut_runs(docs, shards).groupBy("shard").applyInArrow(search_shard, "doc_id long, h long, s int, e int")
-    found = stored(found, "repeated-spans")
-    return found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return stored(found, "repeated-spans")
 
 
 def remaining(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
@@ -292,9 +290,14 @@ def remaining(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, h, text, spans``: spans are null for documents that lose nothing. Most of these go by without a shuffle."""
     texts = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    spans = covered(texts)
-    return texts.join(spans, ["doc_id", "h"], "left")
+    found = covered(texts)
+    spans = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    some = perhaps_in(F.col("doc_id"), found.select("doc_id"))
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    names = ["doc_id", "h", "text", "spans"]
+    return texts.filter(some).join(spans, ["doc_id", "h"], "left").select(*names).union(texts.filter(~some).withColumn("spans", none).select(*names))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
