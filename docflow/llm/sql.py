@@ -51,9 +51,26 @@ JACCARD = r"""
     reach AS (SELECT doc_id, doc_id AS r FROM tokens UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r)
     SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM tokens t LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
+#: CRC-32 of features, a byte a step by a table of 256 that its rule makes.
+RESAMPLING = r"""
+    WITH octets AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc_of FROM range(256) r(b)),
+    spelled AS (SELECT doc_id, true AS ours, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        UNION ALL SELECT NULL, false, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    features AS (SELECT ours, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM spelled),
+    kinds AS (SELECT f, list_transform(range(1, length(hex(f)), 2), lambda i: ('0x' || substr(hex(f), i, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT f FROM features)),
+    hashed AS (SELECT f, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crc_of[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket FROM kinds, octets),
+    counts AS (SELECT bucket, count(*) FILTER (WHERE ours) AS s, count(*) FILTER (WHERE NOT ours) AS t FROM features JOIN hashed USING (f) GROUP BY 1),
+    gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts)::DOUBLE + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts)::DOUBLE + 10000))))::BIGINT AS gain FROM counts),
+    sums AS (SELECT r, count(*) AS k, sum(gain)::BIGINT AS total FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE ours GROUP BY 1),
+    weighed AS (SELECT doc_id, len(w) AS n, coalesce(k, 0) AS n_features, CASE WHEN k > 0 THEN (total - ((total % k) + k) % k) // k ELSE 0 END AS weight, (('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296 AS u FROM spelled LEFT JOIN sums USING (r) WHERE ours),
+    scored AS (SELECT *, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM weighed),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_id) AS place, 25 * count(*) FILTER (WHERE n >= 20) OVER () // 100 AS most FROM scored)
+    SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= most THEN place END::BIGINT AS rank FROM ranked"""
+
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": JACCARD,
     "op5_quality_rules": QUALITY,
     "op6_mixing": MIXING,
     "op9_substring_dedup": SUBSTRINGS,
+    "op12_importance_resampling": RESAMPLING,
 }
