@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, importance_resampling, jaccard_join, language_id, mixing, periodic_runs, pii, quality_rules, secret_scan, substring_dedup, toxicity
+from . import byte_bpe, embedding_dedup, importance_resampling, jaccard_join, language_id, mixing, periodic_runs, pii, quality_rules, secret_scan, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("problem")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_warc": op11_warc,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -51,6 +51,13 @@ JACCARD = r"""
     reach AS (SELECT doc_id, doc_id AS r FROM tokens UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r)
     SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM tokens t LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
+WARC = r"""
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
+    typed AS (SELECT *, least IS NOT NULL AND (page_id IS NULL OR page_id > least) AS again FROM rows)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+        list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(x, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31))::INT, 1)), 'string_agg', '') AS payload_digest,
+        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM typed"""
+
 #: CRC-32 of features, a byte a step by a table of 256 that its rule makes.
 RESAMPLING = r"""
     WITH octets AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc_of FROM range(256) r(b)),
@@ -72,5 +79,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op6_mixing": MIXING,
     "op9_substring_dedup": SUBSTRINGS,
+    "op11_warc": WARC,
     "op12_importance_resampling": RESAMPLING,
 }
