@@ -40,7 +40,7 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(PLAIN).split()
 
 
-def chunks(words: list[bytes], owned: int = OWNED, order: int = ORDER) -> list[list[bytes]]:
+def chunks(words: list[bytes], owned: int, order: int = ORDER) -> list[list[bytes]]:
     """Parts of ``owned`` words, each with those of the next part that its last features need."""
     return [words[k : k + owned + order - 1] for k in range(0, len(words), owned)]
 
@@ -56,16 +56,16 @@ def buckets(words: list[bytes], owned: int, order: int = ORDER) -> np.ndarray:
     return (np.concatenate([np.array(s, np.int64) for s in found]) % BUCKETS).astype(np.int16)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, words_owned: int) -> DataFrame:
     """``row, doc_id, owned, text`` of the chunks of long texts (``row, doc_id, text``), dealt to all tasks."""
 
     def start() -> Callable[[pa.RecordBatch], list]:
         def columns(batch: pa.RecordBatch) -> list:
             found = [
-                (r, i, min(OWNED, len(w) - k * OWNED), b" ".join(part))
+                (r, i, min(words_owned, len(w) - k * words_owned), b" ".join(part))
                 for r, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
                 for w in [words_of(t)]
-                for k, part in enumerate(chunks(w) or [[]])
+                for k, part in enumerate(chunks(w, words_owned) or [[]])
             ]
             return [list(c) for c in zip(*found, strict=True)] if found else [[], [], [], []]
 
@@ -75,8 +75,8 @@ def chunked(docs: DataFrame) -> DataFrame:
     return made.repartition(F.xxhash64("row", "text"))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, owned, buckets`` of all chunks: ``row`` tells the rows of ``docs`` apart."""
+def features(docs: DataFrame, words_owned: int = OWNED, long_bytes: int = LONG) -> DataFrame:
+    """``row, doc_id, owned, buckets`` of all chunks: ``row`` tells the rows of ``docs`` apart. Texts of more than ``long_bytes`` are cut."""
 
     def start() -> Callable[[pa.RecordBatch], list]:
         def columns(batch: pa.RecordBatch) -> list:
@@ -92,9 +92,9 @@ def features(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("binary").alias("text")
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > LONG
+    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
     short = rows.filter(~is_long).select("row", "doc_id", F.lit(None).cast("int").alias("owned"), text)
-    long = chunked(rows.filter(is_long).select((-1 - F.col("row")).alias("row"), "doc_id", text))
+    long = chunked(rows.filter(is_long).select((-1 - F.col("row")).alias("row"), "doc_id", text), words_owned)
     return map_arrow(short.union(long), start, FEATURES)
 
 
@@ -148,11 +148,11 @@ def drawn(scored: DataFrame) -> DataFrame:
     return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.when(rank <= most, rank))
 
 
-def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, words_owned: int = OWNED, long_bytes: int = LONG) -> DataFrame:
     """``doc_id, n_features, weight, score, rank`` of each of ``docs``; those with a rank are drawn to look like ``target``
     (``text``), the likeliest first."""
-    found = stored(features(id_text(docs, id_col, text_col)), "features")
-    wanted = features(target.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = stored(features(id_text(docs, id_col, text_col), words_owned, long_bytes), "features")
+    wanted = features(target.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words_owned, long_bytes)
     weighed = weights(found, gains(counted(found), counted(wanted)))
     scored = weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     return drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")

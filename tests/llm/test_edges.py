@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, mixing, pii, quality_rules, secret_scan, substring_dedup, toxicity
+from docflow.llm import byte_bpe, embedding_dedup, importance_resampling, jaccard_join, language_id, mixing, periodic_runs, pii, quality_rules, secret_scan, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, sid long, h long, size long, host string, component_id long, spans string, label string"
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
@@ -40,6 +40,8 @@ OPERATORS = {
     "op8": pii.pseudonymise,
     "op9": substring_dedup.repeat_digests,
     "op10": secret_scan.scan_secrets,
+    "op12": lambda d: importance_resampling.resampled(d, d.select("text")),
+    "op13": periodic_runs.run_digests,
 }
 
 
