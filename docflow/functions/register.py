@@ -26,7 +26,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([align.similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series(align.similarities([(x or "", y or "") for x, y in zip(a, b, strict=True)]), dtype=float)
 
     for name, f in (("doc_valid", valid), ("doc_plain_text", text), ("doc_casefold", casefold), ("doc_similarity", similarity)):
         spark.udf.register(name, f)

@@ -413,7 +413,7 @@ def aligned(pairs: DataFrame, source: str, output: str) -> DataFrame:
 
     @F.pandas_udf("matched long, coverage double, support double")
     def made(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align.alignment(x, y) for x, y in zip(a, b, strict=True)], columns=["matched", "coverage", "support"]).astype({"coverage": float, "support": float})
+        return pd.DataFrame(align.alignments(list(zip(a, b, strict=True))), columns=["matched", "coverage", "support"]).astype({"coverage": float, "support": float})
 
     out = pairs.withColumn("r", made(source, output))
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c.rpartition(".")[2])

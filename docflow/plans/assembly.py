@@ -232,8 +232,8 @@ def j6_similarity(t: Tables) -> DataFrame:
     last = F.max("ord").over(W.partitionBy("document_id"))
     rows = rows.withColumn("last", last)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    asked = rows.groupBy("document_id").agg(whole.alias("query"))
-    return overlap.similarities(rows.filter("ord < last").select("document_id", "ord", "text"), asked).filter("score > 0").select("document_id", "ord", F.round("score", 6).alias("score"))
+    asked = rows.groupBy("document_id").agg(whole.alias("query")).withColumn("query_id", F.lit("q"))
+    return overlap.similarities(rows.filter("ord < last").select("document_id", "ord", "text"), asked).select("document_id", "ord", F.round("score", 6).alias("score"))
 
 
 @query(r"""WITH b AS (SELECT conv_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, length(regexp_replace(text, '\s+', '', 'g')) AS n FROM conversations),

@@ -218,7 +218,7 @@ def dm9_content_check(t: Tables) -> DataFrame:
 
     @F.pandas_udf("source_coverage double, errors array<string>, needs_review boolean")
     def checked(update: pd.Series, tail: pd.Series, source: pd.Series) -> pd.DataFrame:
-        found = [align.content_check(u, x, s) for u, x, s in zip(update, tail, source, strict=True)]
+        found = align.content_checks(list(zip(update, tail, source, strict=True)))
         return pd.DataFrame([(f["source_coverage"], f["errors"], f["needs_review"]) for f in found], columns=["source_coverage", "errors", "needs_review"])
 
     rest = col("ord") % 3

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions import tree
@@ -35,13 +34,6 @@ def dm4_valid_turns(t: Tables) -> DataFrame:
     return B.validated(rows, "wrapped").select("document_id", "ord", "check.valid")
 
 
-@query()
-def dm8_alignment_turns(t: Tables) -> DataFrame:
-    """Each turn aligned with the one before."""
-    before = F.lag("text").over(W.partitionBy("document_id").orderBy("ord"))
-    return B.aligned(turns(t).select("document_id", "ord", "text", before.alias("before")).filter("before IS NOT NULL"), "before", "text").select("document_id", "ord", "matched", "coverage", "support")
-
-
 @query("SELECT 'p' AS tag, count(*) AS n FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'update', count(*) FROM conversations WHERE trim(text) <> ''")
 def ag3_tags(t: Tables) -> DataFrame:
     """Elements by name."""
