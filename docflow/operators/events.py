@@ -1,4 +1,4 @@
-"""Ordered block lists: patches between versions, their application, and readers' state."""
+"""Event logs of documents: patches between block lists, readers' state, delivery."""
 
 from __future__ import annotations
 
@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-TERMINAL = ("COMPLETED", "FAILED")
-
+from .block_list import BlockList, Reset
 
-class Reset(Exception):
-    """The reader must take a fresh snapshot."""
+TERMINAL = ("COMPLETED", "FAILED")
 
 
 def splice(old: list[dict], new: list[dict]) -> tuple[int, int, int]:
@@ -42,32 +40,25 @@ def patches(old: list[dict], new: list[dict], revision: int) -> list[dict]:
     ]
 
 
-def apply_patch(blocks: list[dict], revision: int, patch: dict) -> tuple[list[dict], int]:
-    """The list after a patch; :class:`Reset` where the patch doesn't fit it."""
+def patch_onto(blocks: BlockList, revision: int, patch: dict) -> int:
+    """The revision after a patch, which changes ``blocks``; :class:`Reset` where it doesn't fit, and nothing has changed."""
     if (patch["baseRevision"], patch["revision"]) != (revision, revision + 1):
         raise Reset("revision")
-    ids = [b["blockId"] for b in blocks]
-    anchor, gone = patch.get("afterBlockId"), patch["removeBlockIds"]
-    if anchor is not None and anchor not in ids:
-        raise Reset("anchor")
-    at = ids.index(anchor) + 1 if anchor is not None else 0
-    if ids[at : at + len(gone)] != gone:
-        raise Reset("splice")
-    known = {b["blockId"]: b for b in blocks}
-    for b in patch["blocks"]:
-        was = known.get(b["blockId"])
-        if was and (b["version"] < was["version"] or (b["version"] == was["version"] and b != was)):
-            raise Reset("version")
-    made = blocks[:at] + patch["blocks"] + blocks[at + len(gone) :]
-    if len({b["blockId"] for b in made}) < len(made):
-        raise Reset("identity")
-    return made, revision + 1
+    blocks.patch(patch.get("afterBlockId"), patch["removeBlockIds"], patch["blocks"])
+    return revision + 1
+
+
+def apply_patch(blocks: list[dict], revision: int, patch: dict) -> tuple[list[dict], int]:
+    """A list and its revision after a patch."""
+    made = BlockList(blocks)
+    revision = patch_onto(made, revision, patch)
+    return list(made), revision
 
 
 class Preview(NamedTuple):
-    """A reader's state of one document."""
+    """A reader's state of one document. The next state takes over its blocks."""
 
-    blocks: list[dict] = []
+    blocks: BlockList = BlockList()
     revision: int = 0
     cursor: int | None = None
     status: str = "OCR"
@@ -76,6 +67,22 @@ class Preview(NamedTuple):
     total: int = 0
     reset: bool = False
 
+    def plain(self) -> list:
+        """The state as JSON has it."""
+        return [list(self.blocks), *self[1:]]
+
+    @classmethod
+    def restored(cls, plain: list) -> Preview:
+        return cls(BlockList(plain[0]), *plain[1:])
+
+
+def progress_of(data: dict) -> tuple[str, int, int, int]:
+    """Status and counts of a progress event: all images, those read, those done."""
+    total, ocr, images = data["totalImages"], data["completedOcrImages"], data["completedImages"]
+    if data["status"] in TERMINAL or not (0 <= ocr <= total and 0 <= images <= total):
+        raise Reset("progress")
+    return data["status"], total, ocr, images
+
 
 def reduce_event(state: Preview, seq: int, kind: str, data: dict) -> Preview:
     """The state after an event: repeats are ignored, gaps ask for a reset, an end stays."""
@@ -84,7 +91,7 @@ def reduce_event(state: Preview, seq: int, kind: str, data: dict) -> Preview:
     if kind == "document.snapshot":
         if state.cursor is not None and seq < state.cursor:
             return state
-        return Preview(data["blocks"], data["revision"], seq, data["status"], *(data.get(k, 0) for k in ("completedOcrImages", "completedImages", "totalImages")))
+        return Preview(BlockList(data["blocks"]), data["revision"], seq, data["status"], *(data.get(k, 0) for k in ("completedOcrImages", "completedImages", "totalImages")))
     if state.cursor is not None and seq <= state.cursor:
         return state
     if state.cursor is None or seq != state.cursor + 1:
@@ -92,13 +99,10 @@ def reduce_event(state: Preview, seq: int, kind: str, data: dict) -> Preview:
     try:
         match kind:
             case "blocks.patch":
-                blocks, revision = apply_patch(state.blocks, state.revision, data)
-                state = state._replace(blocks=blocks, revision=revision)
+                state = state._replace(revision=patch_onto(state.blocks, state.revision, data))
             case "document.progress":
-                total, ocr, images = data["totalImages"], data["completedOcrImages"], data["completedImages"]
-                if data["status"] in TERMINAL or not (0 <= ocr <= total and 0 <= images <= total):
-                    raise Reset("progress")
-                state = state._replace(status=data["status"], total=total, ocr=ocr, images=images)
+                status, total, ocr, images = progress_of(data)
+                state = state._replace(status=status, total=total, ocr=ocr, images=images)
             case "document.completed" | "document.failed":
                 state = state._replace(status=kind.rpartition(".")[2].upper())
             case _:
@@ -112,23 +116,7 @@ STATE_DDL = "document_id string, blocks string, revision long, cursor long, stat
 
 
 def as_row(document_id: str, s: Preview) -> tuple:
-    return (document_id, json.dumps(s.blocks, ensure_ascii=False, sort_keys=True), s.revision, s.cursor, s.status, s.ocr, s.images, s.total, s.reset)
-
-
-def replay(events: DataFrame) -> DataFrame:
-    """Each document's state after all its events (``document_id, seq, kind, data`` as JSON).
-
-    One document is one ordered fold; documents go in parallel.
-    """
-
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        state = Preview()
-        for r in rows.sort_values("seq").itertuples():
-            state = reduce_event(state, int(r.seq), r.kind, json.loads(r.data))
-        made = pd.DataFrame([as_row(key[0], state)], columns=[c.split()[0] for c in STATE_DDL.split(", ")])
-        return made.astype({"cursor": "Int64"})
-
-    return events.select("document_id", "seq", "kind", "data").groupBy("document_id").applyInPandas(fold, STATE_DDL)
+    return (document_id, json.dumps(list(s.blocks), ensure_ascii=False, sort_keys=True), s.revision, s.cursor, s.status, s.ocr, s.images, s.total, s.reset)
 
 
 def with_sequence(events: DataFrame, order: list[str], after: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import events, overlap
+from ..operators.block_list import BlockList
 from ..sources import files, sinks
 from ..sources.shared import scratch
 from .relational import Tables, registry
@@ -138,9 +139,9 @@ def so8_applied_patches(t: Tables) -> DataFrame:
     patches = events.emitted(steps.select("document_id", "s.step", "s.blocks"))
 
     def fold(key, found: pd.DataFrame) -> pd.DataFrame:
-        now, revision = [], 0
+        now, revision = BlockList(), 0
         for p in found.sort_values("revision")["patch"]:
-            now, revision = events.apply_patch(now, revision, json.loads(p))
+            revision = events.patch_onto(now, revision, json.loads(p))
         return pd.DataFrame([(key[0], ",".join(f"{b['blockId']}:{b['version']}" for b in now))], columns=["document_id", "blocks"])
 
     return patches.groupBy("document_id").applyInPandas(fold, "document_id string, blocks string")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import drafts, evaluate, events
+from ..operators import drafts, evaluate, events, replay
 from .assembly import BROKEN, images, placed, reply, value
 from .documents import turns
 from .relational import Tables, registry
@@ -77,13 +77,13 @@ def logged(t: Tables, ends: Column) -> DataFrame:
     '[' || string_agg('{{"blockId": "b' || place || '", "version": 1, "xml": "' || role || '"}}', ', ' ORDER BY place) || ']' AS blocks, false AS reset FROM ({PLACED}) GROUP BY conv_id""")
 def st8_replay(t: Tables) -> DataFrame:
     """Readers' states after a snapshot, a patch for each turn, and an end for some."""
-    return events.replay(logged(t, col("document_id").cast("long") % 2 == 0)).select("document_id", "cursor", "revision", "status", "blocks", "reset")
+    return replay.replay(logged(t, col("document_id").cast("long") % 2 == 0)).select("document_id", "cursor", "revision", "status", "blocks", "reset")
 
 
 @query(f"""SELECT conv_id::VARCHAR AS document_id, (min(k) > 1) AS reset, CASE WHEN min(k) > 1 THEN 1 ELSE 2 END::BIGINT AS cursor FROM ({PLACED}) GROUP BY conv_id""")
 def st8_gaps(t: Tables) -> DataFrame:
     """Logs that lack their second patch: their readers have to start afresh."""
-    return events.replay(logged(t, F.lit(True)).filter("seq <> 2 OR kind <> 'blocks.patch'")).select("document_id", "reset", "cursor")
+    return replay.replay(logged(t, F.lit(True)).filter("seq <> 2 OR kind <> 'blocks.patch'")).select("document_id", "reset", "cursor")
 
 
 @query(f"""SELECT conv_id::VARCHAR AS document_id, 'i' || place AS image_id, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS n_repairs, 1 AS n_applied FROM ({PLACED})""")

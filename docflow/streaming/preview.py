@@ -15,11 +15,11 @@ KEPT = "state string"
 
 
 def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = Preview(*json.loads(state.get[0])) if state.exists else Preview()
+    now = Preview.restored(json.loads(state.get[0])) if state.exists else Preview()
     rows = pd.concat(list(frames)).sort_values("seq")
     for r in rows.itertuples():
         now = reduce_event(now, int(r.seq), r.kind, json.loads(r.data))
-    state.update((json.dumps(list(now)),))
+    state.update((json.dumps(now.plain()),))
     yield pd.DataFrame([as_row(key[0], now)], columns=[c.split()[0] for c in STATE_DDL.split(", ")]).astype({"cursor": "Int64"})
 
 

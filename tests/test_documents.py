@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docflow.functions import align, tree
-from docflow.operators import blocks, drafts, events, overlap, requests, service
+from docflow.operators import blocks, drafts, events, overlap, replay, requests, service
 from docflow.sources import files, sinks
 
 P = "<p>{}</p>"
@@ -415,7 +415,7 @@ def test_replay_and_stream(spark, tmp_path):
     patch = {"baseRevision": 0, "revision": 1, "afterBlockId": "a", "removeBlockIds": [], "blocks": listed("b")}
     rows = [("d", 1, "document.snapshot", json.dumps(snap)), ("d", 2, "blocks.patch", json.dumps(patch)), ("d", 3, "document.completed", '{"status": "COMPLETED"}')]
     schema = "document_id string, seq long, kind string, data string"
-    batch = events.replay(spark.createDataFrame(rows, schema)).first()
+    batch = replay.replay(spark.createDataFrame(rows, schema)).first()
     assert (batch["status"], batch["cursor"], batch["revision"]) == ("COMPLETED", 3, 1)
     source = str(tmp_path / "events")
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
