@@ -16,6 +16,8 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..functions import tree
 from ..operators import drafts, overlap, requests
+from ..sources.shared import scratch
+from ..streaming import assembly as stream
 from .relational import Tables, registry
 
 QUERIES, ORACLES, query = registry()
@@ -119,6 +121,28 @@ def dm20_assemble(t: Tables) -> DataFrame:
     return drafts.assemble(images(rows, F.when(col("role") == "user", call).otherwise(cut), content="text")).select("document_id", "ord", "image_id", "status", "fallback_source", "text")
 
 
+@query(f"""WITH p AS (SELECT *, min(place) FILTER (WHERE turn % 3 = 0) OVER (PARTITION BY conv_id) AS first FROM ({PLACED}))
+    SELECT conv_id::VARCHAR AS document_id, place::INT AS ord, CASE WHEN turn % 3 = 2 THEN 'fallback' ELSE 'ok' END AS status, CASE WHEN turn % 3 = 2 THEN rtrim(text, chr(10)) ELSE line END AS text, (turn % 3 = 0)::INT AS repair_attempts,
+        (place = first)::BIGINT AS n_asked, CASE WHEN turn % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n_received FROM p""")
+def st14_streamed_assembly(t: Tables) -> DataFrame:
+    """Documents assembled by a stream that stops after the first reply of each image and goes on with the rest: every third reply is repaired by a second one, every
+    third is cut off. Only calls whose reply isn't there are asked for, once."""
+    rows, rest = placed(t).join(t.conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"]), col("turn") % 3
+    good = reply(value(col("line")))
+    cut = F.struct(F.lit("[").alias("content"), F.lit("length").alias("finish_reason"))
+    first = F.when(rest == 0, reply(value(col("line"), F.lit(BROKEN)))).when(rest == 1, good).otherwise(cut)
+    calls = F.when(rest == 0, F.array(first, good)).otherwise(F.array(first))
+    recorded = rows.select("document_id", col("place").alias("image_ord"), F.concat(F.lit("i"), "place").alias("image_id"), col("text").alias("content"), calls.alias("calls"))
+    found = stream.as_events(recorded)
+    path = scratch(t.spark, "assembly")
+    for part in ("step = 0 AND kind <> 'close'", "step > 0 OR kind = 'close'"):
+        found.filter(part).drop("step").write.mode("append").parquet(f"{path}/events")
+        stream.answering(t.spark, f"{path}/events", path).awaitTermination()
+    given = stream.answers(t.spark, path)
+    calls_made = given.groupBy("document_id", F.concat(F.lit("i"), "image_ord").alias("image_id")).agg(F.count_if(col("kind") == "ask").alias("n_asked"), F.count_if(col("kind") == "received").alias("n_received"))
+    return stream.committed(given).join(calls_made, ["document_id", "image_id"]).select("document_id", "ord", "status", "text", "repair_attempts", "n_asked", "n_received")
+
+
 def claiming(t: Tables, kind: str) -> DataFrame:
     """Two replies for each conversation: the second repeats the first's heading and text, adds a block, and claims so."""
 
