@@ -11,7 +11,7 @@ bytes: to all of these). Offsets count code points, ends are exclusive.
 
 Edge cases: a null text counts as empty; one row out for each row in, repeated ids included; an
 empty table gives an empty one; further columns are ignored. Compressed runs are unpacked through
-all members or frames, in windows of about ``max_unpacked`` bytes (16 MiB), each scanned. The guard
+all members or frames, each once, in windows of about ``max_unpacked`` bytes (16 MiB), each scanned. The guard
 against compression bombs is 64 windows a document: a run beyond it, or one whose content can't be
 cut into windows safely, has a span of the kind ``unread`` as a whole, and is redacted with it.
 """
@@ -178,9 +178,10 @@ def unpacked(text: str, start: int, left: list[int]) -> Iterator[tuple[bytes, in
             d = None
 
 
-def windows(layer: Layer, start: int, window: int, left: list[int]) -> Iterator[Layer]:
+def windows(layer: Layer, start: int, window: int, left: list[int], read: list[int]) -> Iterator[Layer]:
     """Layers of at most about ``window`` characters each of unpacked content, cut where neither a
-    secret nor an encoded run can go on. A part that can't be read, or can't be cut so, is marked."""
+    secret nor an encoded run can go on. A part that can't be read, or can't be cut so, is marked.
+    ``read`` gets the place up to which members have been read to their end, or given up."""
     parts: list[str] = []
     n, end, whole, cut, broken = 0, start, True, False, False
 
@@ -188,6 +189,7 @@ def windows(layer: Layer, start: int, window: int, left: list[int]) -> Iterator[
         return Layer(text, whole=layer.back(start, max(end, start + 1)), cut=cut)
 
     for piece, end, whole in unpacked(layer.text, start, left):
+        read[0] = end if whole else read[0]
         for k in range(0, len(piece), window):
             parts.append(piece[k : k + window].decode("latin-1"))
             n += len(parts[-1])
@@ -202,7 +204,9 @@ def windows(layer: Layer, start: int, window: int, left: list[int]) -> Iterator[
         yield out("".join(parts), False)
     # more than may be unpacked, one run longer than a window, or compressed bytes that the window before cuts
     if end > start and (broken or left[0] < 0 or (not whole and layer.cut and end == len(layer.text))):
-        yield Layer("", whole=layer.back(start, max(end, start + 1)) if left[0] >= 0 else layer.back(start, LATIN1.match(layer.text, start).end()), unread=True)
+        if left[0] < 0:
+            end = read[0] = LATIN1.match(layer.text, start).end()
+        yield Layer("", whole=layer.back(start, max(end, start + 1)), unread=True)
 
 
 def base64_layers(layer: Layer, start: int, run: str) -> Iterator[Layer]:
@@ -251,8 +255,10 @@ def deeper(layer: Layer, window: int, left: list[int]) -> Iterator[Layer]:
             pieces = [(*m.span(), m[0].replace("\0", ""), list(range(0, len(m[0]) + 1, step))) for m in wide.finditer(text) if (step := len(m[0]) // (len(m[0]) - m[0].count("\0")))]
             if pieces:
                 yield layer.replaced(pieces)
+    read = [0]  # a member that an earlier one was read through isn't begun again
     for m in PACKED.finditer(text):
-        yield from windows(layer, m.start(), window, left)
+        if m.start() >= read[0]:
+            yield from windows(layer, m.start(), window, left, read)
     if max(map(len, text.split()), default=0) >= SHORTEST:
         for m in BASE64.finditer(text):
             if len(m[0]) >= LONG or PACKED_BASE64.search(m[0]):

@@ -8,6 +8,7 @@ import gzip
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -196,6 +197,28 @@ def test_secrets_in_later_members_and_beyond_a_window(squeeze):
         assert secret_scan.redact(text, every).rstrip("=") in ("before [SECRET] after", "before [SECRET]= after", "before [SECRET]== after")
 
 
+@pytest.mark.parametrize(("members", "size"), [(400, 30), (50, 1 << 20)])
+def test_members_are_read_once(members, size):
+    """A run of many members takes time by its length, has no false mark, and a secret in a late one is found."""
+    member = gzip.compress(b"plain words " * (size // 12))
+    texts = [base64.b64encode(member * k + last).decode() for k in (members // 4, members) for last in (b"", gzip.compress(SECRET.encode()))]
+    took = []
+    for text in texts:
+        began = time.process_time()
+        base, every = secret_scan.scan(f"see {text} end")
+        took.append(time.process_time() - began)
+        assert (base != every) == (text in texts[1::2]) and "unread" not in {k for k, *_ in every}
+    assert took[2] < 12 * max(took[0], 0.05) and took[2] < 30
+
+
+def test_a_broken_member_does_not_hide_the_next():
+    """What a cut or damaged member begins is looked at again from every later head."""
+    member, secret = gzip.compress(b"plain words " * 50), gzip.compress(SECRET.encode())
+    damaged = member[:-8] + bytes(8)
+    for data in (member[:-9] + secret, damaged + secret, member + damaged + member + secret, b"x\x9c" + secret):
+        assert secret_scan.scan(base64.b64encode(data).decode())[1], data
+
+
 def test_unreadable_compressed_runs_are_redacted():
     bomb = b64(gzip.compress(gzip.compress(b"\n" * (1 << 22))))
     for text in (f"before {bomb} after", f"before {b64(gzip.compress(b'a' * (1 << 16)))} after"):
