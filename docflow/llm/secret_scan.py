@@ -62,6 +62,8 @@ PACKED_BASE64 = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|[/_]Td6|K
 #: what windows share where one can't be cut outside of the characters of secrets and encodings.
 STEP, PIECE, TOTAL, OVERLAP = 256, 1 << 20, 64, 1 << 16
 INSIDE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\&#;{}\0"
+#: A space that isn't part of an assignment, nor of wide characters.
+BETWEEN = re.compile(r"(?<=[^:=\x20\0])\x20(?=[^:=\x20\0])")
 LATIN1 = re.compile(r"[\x00-\xff]+")
 #: UTF-16 and UTF-32 read byte by byte, little-endian and big-endian.
 WIDE = [re.compile(f"(?:{unit}){{8,}}") for unit in (r"[^\0]\0", r"\0[^\0]", r"[^\0]\0{3}", r"\0{3}[^\0]")]
@@ -178,6 +180,14 @@ def unpacked(text: str, start: int, left: list[int]) -> Iterator[tuple[bytes, in
             d = None
 
 
+def cut_place(text: str) -> int:
+    """Where a text may be cut near its end: no secret or encoded run goes on from there. 0 where it may not."""
+    last = 0
+    for m in BETWEEN.finditer(text, max(0, len(text) - OVERLAP)):
+        last = m.end()
+    return max(last, len(text.rstrip(INSIDE)))
+
+
 def windows(layer: Layer, start: int, window: int, left: list[int], read: list[int]) -> Iterator[Layer]:
     """Layers of at most about ``window`` characters each of unpacked content, cut where neither a
     secret nor an encoded run can go on. A part that can't be read, or can't be cut so, is marked.
@@ -195,7 +205,7 @@ def windows(layer: Layer, start: int, window: int, left: list[int], read: list[i
             n += len(parts[-1])
             if n >= window:
                 text = "".join(parts)
-                safe = len(text.rstrip(INSIDE))
+                safe = cut_place(text)
                 broken, cut = broken or not safe, True
                 yield out(text[:safe] if safe else text, True)
                 rest = text[safe:] if safe else text[-OVERLAP:]
