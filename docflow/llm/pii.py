@@ -1,11 +1,13 @@
 """Personal data replaced by surrogates of the same type.
 
 Found are e-mail addresses, phone numbers, IP addresses, payment cards (Luhn), IBANs (mod 97),
-social security numbers and names (after a title, or a known first name before a surname). A
+social security numbers and names: after a title or words that introduce one, a known first name before a surname, and
+each word of a name found so wherever else it stands in the document. A
 surrogate keeps the type and the format: letters stay letters of their script and case, digits
 stay digits, separators stay, check digits are valid again, and a first name is replaced by one
-of the same gender and script: a listed one by a listed one, any other by one with vowels and consonants in
-the same places and the same ending.
+of the same gender and script: a listed one by a listed one, any other by one with sounds of the same classes in
+the same places and the same ending. Names are replaced word by word, a word by the same one throughout a document, so that
+parts of a name refer to the same person as before.
 
 Surrogates come from keyed permutations of each format's own values (a Feistel network over the
 changeable characters), so that different entities get different surrogates and the same entity
@@ -53,6 +55,9 @@ ALPHABETS = [
 ]
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 VOWELS = set("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеиоуыэюяαεηιουω")
+#: Consonants that can stand for each other without making a word hard to say.
+SOUNDS = ["bcdgkpt", "fhsvwz", "lr", "mn", "jqxy", "бвгдкпт", "жзсхцчшщ", "лр", "мн"]
+SOUND_OF = {c: s for s in SOUNDS for c in s} | {c: s.upper() for s in SOUNDS for c in s.upper()}
 VOWELS |= {c.upper() for c in VOWELS if c != "ÿ"}
 
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
@@ -63,11 +68,21 @@ IPV4 = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
 CARD = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])|\([0-9]{2,5}\)[ .-]?|[0-9]{2,5}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w-])|(?<![\w.])\+[0-9]{8,15}(?!\w)")
+#: Numbers without separators: with a trunk prefix, or after a word for a telephone.
+COMPACT = re.compile(r"(?<![\w.+-])0[1-9][0-9]{8,11}(?![\w-]|\.[0-9])")
+CALLED = re.compile(r"(?i)(?<!\w)(?:tel|tel[eé]fono|t[eé]l[eé]phone|telefon|phone|mobile|cell|fax|handy|call|called|text|whatsapp)(?: (?:is|at|me|me at|number|no|nr))?[.:]{0,2} ?([0-9]{7,15})(?![\w-]|\.[0-9])")
 WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
 GIVEN = f"(?:{'|'.join(GENDERED)})"
 KNOWN = f"{GIVEN}(?: {GIVEN})* {WORD}"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({KNOWN}|{WORD}(?: {WORD})?)")
 FULL = re.compile(rf"(?<!\w){KNOWN}")
+NUMBER = re.compile(r"(?<![\w.+-])[0-9]{7,15}(?![\w-]|\.[0-9])")
+#: Words after which a name comes, and others after which two capitalised words are one, in the languages of the titles.
+INTRODUCED = re.compile(
+    rf"(?<!\w)(?:(?i:this is|my name is|signed by|yours sincerely,|kind regards,|best regards,|ich heiße|mein name ist|je m'appelle|me llamo|mi nombre es|меня зовут)[ \n]({WORD}(?: {WORD}){{0,2}})"
+    rf"|(?i:i am|i'm|ich bin|je suis|soy|contact|dear|regards,)[ \n]({WORD}(?: {WORD}){{1,2}}))(?!\w)"
+)
+SINGLE = re.compile(WORD)
 DATE = re.compile(r"[0-9]{4}([-. ])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-. ])[0-9]{2}\2[0-9]{4}")
 DIGIT = re.compile(r"[0-9]")
 #: Surrogates drawn from a format before a wider one is taken.
@@ -114,8 +129,18 @@ def detect(text: str) -> list[Entity]:
             ("phone", PHONE, lambda x: 7 <= len(digits(x)) <= 15 and not DATE.fullmatch(x)),
         ):
             found += ((kind, *m.span()) for m in pattern.finditer(text) if valid(m[0]))
-    found += (("name", m.start(2), m.end(2)) for m in TITLED.finditer(text))
-    found += (("name", *m.span()) for m in FULL.finditer(text))
+    if DIGIT.search(text):
+        found += (("phone", *m.span()) for m in COMPACT.finditer(text))
+        called = [("phone", *m.span(1)) for m in CALLED.finditer(text)]
+        numbers = {text[s:e] for _, s, e in called}
+        found += called + ([("phone", *m.span()) for m in NUMBER.finditer(text) if m[0] in numbers] if numbers else [])
+    names = [("name", m.start(2), m.end(2)) for m in TITLED.finditer(text)]
+    names += (("name", *m.span()) for m in FULL.finditer(text))
+    names += (("name", *m.span(m.lastindex)) for m in INTRODUCED.finditer(text))
+    if names:  # their words, wherever else they stand
+        known = {w for _, s, e in names for w in text[s:e].split(" ")}
+        names += (("name", *m.span()) for m in SINGLE.finditer(text) if m[0] in known and not text[m.end() : m.end() + 1].isalnum() and not text[max(0, m.start() - 1) : m.start()].isalnum())
+    found += names
     taken: list[Entity] = []
     starts: list[int] = []
     for e in found:  # those taken are kept by place, so that only neighbours need a look
@@ -195,23 +220,20 @@ def email_surrogate(text: str, key: bytes, tweak: str) -> str:
     return f"{same_format(local, key, tweak + '|local')}@{same_format(host, key, tweak + '|host')}{dot}{top}"
 
 
-def name_surrogate(text: str, gender: str, key: bytes, tweak: str) -> str:
-    """First names go to first names of the same list; other words keep script and case."""
-    out = []
-    for k, word in enumerate(text.split(" ")):
-        if k == 0 and word in GENDERED:
-            names = FIRST_NAMES[GENDERED[word]]
-            out.append(names[permuted([names.index(word)], [len(names)], key, tweak + "|first")[0]])
-        else:
-            first = k == 0 and " " in text and gender in "mf"
-            out.append(pronounceable(word, key, f"{tweak}|{gender}" if first else tweak + "|last", first))
-    return " ".join(out)
+def name_surrogate(word: str, role: str, key: bytes, tweak: str) -> str:
+    """A word of a name for another one: a listed first name for one of the same list, others keep script, case and sound. ``role`` is
+    the gender of a first name where it is known (m, f), or ``last``."""
+    if word in GENDERED:
+        names = FIRST_NAMES[GENDERED[word]]
+        return names[permuted([names.index(word)], [len(names)], key, tweak + "|first")[0]]
+    return pronounceable(word, key, f"{tweak}|{role}", role != "last")
 
 
 def pronounceable(word: str, key: bytes, tweak: str, ending: bool) -> str:
-    """``word`` with vowels permuted among vowels and consonants among consonants; with ``ending`` its last letter stays, as
+    """``word`` with vowels permuted among vowels and consonants among those of like sound; with ``ending`` its last letter stays, as
     it often tells the gender of a first name."""
-    ranges = {i: "".join(c for c in ALPHABET_OF[x] if (c in VOWELS) == (x in VOWELS)) for i, x in enumerate(word) if x in ALPHABET_OF}
+    alike = lambda x: SOUND_OF.get(x) or "".join(c for c in ALPHABET_OF[x] if (c in VOWELS) == (x in VOWELS))
+    ranges = {i: alike(x) for i, x in enumerate(word) if x in ALPHABET_OF}
     return same_format(word, key, tweak, {len(word) - 1} if ending else frozenset(), ranges)
 
 
@@ -223,7 +245,7 @@ def wider(kind: str, text: str, gender: str, key: bytes, tweak: int, level: int)
     drawn = f"{kind}{tweak}|wide"
     if kind == "name":
         more = ("а" if text[-1] in ALPHABETS[5] + ALPHABETS[6] + "ёЁ" else "a") * (level - 1)
-        return " ".join(same_format(w, key, f"{drawn}|{k}|{gender}") for k, w in enumerate((text + more).split(" ")))
+        return same_format(text + more, key, f"{drawn}|{gender}")
     if kind == "email":
         return email_surrogate("a" * level + text, key, drawn)
     if kind == "phone":
@@ -253,24 +275,39 @@ def replace(text: str, key: bytes) -> tuple[str, list[Entity]]:
     entities = detect(text)
     if not entities:
         return text, entities
-    originals = {text[s:e] for _, s, e in entities}
+    parts = [(kind, text[s:e], s, e) if kind != "name" else (kind, word, s + at, s + at + len(word)) for kind, s, e in entities for word, at in (name_words(text[s:e]) if kind == "name" else [("", 0)])]
+    originals = {part for _, part, *_ in parts}
+    roles = name_roles(text, entities)
     given: dict[tuple[str, str], str] = {}
     used: set[str] = set()
     out, at = [], 0
-    for kind, s, e in entities:
-        entity = text[s:e]
-        if (kind, entity) not in given:
+    for kind, part, s, e in parts:
+        if (kind, part) not in given:
             for tweak in count():
-                new = surrogate(kind, entity, gender_before(text, s) if kind == "name" else "", key, tweak)
+                new = surrogate(kind, part, roles.get(part, "last") if kind == "name" else "", key, tweak)
                 if new not in originals and new not in used:
                     break
-            given[kind, entity] = new
+            given[kind, part] = new
             used.add(new)
-        out += (text[at:s], given[kind, entity])
+        out += (text[at:s], given[kind, part])
         at = e
     return "".join(out) + text[at:], entities
 
 
+def name_words(name: str) -> list[tuple[str, int]]:
+    """The words of a name and where they begin in it."""
+    return [(m[0], m.start()) for m in re.finditer(r"[^ ]+", name)]
+
+
+def name_roles(text: str, entities: list[Entity]) -> dict[str, str]:
+    """The gender of words that are first names beside others after a title that tells it."""
+    found: dict[str, str] = {}
+    for kind, s, e in entities:
+        if kind == "name" and " " in text[s:e] and (gender := gender_before(text, s)) in "mf":
+            found.setdefault(text[s:e].split(" ")[0], gender)
+    return found
+
+
 def pseudonymise(docs: DataFrame, key: str = "surrogates-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_entities, spans, text``: the text with surrogates; spans as kind:start:end of
     the original, by place, in code points with exclusive ends."""

@@ -419,3 +419,47 @@ def test_pipeline(spark, docs):
     texts = sorted((r["doc_id"], r["text"]) for r in now.collect())
     path, pattern = byte_bpe.default_vocabulary()
     assert sorted(tuple(r) for r in byte_bpe.decode(out, path, pattern).collect()) == texts
+
+
+@pytest.mark.parametrize(
+    ("text", "originals"),
+    [
+        ("John Smith arrived. Smith said that John was late. Mr. Smith left.", "John Smith"),
+        ("Dr. Olivia Brown met Brown, and Brown's friend.", "Olivia Brown"),
+        ("Hello, this is Mary. Mary called 5551234567. Later: 5551234567, or 017612345678.", "Mary 5551234567 017612345678"),
+        ("My name is Wei Zhang; Zhang is here. I am Priya Patel. Frau Fatima Al-Sayed came, Al-Sayed left.", "Wei Zhang Priya Patel Fatima Al-Sayed"),
+        ("Mr. Anna and Mr. Jones. Jones, Anna, jones.", "Anna Jones"),
+    ],
+)
+def test_parts_of_names_refer_to_the_same(text, originals):
+    """No original word is left, each is the same new one throughout, different ones differ, and the rest of the text stays."""
+    new, _ = pii.replace(text, b"k" * 16)
+    words = originals.split()
+    assert not set(words) & set(re.findall(r"[\w-]+", new))
+    pattern = re.compile("|".join(sorted(words, key=len, reverse=True)))
+    shape = re.compile("(.+?)".join(map(re.escape, pattern.split(text))))
+    became: dict[str, set[str]] = {}
+    for was, now in zip(pattern.findall(text), shape.fullmatch(new).groups(), strict=True):
+        became.setdefault(was, set()).add(now)
+    assert all(len(v) == 1 for v in became.values()) and len(set.union(*became.values())) == len(became)
+
+
+def test_capitalised_words_without_a_sign_of_a_name_stay():
+    text = "I am German. The Red Cross came to New York on Monday. Order 5551234567 of 2024. Je suis Belge."
+    assert pii.replace(text, b"k" * 16) == (text, [])
+
+
+def test_tables_on_the_way_are_those_of_the_call(spark):
+    """What two threads compute at once doesn't delete the other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docflow.llm import common
+
+    def make(k):
+        inner = common.computed(spark, lambda: common.stored(spark.range(k), "first").filter("id > 0"), "inner")
+        time.sleep(0.2)
+        return inner.union(common.stored(spark.range(k), "second"))
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda k: common.computed(spark, lambda: make(k), "outer").count(), [3, 5, 8]))
+    assert got == [5, 9, 15]
