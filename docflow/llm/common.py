@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -22,8 +23,8 @@ from ..sources.shared import scratch, shared_dir
 SPACES = r"[\x20\x09-\x0D]"
 #: The same characters, for ``translate``.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Folders of the tables that this process has stored.
-WRITTEN: list[str] = []
+#: Folders of the tables stored on the way to a computed one, in this thread; None outside of that.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -47,7 +48,8 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
         df = df.coalesce(parts)
     path = scratch(spark, name)
     df.write.parquet(path)
-    WRITTEN.append(path)
+    if (written := WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,11 +68,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def computed(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` returns, stored; the tables that were stored on the way are deleted."""
-    before = len(WRITTEN)
-    made = stored(make(), name)
-    for path in WRITTEN[before:-1]:
+    outer = WRITTEN.set([])
+    try:
+        made = stored(make(), name)
+        *on_the_way, last = WRITTEN.get()
+    finally:
+        WRITTEN.reset(outer)
+    for path in on_the_way:
         delete(spark, path)
-    del WRITTEN[before:-1]
+    if (written := WRITTEN.get()) is not None:
+        written.append(last)
     return made
 
 
