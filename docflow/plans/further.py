@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ..operators import events, overlap
 from ..operators.block_list import BlockList
 from ..sources import files, sinks
 from ..sources.shared import scratch
+from ..sources.versions import Conflict
 from .relational import Tables, registry
 
 QUERIES, ORACLES, query = registry()
@@ -53,21 +55,21 @@ def sk2_pretty_json(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name FROM supplier")
 def sk4_exclusive(t: Tables) -> DataFrame:
-    """A target that two writers want: what the first one wrote stays."""
+    """A target that four writers want at once: one of them gets it, and its rows are whole."""
     path = scratch(t.spark, "exclusive")
     rows = t.supplier.select("s_suppkey", "s_name")
-    outcomes = []
-    for part in (rows, rows.filter("s_suppkey < 0")):
+
+    def wanted(k: int) -> bool:
         try:
-            sinks.publish(part, path)
-            outcomes.append(True)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_ALREADY_EXISTS" not in str(e):
-                raise
-            outcomes.append(False)
-    if outcomes != [True, False]:
-        raise AssertionError("the second writer got through")
-    return t.spark.read.parquet(path)
+            sinks.publish(rows, path)
+        except Conflict:
+            return False
+        return True
+
+    with ThreadPoolExecutor(4) as writers:
+        if sum(writers.map(wanted, range(4))) != 1:
+            raise AssertionError("not one writer got through")
+    return sinks.exported(t.spark, path, "s_suppkey long, s_name string")
 
 
 @query("""SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'insert' WHEN b.o_custkey IS NULL THEN 'delete' WHEN a.p = b.p THEN 'keep' ELSE 'update' END AS step, b.p AS value

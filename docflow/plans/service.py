@@ -9,6 +9,9 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import drafts, evaluate, events, replay
+from ..sources import versions
+from ..sources.shared import scratch
+from ..streaming import outbox
 from .assembly import BROKEN, images, placed, reply, value
 from .documents import turns
 from .relational import Tables, registry
@@ -33,6 +36,26 @@ def st2_outbox(t: Tables) -> DataFrame:
     return events.outbox(rows, sent).select("event_id")
 
 
+@query("""WITH sent AS (SELECT event_id, user_id, event_type, seq FROM (SELECT *, row_number() OVER w AS seq, lag(floor(value / 10)::INT) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE floor(value / 10)::INT IS DISTINCT FROM before)
+    SELECT event_id, seq = max(seq) OVER (PARTITION BY user_id, event_type) AS in_state, CASE WHEN seq <= 3 THEN 1 WHEN seq <= 9 THEN 2 ELSE 3 END::BIGINT AS version FROM sent""")
+def st2_outbox_with_state(t: Tables) -> DataFrame:
+    """A stream that sends payloads which differ from the one before, in three batches: the rows of each version's outbox, and which of them are the
+    state after the last one."""
+    payload = F.floor(col("value") / 10).cast("int").cast("string")
+    rows = t.events.select(col("user_id").cast("string").alias("document_id"), col("event_type").alias("kind"), "event_id", F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("long").alias("seq"), payload.alias("payload"))
+    path = scratch(t.spark, "outbox")
+    for part in ("seq <= 3", "seq > 3 AND seq <= 9", "seq > 9"):
+        rows.filter(part).write.mode("append").parquet(f"{path}/payloads")
+        sent = outbox.sending(t.spark.readStream.schema(rows.schema).parquet(f"{path}/payloads"), path)
+        sent.awaitTermination()
+        outbox.sender(path)(rows.filter(part), 0)  # a batch that comes again is left out
+    columns = "document_id string, kind string, event_id long, seq long"
+    made = [versions.table(t.spark, path, "outbox", columns, k).withColumn("version", F.lit(k).cast("long")) for k in (1, 2, 3)]
+    each = made[2].drop("version").join(made[0].unionByName(made[1]).groupBy("event_id").agg(F.min("version").alias("version")), "event_id", "left").withColumn("version", F.coalesce("version", F.lit(3).cast("long")))
+    last = outbox.state(t.spark, path).select("document_id", "kind", "seq", F.lit(True).alias("last"))
+    return each.join(last, ["document_id", "kind", "seq"], "left").select("event_id", F.coalesce("last", F.lit(False)).alias("in_state"), "version")
+
+
 @query(f"""SELECT conv_id::VARCHAR AS document_id, (place + 1)::BIGINT AS revision, CASE WHEN place > 0 THEN 'b' || (place - 1) END AS after, 'b' || place AS block FROM ({PLACED})""")
 def st4_emitted_patches(t: Tables) -> DataFrame:
     """Patches between lists that grow by a block each."""

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import events
 from ..sources import files, sinks
 from ..sources.shared import scratch
+from ..sources.versions import Conflict
 from .relational import Tables, registry
 
 QUERIES, ORACLES, query = registry()
@@ -165,10 +166,9 @@ def sk1_published(t: Tables) -> DataFrame:
     sinks.publish(t.region.select("r_regionkey", "r_name"), path)
     try:
         sinks.publish(t.region.select(F.lit(-1).alias("r_regionkey"), "r_name"), path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_ALREADY_EXISTS" not in str(e):
-            raise
-    return t.spark.read.parquet(path)
+        raise AssertionError("a conflict was missed")
+    except Conflict:
+        return sinks.exported(t.spark, path, "r_regionkey int, r_name string")
 
 
 @query("SELECT n_nationkey, n_name || '!' AS n_name FROM nation")
@@ -176,14 +176,13 @@ def sk3_export(t: Tables) -> DataFrame:
     """An export replaced by one that knows what it replaces; one that doesn't changes nothing."""
     path = scratch(t.spark, "export")
     rows = t.nation.select("n_nationkey", "n_name")
-    first = sinks.export(rows, path, None)
+    first = sinks.export(rows, path, 0)
     try:
-        sinks.export(rows.limit(1), path, None)
+        sinks.export(rows.limit(1), path, 0)
         raise AssertionError("a conflict was missed")
-    except ValueError:
-        pass
-    sinks.export(rows.withColumn("n_name", F.concat("n_name", F.lit("!"))), path, first)
-    return t.spark.read.schema("n_nationkey int, n_name string").json(path)
+    except Conflict:
+        sinks.export(rows.withColumn("n_name", F.concat("n_name", F.lit("!"))), path, first)
+    return sinks.exported(t.spark, path, "n_nationkey int, n_name string")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")

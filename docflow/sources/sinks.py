@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .versions import Change, table
+
 PLACEHOLDER = re.compile(r"@[A-Z_]+@")
 
 
@@ -18,29 +20,23 @@ def pretty(value) -> str:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Written once; an existing target is an error."""
-    df.write.mode("error").parquet(path)
-
+    """Written once: of several writers one gets through, for the others it is a :class:`Conflict` and nothing changes."""
+    change = Change(df.sparkSession, path, after=0)
+    change.replace("rows", df)
+    change.commit()
 
-def export(df: DataFrame, path: str, expected: str | None) -> str:
-    """``df`` as JSON lines, if the target is as ``expected`` (digest of the last export, None if new).
 
-    Gives the new digest, an order-independent one of the rows, which the next export expects.
-    """
-    spark = df.sparkSession
-    found = exported_digest(spark, path)
-    if found != expected:
-        raise ValueError(f"the target has changed: {found}, not {expected}")
-    df.write.mode("overwrite").json(path)
-    return exported_digest(spark, path)
+def export(df: DataFrame, path: str, expected: int) -> int:
+    """``df`` in place of version ``expected`` (0: none) of an export; gives its own version, which the next export expects. A
+    :class:`Conflict` if the last version is another; readers see the old or the new rows whole."""
+    change = Change(df.sparkSession, path, after=expected)
+    change.replace("rows", df)
+    return change.commit()
 
 
-def exported_digest(spark: SparkSession, path: str) -> str | None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return None
-    row = spark.read.text(path).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{row['n']}:{row['s']}"
+def exported(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """The rows of a published or exported table, of the last version or an earlier one."""
+    return table(spark, path, "rows", schema, version)
 
 
 def merged(existing: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:

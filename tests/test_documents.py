@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docflow.functions import align, tree
 from docflow.operators import blocks, drafts, events, overlap, replay, requests, service
 from docflow.sources import files, sinks
+from docflow.sources.versions import Conflict
 
 P = "<p>{}</p>"
 
@@ -446,10 +447,12 @@ def test_checks_over_blocks(spark):
 
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "out")
-    first = sinks.export(spark.range(3), path, None)
-    with pytest.raises(ValueError):
-        sinks.export(spark.range(4), path, None)
+    first = sinks.export(spark.range(3), path, 0)
+    for wrong in (0, 2):
+        with pytest.raises(Conflict):
+            sinks.export(spark.range(4), path, wrong)
     assert sinks.export(spark.range(4), path, first) != first
+    assert [sinks.exported(spark, path, "id long", v).count() for v in (first, None)] == [3, 4]
     assert sinks.filled("a @X@", {"X": "b"}) == "a b"
     with pytest.raises(ValueError):
         sinks.filled("@Y@", {})
