@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import align, tree
+from ..sources.shared import stored
 
+#: Stands for what a document holds already, where only its end is checked.
+LEAD = "<p>.</p>"
 #: Missing characters from which an omission counts.
 OMISSION = 8
 
@@ -263,8 +266,65 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("c", made("image_id", "ord", "xml", "text", "ocr_refs")).select("document_id", "ord", "image_id", "c.*")
 
 
+ISSUES = "array<struct<stage: string, code: string, inside: boolean>>"
+#: Places that one task counts, by order.
+SPAN = 4096
+
+
+def places(rows: DataFrame, order: str = "ord", span: int = SPAN) -> DataFrame:
+    """``rows`` (``document_id`` and a whole-numbered ``order``) with ``place`` from 0 in their document: counted by stretches of the order, so that a
+    long document is many tasks, and the counts before each stretch are added."""
+    cut = rows.withColumn("stretch", F.floor(F.col(order) / span))
+    before = F.sum("n").over(W.partitionBy("document_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    counts = cut.groupBy("document_id", "stretch").agg(F.count("*").alias("n")).select("document_id", "stretch", F.coalesce(before, F.lit(0)).alias("rows before"))
+    inside = F.row_number().over(W.partitionBy("document_id", "stretch").orderBy(order)) - 1
+    return cut.withColumn("place", inside).join(counts, ["document_id", "stretch"]).withColumn("place", (F.col("place") + F.col("rows before")).cast("int")).select(*rows.columns, "place")
+
+
+def block_findings(blocks: DataFrame) -> DataFrame:
+    """``document_id, ord, whole, first, later`` of blocks (``document_id, ord, xml``): whether one is an element of its own, and its issues as the
+    first block of a document and as a later one, ``inside`` it or of the document around it. All that a document's rules ask of a
+    block is whether one stands before it."""
+
+    @F.pandas_udf(f"whole boolean, first {ISSUES}, later {ISSUES}")
+    def found(xml: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in xml:
+            try:
+                root = tree.parse(tree.envelope(x or "", "document"))
+                whole = len(root.children) == 1 and not any(root.runs)
+            except tree.Refused:
+                whole = False
+            listed = lambda before: [{"stage": i.stage, "code": i.code, "inside": i.block_index is not None} for i in tree.document_issues([*before, x])]  # noqa: B023, E731
+            rows.append((whole, listed([]), listed([LEAD])) if whole else (False, [], []))
+        return pd.DataFrame(rows, columns=["whole", "first", "later"])
+
+    return blocks.select("document_id", "ord", found("xml").alias("f")).select("document_id", "ord", "f.*")
+
+
 def document_checks(blocks: DataFrame) -> DataFrame:
-    """The issues of each document's blocks put together (``document_id, ord, xml``), at the block that each is of."""
+    """The issues of each document's blocks put together (``document_id, ord, xml``), at the block that each is of.
+
+    Blocks are checked one by one; of a document are added up its first block and whether any of its blocks breaks the schema, which hides what
+    comes after that. An issue of the document itself comes once, without a block. Only documents with a block that isn't one element are put together as a text.
+    """
+    found = stored(block_findings(blocks), "block-findings")
+    broken = lambda c: F.exists(c, lambda i: i["stage"] == "schema")
+    sums = found.groupBy("document_id").agg(
+        F.min("ord").alias("start"), F.bool_and("whole").alias("sound"),
+        (F.min_by(broken("first"), "ord") | (F.count_if(broken("later")) > F.min_by(broken("later").cast("int"), "ord"))).alias("hidden"),
+    )
+    both = places(found).join(sums, "document_id")
+    own = F.when(F.col("ord") == F.col("start"), F.col("first")).otherwise(F.col("later"))
+    shown = both.filter("sound").select("document_id", "place", "hidden", F.explode(own).alias("i")).filter("NOT hidden OR i.stage = 'schema'")
+    inside = shown.filter("i.inside").select("document_id", F.col("place").alias("block_index"), "i.stage", "i.code")
+    around = shown.filter("NOT i.inside").select("document_id", F.lit(None).cast("int").alias("block_index"), "i.stage", "i.code").distinct()
+    rest = blocks.join(sums.filter("NOT sound").select("document_id"), "document_id", "left_semi")
+    return inside.union(around).union(checked_together(rest))
+
+
+def checked_together(blocks: DataFrame) -> DataFrame:
+    """The same from the text of each whole document."""
 
     @F.pandas_udf("array<struct<block_index:int,stage:string,code:string>>")
     def issues(parts: pd.Series) -> pd.Series:
@@ -274,6 +334,15 @@ def document_checks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("document_id").agg(parts.alias("p")).select("document_id", F.inline(issues("p")))
 
 
+def visible(candidates: DataFrame) -> DataFrame:
+    """``document_id, ord, shown`` of those candidates (``document_id, ord, xml``) that a reader may see yet: each that is valid and
+    keeps what is shown a valid document, numbered anew. The first one is that which may stand first, all later ones must be allowed after it."""
+    found = stored(block_findings(candidates).select("document_id", "ord", (F.col("whole") & (F.size("first") == 0)).alias("opens"), (F.col("whole") & (F.size("later") == 0)).alias("goes on")), "candidates")
+    start = found.filter("opens").groupBy("document_id").agg(F.min("ord").alias("start"))
+    kept = found.join(start, "document_id").filter("ord = start OR (ord > start AND `goes on`)").select("document_id", "ord")
+    return places(kept).select("document_id", "ord", F.col("place").alias("shown"))
+
+
 def options(targets: DataFrame) -> DataFrame:
     """The safe repair of each target (``document_id, ord, image_id, xml, text``), if there is one."""
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions import tree
-from ..operators import drafts, overlap, requests
+from ..operators import blocks, drafts, overlap, requests
 from ..sources.shared import scratch
 from ..streaming import assembly as stream
 from .relational import Tables, registry
@@ -245,7 +245,7 @@ def pf4_visible_blocks(t: Tables) -> DataFrame:
     comes too late."""
     xml = F.when(col("turn") % 3 == 1, "<title>t</title>").otherwise(F.concat(F.lit("<p>"), T.escaped(col("text")), F.lit("</p>")))
     rows = t.conversations.select(col("conv_id").cast("string").alias("document_id"), col("turn").cast("int").alias("source"), xml.alias("xml"))
-    return drafts.visible(rows.withColumnRenamed("source", "ord")).select("document_id", col("shown").alias("ord"), col("ord").alias("source"))
+    return blocks.visible(rows.withColumnRenamed("source", "ord")).select("document_id", col("shown").alias("ord"), col("ord").alias("source"))
 
 
 @query(r"""WITH b AS (SELECT conv_id::VARCHAR AS document_id, turn::INT AS ord, regexp_replace(text, '\s+', '', 'g') AS s, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
