@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.lists import edit_steps
 from .block_list import BlockList, Reset
 
 TERMINAL = ("COMPLETED", "FAILED")
@@ -153,6 +154,16 @@ def reconciled(old: DataFrame, new: DataFrame, key: list[str], value: str) -> Da
     return both.select(*key, step.alias("step"), F.col("value after").alias(value))
 
 
+def list_steps(lists: DataFrame) -> DataFrame:
+    """``document_id, number, step, id, after`` of ``lists`` (``document_id, old, new``: arrays of distinct ids): the fewest steps from one to the other, in order."""
+
+    @F.pandas_udf("array<struct<step: string, id: string, after: string>>")
+    def steps(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("step", "id", "after"), s, strict=True)) for s in edit_steps(list(o), list(n))] for o, n in zip(old, new, strict=True)])
+
+    return lists.select("document_id", F.posexplode(steps("old", "new")).alias("number", "s")).select("document_id", "number", "s.*")
+
+
 def work_batches(arrivals: DataFrame, idle: str) -> DataFrame:
     """Arrivals (``worker, ts``) put together until nothing has come for ``idle``: ``worker, first, last, n``."""
     grouped = arrivals.groupBy("worker", F.session_window("ts", idle)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))

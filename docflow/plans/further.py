@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import png, register
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import events, overlap
@@ -206,3 +208,52 @@ def doc_nodes_depth(t: Tables) -> DataFrame:
     xml = F.when(col("turn") % 2 == 0, F.concat(F.lit("<p><b>"), line, F.lit("</b></p>"))).otherwise(F.concat(F.lit("<ul><li>x<ol><li>"), line, F.lit("</li></ol></li></ul>")))
     rows = B.nodes(t.conversations.select("conv_id", "turn", T.update(xml).alias("xml")), ["conv_id", "turn"])
     return rows.groupBy("conv_id", "turn").agg(F.max(F.when(col("depth") == 0, col("tag"))).alias("root"), F.max("depth").alias("depth"))
+
+
+@query(f"""WITH RECURSIVE b AS ({PLACED}), kept AS (SELECT conv_id, turn AS old, (turn * 5 + conv_id) % 7 AS new FROM b WHERE turn % 4 <> 3),
+    paths AS (SELECT conv_id, old, new, 1 AS n FROM kept UNION SELECT k.conv_id, k.old, k.new, n + 1 FROM paths p JOIN kept k ON k.conv_id = p.conv_id AND k.old > p.old AND k.new > p.new),
+    longest AS (SELECT conv_id, max(n) AS n FROM paths GROUP BY 1)
+    SELECT b.conv_id::VARCHAR AS document_id, (count(*) FILTER (WHERE turn % 4 <> 3) - coalesce(any_value(n), 0))::BIGINT AS n_moves, count(*) FILTER (WHERE turn % 4 = 3)::BIGINT AS n_deletes, count(*) FILTER (WHERE turn % 3 = 0)::BIGINT AS n_inserts
+    FROM b LEFT JOIN longest ON longest.conv_id = b.conv_id GROUP BY b.conv_id""")
+def sk11_fewest_moves(t: Tables) -> DataFrame:
+    """Lists of turns put in another order, with some gone and some new ones: moves, deletes and inserts."""
+    rows = t.conversations.select(col("conv_id").cast("string").alias("document_id"), "conv_id", "turn")
+    ids = lambda c: F.transform(F.array_sort(c), lambda x: x["id"])
+    place = ((col("turn") * 5 + col("conv_id")) % 7).alias("place")
+    named = lambda letter: F.concat(F.lit(letter), "turn").alias("id")
+    old = ids(F.collect_list(F.struct(col("turn").alias("place"), named("b"))))
+    moved = F.collect_list(F.when(col("turn") % 4 != 3, F.struct(place, named("b"))))
+    fresh = F.collect_list(F.when(col("turn") % 3 == 0, F.struct(place, named("n"))))
+    lists = rows.groupBy("document_id").agg(old.alias("old"), ids(F.concat(moved, fresh)).alias("new"))
+    count = lambda step, name: F.count_if(col("step") == step).alias(name)
+    found = events.list_steps(lists).groupBy("document_id").agg(count("move", "n_moves"), count("delete", "n_deletes"), count("insert", "n_inserts"))
+    names = ("n_moves", "n_deletes", "n_inserts")
+    return lists.select("document_id").join(found, "document_id", "left").select("document_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+
+
+@query("SELECT conv_id, turn, sha256(encode(text) || from_hex(repeat('00', ((48 - strlen(text) % 48) % 48 + CASE WHEN text = '' THEN 48 ELSE 0 END)::INT))) AS pixels, greatest(ceil(strlen(text) / 48), 1)::INT AS height FROM conversations")
+def sc5_pixels(t: Tables) -> DataFrame:
+    """Texts as pixels of images, under each of the filters in turn: decoded, written anew and decoded again they have the same pixels."""
+
+    @F.pandas_udf("binary")
+    def drawn(text: pd.Series, kind: pd.Series) -> pd.Series:
+        rows = [t.encode() for t in text]
+        rows = [np.frombuffer(r + bytes(-len(r) % 48 or (0 if r else 48)), np.uint8).reshape(-1, 16, 3) for r in rows]
+        return pd.Series([png.encode(r, int(k)) for r, k in zip(rows, kind, strict=True)])
+
+    @F.pandas_udf("binary")
+    def pixels(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: png.decode(c).tobytes())
+
+    images = t.conversations.select(F.struct("conv_id", "turn").alias("image_id"), drawn("text", col("turn") % 5).alias("content"))
+    found = files.normalized_images(images)
+    return found.select("image_id.conv_id", "image_id.turn", F.sha2(pixels("png"), 256).alias("pixels"), "height")
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[ \t]*[\r\n]+[ \t]*', '', 'g'), '\t', '', 'g') AS structural, length(regexp_replace(text, '\s+', '', 'g'))::INT AS nonspace, least(8192, 15872 - length(text))::BIGINT AS budget,
+    '<p>' || replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(10), '<br/>') || '</p>' AS paragraph, sha256(text) AS digest, least(30, power(2, turn))::BIGINT AS wait FROM conversations""")
+def sql_inlined_functions(t: Tables) -> DataFrame:
+    """Functions of SQL that are expressions: the plan has no Python in it."""
+    register.register_inlined(t.spark)
+    t.conversations.createOrReplaceTempView("docflow_inlined")
+    return t.spark.sql("SELECT conv_id, turn, doc_structural(text) AS structural, doc_nonspace(text) AS nonspace, doc_output_budget(length(text)) AS budget, doc_paragraph(text) AS paragraph, doc_sha256(text) AS digest, doc_backoff(CAST(turn AS INT)) AS wait FROM docflow_inlined")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions import png
 from ..functions import text as X
 
 IMAGE = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("path", T.StringType())])
@@ -165,3 +169,22 @@ def memory_samples(lines: DataFrame) -> DataFrame:
     good = F.col("line").rlike(r"^\s*[0-9]+(?: MiB)?\s*,\s*[0-9]+(?: MiB)?\s*$")
     value = lambda k: F.when(good, F.element_at(found, k).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no reading: "), F.col("line"))).cast("long"))
     return lines.select("sample", value(1).alias("used"), value(2).alias("total"))
+
+
+def normalized_images(images: DataFrame) -> DataFrame:
+    """``images`` (``image_id, content``: PNG files) as ``image_id, width, height, png, sha256, problem``: decoded, turned, as RGB and written anew, with
+    the digest of the new file; a file that can't be read has a code in ``problem`` instead."""
+
+    @F.pandas_udf("width int, height int, png binary, sha256 string, problem string")
+    def made(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in content:
+            try:
+                pixels = png.decode(bytes(data or b""))
+                new = png.encode(pixels)
+                rows.append((pixels.shape[1], pixels.shape[0], new, hashlib.sha256(new).hexdigest(), None))
+            except png.Unreadable as e:
+                rows.append((None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["width", "height", "png", "sha256", "problem"]).astype({"width": "Int32", "height": "Int32"})
+
+    return images.select("image_id", made("content").alias("m")).select("image_id", "m.*")
