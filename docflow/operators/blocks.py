@@ -10,7 +10,7 @@ from functools import cached_property
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -45,6 +45,14 @@ def advice(message: str) -> str:
     return next((topic for topic, words in TOPICS if any(w in low for w in words)), "paragraph")
 
 
+def advice_topic(message: Column) -> Column:
+    """The same for a column."""
+    topic = F.lit("paragraph")
+    for name, words in reversed(TOPICS):
+        topic = F.when(F.lower(message).rlike("|".join(words)), name).otherwise(topic)
+    return topic
+
+
 class Compared:
     """An independent text against a valid block."""
 
@@ -177,6 +185,31 @@ def response_schema(kind: str) -> dict:
     return strict(**fields)
 
 
+def spark_type(schema: dict) -> str:
+    """The type of Spark that holds what a JSON schema describes."""
+    if "anyOf" in schema:
+        return spark_type(next(s for s in schema["anyOf"] if s["type"] != "null"))
+    match schema.get("type", "string"):
+        case "object" if "properties" in schema:
+            return f"struct<{', '.join(f'{k}: {spark_type(v)}' for k, v in schema['properties'].items())}>"
+        case "object":
+            return f"map<string, {spark_type(schema['additionalProperties'])}>"
+        case "array":
+            return f"array<{spark_type(schema['items'])}>"
+        case kind:
+            return {"integer": "bigint"}.get(kind, kind)
+
+
+def parsed_replies(replies: DataFrame, kind: str) -> DataFrame:
+    """``replies`` (``content``: JSON) with ``reply`` as the schema of their kind describes it, and the fields that they lack or have beyond it. What isn't
+    a JSON object lacks all and has no reply."""
+    schema = response_schema(kind)
+    keys = F.coalesce(F.json_object_keys("content"), F.array().cast("array<string>"))
+    needed = F.array(*map(F.lit, schema["required"]))
+    reply = F.when(F.json_object_keys("content").isNotNull(), F.from_json("content", spark_type(schema)))
+    return replies.select("*", reply.alias("reply"), F.array_except(needed, keys).alias("missing"), F.array_except(keys, needed).alias("extra"))
+
+
 def repair_options(target: dict) -> list[dict]:
     """The one repair that needs no judgement: a bare blockquote around one pre is taken off."""
     if target.get("status") != "pending" or not isinstance(target.get("xml"), str) or not isinstance(target.get("text"), str):

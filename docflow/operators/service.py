@@ -66,18 +66,32 @@ def accepted(tokens: DataFrame, presented: DataFrame) -> DataFrame:
     return presented.select("request_id", F.sha2("token", 256).alias("digest")).join(good, "digest").select("request_id", "device_id")
 
 
-def connections(changes: DataFrame, cap: int = 2) -> DataFrame:
-    """``device_id, document_id, open, refused``: streams open at the end and openings refused, from openings and closings
-    (``device_id, document_id, seq, step`` 1 or -1). An opening is refused while ``cap`` are open."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "step")))
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("refused"))
+#: Changes that are put together by one group.
+SPAN = 4096
+
 
-    def moved(now: Column, x: Column) -> Column:
-        full = (x["step"] > 0) & (now["open"] >= cap)
-        return F.struct(F.when(full, now["open"]).otherwise(F.greatest(now["open"] + x["step"], F.lit(0))).alias("open"), (now["refused"] + full.cast("int")).alias("refused"))
+def connections(changes: DataFrame, cap: int = 2, span: int = SPAN) -> DataFrame:
+    """``device_id, document_id, open, refused``: streams open at the end and openings refused, from openings and closings
+    (``device_id, document_id, seq``, distinct and not negative, ``step`` 1 or -1). An opening is refused while ``cap`` are open.
 
-    lists = changes.groupBy("device_id", "document_id").agg(ordered.alias("c"))
-    return lists.select("device_id", "document_id", F.aggregate("c", start, moved).alias("s")).select("device_id", "document_id", "s.*")
+    A change is a table of what it makes of 0 to ``cap`` open streams; tables compose, ``span`` of them at a time, so no group holds more than
+    that however many changes a key has.
+    """
+    opening = F.array(*(F.struct(F.lit(min(k + 1, cap)).alias("open"), F.lit(int(k >= cap)).cast("long").alias("refused")) for k in range(cap + 1)))
+    closing = F.array(*(F.struct(F.lit(max(k - 1, 0)).alias("open"), F.lit(0).cast("long").alias("refused")) for k in range(cap + 1)))
+    as_it_is = F.array(*(F.struct(F.lit(k).alias("open"), F.lit(0).cast("long").alias("refused")) for k in range(cap + 1)))
+
+    def then(now: Column, x: Column) -> Column:
+        return F.transform(now, lambda a: F.struct(F.get(x["t"], a["open"])["open"].alias("open"), (a["refused"] + F.get(x["t"], a["open"])["refused"]).alias("refused")))
+
+    rows = changes.select("device_id", "document_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("step") > 0, opening).otherwise(closing).alias("t"))
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    while True:
+        cut = rows.groupBy("device_id", "document_id", F.floor(F.col("seq") / span).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("c"))
+        rows = cut.select("device_id", "document_id", "seq", F.aggregate("c", as_it_is, then).alias("t"))
+        last //= span
+        if not last:
+            return rows.select("device_id", "document_id", F.col("t")[0].alias("s")).select("device_id", "document_id", "s.open", "s.refused")
 
 
 def read_blocks(blocks: DataFrame, asked: DataFrame) -> DataFrame:

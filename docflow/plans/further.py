@@ -156,19 +156,28 @@ def sf6_nonspace_count(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.nonspace_count(col("text")).cast("long").alias("n"))
 
 
-@query("SELECT message, topic FROM (VALUES ('a span needs a color', 'style'), ('Inline nesting', 'style'), ('pre holds one code', 'structure'), ('a blockquote is too deep', 'structure'), ('the table has a gap', 'table'), ('a ROW too many', 'table'), ('a paragraph needs text', 'paragraph'), ('', 'paragraph')) v(message, topic)")
+SAID = ("a span needs a color", "Inline nesting", "pre holds one code", "a BLOCKQUOTE is too deep", "the table has a gap", "", "a ROW too many")
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, lower(text || ' ' || CASE turn % 7 {' '.join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(SAID))} END) AS s FROM conversations)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(s, 'color|inline|nesting|style') THEN 'style' WHEN regexp_matches(s, 'pre|blockquote|code') THEN 'structure' WHEN regexp_matches(s, 'table|row|cell|span|column') THEN 'table' ELSE 'paragraph' END AS topic FROM m""")
 def dm7_advice(t: Tables) -> DataFrame:
-    """The topics that advise on messages."""
-    messages = ["a span needs a color", "Inline nesting", "pre holds one code", "a blockquote is too deep", "the table has a gap", "a ROW too many", "a paragraph needs text", ""]
-    return t.spark.createDataFrame([(m, B.advice(m)) for m in messages], "message string, topic string")
+    """The topics that advise on messages: turns with a complaint behind them."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), (col("turn") % 7 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", B.advice_topic(F.concat("text", F.lit(" "), said)).alias("topic"))
 
 
-@query("SELECT kind, name FROM (VALUES ('generate', 'action'), ('generate', 'tail'), ('generate', 'blocks'), ('generate', 'overlap_claim'), ('repair', 'action'), ('repair', 'tail'), ('repair', 'blocks'), ('repair', 'attempt_id'), ('repair', 'target_versions')) v(kind, name)")
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'tail' WHEN 3 THEN 'action,tail,blocks,attempt_id,target_versions' ELSE '' END AS missing, CASE WHEN turn % 4 = 2 THEN 'note' ELSE '' END AS extra,
+    CASE WHEN turn % 4 <> 3 THEN text END AS text, CASE WHEN turn % 4 <> 3 THEN turn END AS version FROM conversations""")
 def dm27_reply_fields(t: Tables) -> DataFrame:
-    """The fields that a reply of either kind must have, and may have alone."""
-    schemas = {kind: B.response_schema(kind) for kind in ("generate", "repair")}
-    rows = [(kind, name) for kind, s in schemas.items() for name in s["required"] if name in s["properties"] and s["additionalProperties"] is False]
-    return t.spark.createDataFrame(rows, "kind string, name string")
+    """Replies to repairs read by the schema that they were asked for: whole ones, some without a field, some with one too many, and some that are no object."""
+    fields = [F.lit("repair").alias("action"), F.array(F.struct(F.lit("<p>x</p>").alias("xml"), "text", F.array().cast("array<string>").alias("ocr_refs"))).alias("blocks"), F.lit("a").alias("attempt_id"), F.create_map(F.lit("b"), "turn").alias("target_versions")]
+    tail = F.lit("null").alias("tail")
+    kinds = [F.to_json(F.struct(*fields, *more)) for more in ([tail], [], [tail, F.lit(1).alias("note")])]
+    content = F.when(col("turn") % 4 == 0, kinds[0]).when(col("turn") % 4 == 1, kinds[1]).when(col("turn") % 4 == 2, kinds[2]).otherwise("[1]")
+    found = B.parsed_replies(t.conversations.select("conv_id", "turn", content.alias("content")), "repair")
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("conv_id", "turn", listed("missing"), listed("extra"), F.try_element_at("reply.blocks", F.lit(1))["text"].alias("text"), F.try_element_at("reply.target_versions", F.lit("b")).alias("version"))
 
 
 STATES = ["CAPTURING", "NORMALIZING", "READY", "UPLOADED"]

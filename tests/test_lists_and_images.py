@@ -102,3 +102,27 @@ def test_inlined_functions_have_no_python(spark):
 
     plan = catalog.QUERIES["sql_inlined_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("span", [3, 4096])
+def test_connections_one_by_one(spark, span):
+    import random
+
+    from docflow.operators import service
+
+    rng = random.Random(4)
+    rows = [(f"d{k % 3}", "x", k, rng.choice([1, 1, -1])) for k in range(120)]
+    want = {}
+    for d, _, _, step in rows:
+        now, refused = want.get(d, (0, 0))
+        want[d] = (now, refused + 1) if step > 0 and now >= 2 else (max(now + step, 0), refused)
+    got = {r["device_id"]: (r["open"], r["refused"]) for r in service.connections(spark.createDataFrame(rows, "device_id string, document_id string, seq long, step int"), span=span).collect()}
+    assert got == want
+
+
+def test_topic_of_a_column_is_that_of_a_message(spark):
+    from docflow.operators import blocks
+
+    said = ["a SPAN", "inline code", "pre table", "", "nothing", "Row and color"]
+    rows = spark.createDataFrame([(m,) for m in said], "m string")
+    assert [r[0] for r in rows.select(blocks.advice_topic(rows.m)).collect()] == [blocks.advice(m) for m in said]
