@@ -81,14 +81,13 @@ class Beating(Timed):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         times = self.times(rows)
-        beats, _, fresh = self.state.get() if self.state.exists() else (0, 0, -1)
+        beats, last, fresh = self.state.get() if self.state.exists() else (0, 0, -1)
         if fresh < 0:
             beats, fresh = beats + 1, 0
             self.set_timer((times[0] if self.by_event else self.now(timerValues)) + self.wait)
             yield pd.DataFrame([(key[0], stamp(times[0]), beats)], columns=["worker", "ts", "beats"])
             times = times[1:]
-        if times or not self.state.exists():
-            self.state.update((beats, times[-1] if times else 0, fresh + len(times)))
+        self.state.update((beats, times[-1] if times else last, fresh + len(times)))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         beats, last, fresh = self.state.get()
