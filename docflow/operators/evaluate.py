@@ -39,6 +39,21 @@ def verification(blocks: DataFrame, exported: DataFrame) -> DataFrame:
     return wide.select("document_id", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("passed")) for n in names))))
 
 
+def run_evidence(documents: DataFrame, calls: DataFrame, phases: DataFrame) -> DataFrame:
+    """``document_id, name, passed``: what the runs of ``documents`` (``document_id``) left behind.
+
+    ``calls``: document_id, call_id, inspected_tokens, prompt_tokens (null without a reply): a check for each call with a reply, whose prompt must have had as
+    many tokens as were counted before. ``phases``: document_id, phase, cleanup_verified, recovery_verified_at: whether there are any figures, and
+    for each phase whether its memory was found free, after it or when a later run recovered.
+    """
+    counted = calls.filter("prompt_tokens IS NOT NULL").select("document_id", F.concat(F.lit("actual_prompt_tokens:"), "call_id").alias("name"), F.col("prompt_tokens").eqNullSafe(F.col("inspected_tokens")).alias("passed"))
+    freed = F.coalesce("cleanup_verified", F.lit(False)) | F.col("recovery_verified_at").isNotNull()
+    cleaned = phases.select("document_id", F.concat(F.lit("phase_cleanup:"), F.col("phase").cast("string")).alias("name"), freed.alias("passed"))
+    known = phases.select("document_id").distinct().withColumn("there", F.lit(True))
+    available = documents.select("document_id").join(known, "document_id", "left").select("document_id", F.lit("phase_metrics_available").alias("name"), F.col("there").isNotNull().alias("passed"))
+    return counted.union(cleaned).union(available)
+
+
 def image_report(blocks: DataFrame, attempts: DataFrame) -> DataFrame:
     """Per image: blocks by status, repairs and error codes.
 

@@ -164,6 +164,22 @@ def dm24_verification(t: Tables) -> DataFrame:
     return evaluate.verification(rows, made.select("document_id", "xml", F.when(fault == 6, "other").otherwise(T.sha256(col("xml"))).alias("sha256")))
 
 
+@query("""WITH d AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT conv_id::VARCHAR AS document_id, 'actual_prompt_tokens:' || turn AS name, turn % 5 <> 2 AS passed FROM conversations WHERE turn % 3 <> 1
+    UNION ALL SELECT conv_id::VARCHAR, 'phase_metrics_available', conv_id % 3 <> 0 FROM d
+    UNION ALL SELECT conv_id::VARCHAR, 'phase_cleanup:' || p, conv_id % 4 <> p + 1 OR conv_id % 5 = 0 FROM d, (VALUES (0), (1)) v(p) WHERE conv_id % 3 <> 0""")
+def dm24_run_evidence(t: Tables) -> DataFrame:
+    """Evidence of the runs: prompts with as many tokens as were counted, figures of each phase, and memory that was given back; some documents lack it."""
+    calls = t.conversations.select(
+        col("conv_id").cast("string").alias("document_id"), col("turn").cast("string").alias("call_id"), F.length("text").alias("inspected_tokens"),
+        F.when(col("turn") % 3 != 1, F.length("text") + F.when(col("turn") % 5 == 2, 1).otherwise(0)).alias("prompt_tokens"),
+    )
+    docs = t.conversations.select("conv_id", col("conv_id").cast("string").alias("document_id")).distinct()
+    phases = docs.filter("conv_id % 3 <> 0").withColumn("phase", F.explode(F.array(F.lit(0), F.lit(1))))
+    phases = phases.select("document_id", "phase", (col("conv_id") % 4 != col("phase") + 1).alias("cleanup_verified"), F.when(col("conv_id") % 5 == 0, "2026-01-01").alias("recovery_verified_at"))
+    return evaluate.run_evidence(docs, calls, phases)
+
+
 @query(r"""SELECT conv_id::VARCHAR AS document_id, CASE conv_id % 5 WHEN 0 THEN false WHEN 4 THEN false ELSE true END AS needs_review FROM conversations GROUP BY 1, conv_id""")
 def ag6_document_review(t: Tables) -> DataFrame:
     """Documents with a block that isn't ok, recognition that isn't complete, or a low ratio; unknown ratios don't count."""
