@@ -60,7 +60,7 @@ def dm8_alignment_turns(t: Tables) -> DataFrame:
     ends AS (SELECT id, i AS s, n FROM matched UNION ALL SELECT id, length(a), 0 FROM pairs),
     gaps AS (SELECT id, s, coalesce(lag(s + n) OVER (PARTITION BY id ORDER BY s, n DESC), 0) AS e FROM ends),
     missing AS (SELECT id, list(substr(a, e + 1, least(s - e, 160)) ORDER BY s - e DESC, e)[:4] AS missing FROM gaps JOIN pairs USING (id) WHERE s > e GROUP BY id)
-    SELECT id[1]::VARCHAR AS document_id, id[2]::INT AS ord, round(CASE WHEN a <> '' THEN m / length(a) ELSE 1 END, 6) AS source_coverage, round(CASE WHEN b <> '' THEN m / length(b) ELSE 0 END, 6) AS output_support, coalesce(missing, []) AS missing,
+    SELECT id[1]::VARCHAR AS document_id, id[2]::INT AS ord, round_even(CASE WHEN a <> '' THEN m / length(a) ELSE 1 END, 6) AS source_coverage, round_even(CASE WHEN b <> '' THEN m / length(b) ELSE 0 END, 6) AS output_support, coalesce(missing, []) AS missing,
         CASE WHEN least(CASE WHEN a <> '' THEN m / length(a) ELSE 1 END, CASE WHEN b <> '' THEN m / length(b) ELSE 0 END) < 0.8 THEN ['CONTENT_MISMATCH'] ELSE [] END AS errors FROM totals LEFT JOIN missing USING (id)""")
 def dm9_uncovered_turns(t: Tables) -> DataFrame:
     """How well each turn covers the one before, and the longest parts of that which it lacks."""
