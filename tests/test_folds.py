@@ -29,6 +29,14 @@ def test_postings_are_not_sent_to_the_driver(spark):
     assert "Broadcast" not in plan(overlap.meeting(rows, asked))
 
 
+@pytest.mark.parametrize("name", ["j6_similarity", "dm10_retrieved_window"])
+def test_texts_of_pairs_are_not_sent_to_the_driver(spark, name):
+    made = catalog.QUERIES[name](spark, SF)
+    assert "text#" not in "".join(line for line in plan(made).splitlines() if "BroadcastExchange" in line)
+    got, want = oracle.compare(made, oracle.database(SF), catalog.ORACLES[name])
+    assert got == want and want[1]
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     small = pa.record_batch({"text": [None, "x"] * folds.ROWS})
     large = pa.record_batch({"text": ["x" * (folds.BYTES // 4)] * 20 + ["y" * (3 * folds.BYTES)]})
