@@ -46,6 +46,11 @@ def test_slices_are_bounded_by_rows_and_bytes():
         assert all(c.num_rows <= folds.ROWS and (c.num_rows == 1 or sum(len(t or "") for t in c.column("text").to_pylist()) <= 1.5 * folds.BYTES) for c in cut)
 
 
+def test_claims_of_all_kinds_in_one_pass(spark):
+    text = plan(catalog.QUERIES["dm11_refused_claims"](spark, SF))
+    assert text.count("Scan parquet") == 1 and "InPandas" not in text
+
+
 def test_keys_and_rows_beyond_a_slice(spark):
     n = 3 * folds.ROWS
     rows = spark.range(n).selectExpr("id % 2 AS k", "IF(id % 5 = 0, NULL, id) AS v", "id AS o").repartition(5)
