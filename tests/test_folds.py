@@ -37,6 +37,20 @@ def test_texts_of_pairs_are_not_sent_to_the_driver(spark, name):
     assert got == want and want[1]
 
 
+def test_scores_of_a_long_document_in_stretches(spark):
+    """A document of many blocks and two queries, one without a text in common; and blocks that a query holds whole, in part, or too little of."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(3, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(100)]
+    query = " - ".join(t[len(t) // 3 :] if k % 3 else t for k, t in enumerate(texts) if k % 2)
+    rows = [("d", k, t) for k, t in enumerate(texts)] + [("e", k, t) for k, t in enumerate([None, "", texts[1]])]
+    blocks = spark.createDataFrame(rows, "document_id string, ord int, text string")
+    asked = spark.createDataFrame([("d", "q", query), ("d", "r", "XYZ " * 9), ("e", "q", None), ("e", "r", texts[1].upper())], "document_id string, query_id string, query string")
+    got = {(r["document_id"], r["ord"], r["query_id"]): r["score"] for r in overlap.similarities(blocks, asked).collect()}
+    want = {("d", k, "q"): align.similarity(t, query) for k, t in enumerate(texts)} | {("e", 2, "r"): align.similarity(texts[1], texts[1])}
+    assert got == {k: v for k, v in want.items() if v} and 1.0 in got.values() and min(got.values()) < 1
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     small = pa.record_batch({"text": [None, "x"] * folds.ROWS})
     large = pa.record_batch({"text": ["x" * (folds.BYTES // 4)] * 20 + ["y" * (3 * folds.BYTES)]})
