@@ -65,6 +65,14 @@ def test_claims_of_all_kinds_in_one_pass(spark):
     assert text.count("Scan parquet") == 1 and "InPandas" not in text
 
 
+def test_rounds_without_a_table_for_each_document(spark):
+    rows = [("a", k, None, f"<update xmlns='urn:docflow:document:1' schema-version='0.1'><p>{k}</p></update>") for k in range(3)] + [("b", 0, "other", "x"), ("b", 1, None, "x"), (None, 0, None, "x")]
+    rounds = spark.createDataFrame(rows, "document_id string, round_index int, base_sha256 string, update_xml string")
+    made = drafts.replay_rounds(rounds.repartition(3))
+    assert "InPandas" not in plan(made)
+    assert sorted((str(r["document_id"]), r["n_rounds"], r["valid"]) for r in made.collect()) == [("None", 0, False), ("a", 3, True), ("b", 0, False)]
+
+
 def test_keys_and_rows_beyond_a_slice(spark):
     n = 3 * folds.ROWS
     rows = spark.range(n).selectExpr("id % 2 AS k", "IF(id % 5 = 0, NULL, id) AS v", "id AS o").repartition(5)
