@@ -9,13 +9,14 @@ folded event by event instead, since only that shows where its reader stopped.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from . import folds
 from .block_list import BlockList, Edit, Reset
 from .events import STATE_DDL, TERMINAL, Preview, as_row, progress_of, reduce_event
 
@@ -143,61 +144,59 @@ RESULT_DDL = f"{STATE_DDL}, broken boolean"
 def parts_of(events: DataFrame, size: int) -> DataFrame:
     """``document_id, part, summary`` of events (``document_id, seq, kind, data`` as JSON)."""
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        part = summarised([(int(s), k, json.loads(d)) for s, k, d in zip(rows["seq"], rows["kind"], rows["data"], strict=True)])
-        return pd.DataFrame([(*key, part.dumps())], columns=["document_id", "part", "summary"])
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        yield *key, summarised([(r.seq, r.kind, json.loads(r.data)) for r in rows]).dumps()
 
     cut = events.select("document_id", F.floor(F.col("seq") / size).alias("part"), "seq", "kind", "data")
-    return cut.groupBy("document_id", "part").applyInPandas(fold, PARTS_DDL)
+    return folds.in_order(cut, ["document_id", "part"], "seq", fold, PARTS_DDL)
 
 
 def level_up(parts: DataFrame, fan: int) -> DataFrame:
     """Each ``fan`` parts of a document composed into one."""
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [Part.loads(s) for s in rows.sort_values("part")["summary"]]
-        return pd.DataFrame([(*key, composed(found).dumps())], columns=["document_id", "part", "summary"])
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        yield *key, composed([Part.loads(r.summary) for r in rows]).dumps()
 
-    return parts.groupBy("document_id", F.floor(F.col("part") / fan).alias("part")).applyInPandas(fold, PARTS_DDL)
+    some = parts.select("document_id", F.floor(F.col("part") / fan).alias("upper"), "part", "summary")
+    return folds.in_order(some, ["document_id", "upper"], "part", fold, PARTS_DDL)
 
 
 def finished(parts: DataFrame) -> DataFrame:
     """Each document's state after its few last parts; ``broken`` where it isn't that."""
-    names = [c.split()[0] for c in RESULT_DDL.split(", ")]
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         state, broken = Preview(), False
         try:
-            for s in rows.sort_values("part")["summary"]:
-                state = advanced(state, Part.loads(s))
+            for r in rows:
+                state = advanced(state, Part.loads(r.summary))
         except (Reset, KeyError):
             state, broken = Preview(), True
-        return pd.DataFrame([(*as_row(key[0], state), broken)], columns=names).astype({"cursor": "Int64"})
+        yield *as_row(key[0], state), broken
 
-    return parts.groupBy("document_id").applyInPandas(fold, RESULT_DDL)
+    return folds.in_order(parts, ["document_id"], "part", fold, RESULT_DDL)
 
 
 def one_by_one(events: DataFrame) -> DataFrame:
     """Each document's state, folded event by event in one task."""
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         state = Preview()
-        for r in rows.sort_values("seq", kind="stable").itertuples():
-            state = reduce_event(state, int(r.seq), r.kind, json.loads(r.data))
-        made = pd.DataFrame([as_row(key[0], state)], columns=[c.split()[0] for c in STATE_DDL.split(", ")])
-        return made.astype({"cursor": "Int64"})
+        for r in rows:
+            state = reduce_event(state, r.seq, r.kind, json.loads(r.data))
+        yield as_row(key[0], state)
 
-    return events.select("document_id", "seq", "kind", "data").groupBy("document_id").applyInPandas(fold, STATE_DDL)
+    return folds.in_order(events.select("document_id", "seq", "kind", "data"), ["document_id"], "seq", fold, STATE_DDL)
 
 
 def replay(events: DataFrame, part: int = PART, fan: int = FAN) -> DataFrame:
     """Each document's state after all its events (``document_id, seq, kind, data`` as JSON; a sequence is dense, repeats are ignored)."""
-    parts = parts_of(events, part)
-    longest = events.agg(F.max(F.floor(F.col("seq") / part)) - F.min(F.floor(F.col("seq") / part))).first()[0] or 0
+    parts = stored(parts_of(events, part), "parts")
+    longest = parts.agg(F.max("part") - F.min("part")).first()[0] or 0
     while longest >= fan:
         parts = level_up(parts, fan)
         longest //= fan
     states = stored(finished(parts), "replayed")
     broken = states.filter("broken").select("document_id")
+    if broken.isEmpty():
+        return states.drop("broken")
     return states.filter("NOT broken").drop("broken").union(one_by_one(events.join(broken, "document_id", "left_semi")))

@@ -73,6 +73,13 @@ def test_rounds_without_a_table_for_each_document(spark):
     assert sorted((str(r["document_id"]), r["n_rounds"], r["valid"]) for r in made.collect()) == [("None", 0, False), ("a", 3, True), ("b", 0, False)]
 
 
+def test_replay_without_a_table_for_each_document(spark):
+    events = conversations(spark).selectExpr("document_id", "CAST(ord AS long) AS seq", "'document.snapshot' AS kind", """'{"blocks": [], "revision": 0, "status": "OCR"}' AS data""")
+    made = replay.replay(events)
+    assert "InPandas" not in plan(replay.parts_of(events, 10)) + plan(made)
+    assert {r["document_id"]: r["cursor"] for r in made.collect()} == {r[0]: r[1] for r in events.groupBy("document_id").max("seq").collect()}
+
+
 def test_keys_and_rows_beyond_a_slice(spark):
     n = 3 * folds.ROWS
     rows = spark.range(n).selectExpr("id % 2 AS k", "IF(id % 5 = 0, NULL, id) AS v", "id AS o").repartition(5)
