@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from docflow.operators import drafts
 from docflow.streaming import assembly
@@ -67,3 +68,49 @@ def test_setting_of_the_session_comes_back(spark):
     with assembly.with_state(spark):
         assert spark.conf.get(assembly.PROVIDER) == assembly.ROCKS
     assert spark.conf.get(assembly.PROVIDER) == before
+
+
+class Counted:
+    """A map or a value of the state store that counts its messages."""
+
+    def __init__(self):
+        self.rows, self.messages = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.messages += 1
+            match name:
+                case "get":
+                    return self.rows.get(())
+                case "update":
+                    self.rows[()] = args[0]
+                case "getValue":
+                    return self.rows[args[0]]
+                case "containsKey":
+                    return args[0] in self.rows
+                case "exists":
+                    return bool(self.rows)
+                case "updateValue":
+                    self.rows[args[0]] = args[1]
+                case "removeKey":
+                    self.rows.pop(args[0], None)
+                case "iterator":
+                    return iter(list(self.rows.items()))
+
+        return call
+
+
+def test_messages_to_the_store_grow_with_the_events():
+    """Two batches of a document of many images: the second one goes on from the blocks of the first."""
+    made = {}
+    for n in (20, 80):
+        one = assembly.Assembly()
+        one.at, one.calls, one.blocks = stores = Counted(), Counted(), Counted()
+        texts = []
+        for start in (0, n // 2):
+            events = [e for i in range(start, start + n // 2) for e in ((i, "image", None, f"i{i}", "", None, True), (i, "reply", 0, None, *reply((f"<p>{i}</p>", str(i), [])), None))]
+            answers = list(one.handleInputRows(("d",), iter([Row(**dict(zip(assembly.EVENT, ("d", *e), strict=True))) for e in events]), None))
+            texts += [a[assembly.NAMES.index("text")] for a in answers if a[1] == "block"]
+        assert texts == [str(i) for i in range(n)] and not stores[1].rows and len(stores[2].rows) == n
+        made[n] = sum(s.messages for s in stores)
+    assert made[80] < 5 * made[20] and made[80] < 200
