@@ -60,6 +60,32 @@ def test_texts_are_dealt_out_and_not_their_postings(spark):
     assert overlap.dealt(rows, asked).count() == there.count() + asked.count()
 
 
+def test_many_queries_in_chunks(spark, monkeypatch):
+    """Each block meets each query that it shares a run with, once, however they are dealt out; a task holds few characters of queries."""
+    monkeypatch.setattr(overlap, "ASKED", 100)
+    monkeypatch.setattr(overlap, "STRETCH", 7)
+    monkeypatch.setattr(overlap, "POSTINGS", 5)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcde", k=7)) for _ in range(30)]
+    line = lambda: " ".join(rng.choices(words, k=rng.randint(0, 6)))
+    rows = [(d, k, line()) for d in "de" for k in range(40)] + [("d", 40, None), ("d", None, line()), ("f", 0, line())]
+    texts = [(d, f"q{k}", line().upper()) for d in "de" for k in range(25)] + [("d", "long", "-".join(words)), ("d", "none", None), ("g", "q", line())]
+    folded = lambda t: align.retrieval_text(t or "")
+    runs = lambda t: {folded(t)[i : i + 12] for i in range(len(folded(t)) - 11)}
+    want = sorted((d, k, q) for d, k, t in rows if k is not None for e, q, u in texts if d == e and runs(t) & runs(u))
+    blocks, asked = spark.createDataFrame(rows, "document_id string, ord int, text string"), spark.createDataFrame(texts, "document_id string, query_id string, query string")
+    assert sorted(tuple(r) for r in overlap.meeting(blocks, asked).collect()) == want and want
+    scores = [tuple(r) for r in overlap.similarities(blocks, asked).collect()]
+    of, by = {r[:2]: r[2] for r in rows}, {r[:2]: r[2] for r in texts}
+    assert sorted(scores) == sorted((d, k, q, s) for d, k, q in want if (s := align.similarity(of[d, k], by[d, q])))
+    held = overlap.dealt(blocks, asked).filter("ord IS NULL").selectExpr("*", "length(text) AS n").groupBy("document_id", "chunk", "stretch").agg({"n": "sum"}).collect()
+    longest = max(len(t or "") for _, _, t in texts)
+    assert len({r["chunk"] for r in held}) > 3 and max(r["sum(n)"] for r in held) < 100 + longest
+    postings = overlap.Postings([folded(t) for _, _, t in texts], 12)
+    for _, _, t in rows:
+        assert postings.sharing(overlap.run_keys(folded(t), 12)) == [k for k, (_, _, u) in enumerate(texts) if runs(t) & runs(u)]
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     small = pa.record_batch({"text": [None, "x"] * folds.ROWS})
     large = pa.record_batch({"text": ["x" * (folds.BYTES // 4)] * 20 + ["y" * (3 * folds.BYTES)]})
