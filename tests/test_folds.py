@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 import pytest
 
-from docflow.functions import align
+from docflow.functions import align, matching
 from docflow.operators import drafts, folds, overlap, replay
 from docflow.plans import catalog
 from tests import oracle
@@ -86,6 +88,37 @@ def test_many_queries_in_chunks(spark, monkeypatch):
         assert postings.sharing(overlap.run_keys(folded(t), 12)) == [k for k, (_, _, u) in enumerate(texts) if runs(t) & runs(u)]
 
 
+def test_matching_holds_little_of_a_long_query():
+    """A short block against a query of many characters: what it takes is a few names for each of them, however often the query repeats itself."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(50)]
+    query = "".join(rng.choices(words, k=10_000)) * 8
+    block = query[1000:1100] + "u" + query[5000:5100]
+    tracemalloc.start()
+    try:
+        assert align.shares([(block, query)], 12) == [200 / 201]
+        assert tracemalloc.get_traced_memory()[1] < 120 * len(query)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("group", [1 << 18, 64, 5])
+def test_blocks_are_those_of_the_rule_however_they_are_cut(monkeypatch, group):
+    monkeypatch.setattr(matching, "GROUP", group)
+    rng = random.Random(group)
+    text = lambda letters: "".join(rng.choices(letters, k=rng.choice((0, 1, 7, 60, 300))))
+    pairs = [(text(letters), text(letters)) for letters in ("a", "ab", "abcdefgh", "aé\U0001f600ß ") for _ in range(12)]
+    pairs += [(b[:50] + a + b[-50:], b) for a, b in pairs] + [(b, "x" + b) for _, b in pairs]
+    for (a, b), found in zip(pairs, matching.matching_blocks(pairs), strict=True):
+        joined: list[list[int]] = []  # difflib puts blocks that touch together
+        for i, j, n in found.tolist():
+            if joined and (joined[-1][0] + joined[-1][2], joined[-1][1] + joined[-1][2]) == (i, j):
+                joined[-1][2] += n
+            else:
+                joined.append([i, j, n])
+        assert joined == [list(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]]
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     small = pa.record_batch({"text": [None, "x"] * folds.ROWS})
     large = pa.record_batch({"text": ["x" * (folds.BYTES // 4)] * 20 + ["y" * (3 * folds.BYTES)]})
